@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter", "quality_rules", "language_id")
+MODULES = ("line_dedup", "byte_bpe", "language_id", "quality_rules", "simhash", "url_filter")
 
 
 def _modules():
