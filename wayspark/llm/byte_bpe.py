@@ -120,8 +120,8 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False) -> DataFrame:
-    """doc_id and ``ids`` of every row; with ``offsets`` also ``starts`` and ``ends``.
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` and ``ids`` of every row; with ``offsets`` also ``starts`` and ``ends``.
 
     ``path`` is the vocabulary in the library's own format, on every executor. Spans
     count characters of the text.
@@ -130,7 +130,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def run(batches):
         encoder = Encoder(path or public_tokenizers.path(VOCABULARY), pattern, offsets)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
+            keys, texts = batch.columns[:-1], batch.columns[-1]
             at, held, rows = 0, 0, []
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
@@ -141,31 +141,34 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                     columns = [_lists([r[0] for r in rows])]
                     if offsets:
                         columns += [_lists([r[1][:, k] for r in rows]) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, len(rows)), *columns], names=["doc_id", *names])
+                    yield pa.RecordBatch.from_arrays([*(k.slice(at, len(rows)) for k in keys), *columns], names=["doc_id", *keep, *names])
                     at, held, rows = i + 1, 0, []
 
     names = ["ids", "starts", "ends"] if offsets else ["ids"]
-    kind = "doc_id long, " + ", ".join(f"{n} array<int>" for n in names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + "".join(f", {n} array<int>" for n in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, kind)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ``ids`` and ``content``, the bytes that the ids stand for."""
+    """All columns and ``content``, the bytes that ``ids`` stand for."""
+    names = tokens.columns
 
     def run(batches):
         table = token_bytes(Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)))
         for batch in batches:
-            keys, ids = batch.column(0), batch.column(1)
+            ids = batch.column("ids")
             at, held, out = 0, 0, []
             for i in range(len(ids)):
                 value = ids[i].values
                 out.append(b"".join(map(table.__getitem__, value.to_numpy(zero_copy_only=False).tolist())) if value is not None else b"")
                 held += len(out[-1])
                 if held >= 4 * CUT or i + 1 == len(ids):
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, len(out)), ids.slice(at, len(out)), pa.array(out, pa.binary())], names=["doc_id", "ids", "content"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(out)) for c in batch.columns), pa.array(out, pa.binary())], names=[*names, "content"])
                     at, held, out = i + 1, 0, []
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, content binary")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", content binary"
+    return tokens.mapInArrow(run, kind)
 
 
 def text_of(content: bytes) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("multiset_hash", "importance", "line_dedup", "byte_bpe", "language_id", "quality_rules", "simhash", "url_filter")
+MODULES = ("mixing", "multiset_hash", "importance", "line_dedup", "byte_bpe", "language_id", "quality_rules", "simhash", "url_filter")
 
 
 def _modules():
