@@ -5,12 +5,15 @@ all raw text, give every text its log importance ratio. The n-grams are those of
 characters, hashed into 2**bits buckets, and those of two words, hashed into two: the same
 word twice, or not. Adding Gumbel noise and taking the top k samples k texts without
 replacement by their importance; k is the number of texts that the raw model doesn't
-explain better by more than ``margin`` (a log ratio, so that a few odd characters don't
-count against a text). The noise follows from doc_id, so a retried task draws the same.
+explain better by more than ``margin`` and ``slack`` for each n-gram (log ratios), so that
+neither a few odd characters nor a slight drift count against a text. The noise follows
+from doc_id, so a retried task draws the same. Texts are held against others of their
+language, so its share in the labelled rows doesn't matter; languages with fewer than
+MIN_TARGET target rows, and all beyond the MAX_LANGS with most, share a model of all texts.
 
 Bounds: the target model is fitted on at most ``max_target`` labelled rows (those with the
 smallest hashes of their ids); what is broadcast and what reaches the driver is two tables
-of 2**bits + 2 counts and 65,536 histogram rows. The raw model counts all texts.
+of MAX_LANGS + 1 times 2**bits + 2 counts and 65,536 histogram rows. The raw model counts all texts.
 
 Edge cases: a text that is null or empty has no evidence and isn't kept. Without target
 rows every other text is kept. Rows with equal doc_id and text share score and fate; rows
@@ -34,9 +37,10 @@ from wayspark.llm.text_arrays import code_points, gram_buckets, pieces
 
 ORDERS = (1, 2, 3)
 BITS = 14
-SMOOTHING = 0.5
+SMOOTHING = 20.0
 MAX_TARGET = 20_000
-MARGIN = 10.0
+MAX_LANGS, MIN_TARGET = 64, 10
+MARGIN, SLACK = 10.0, 0.03
 #: The log ratio is divided by this before the noise is added.
 TEMPERATURE = 0.25
 SEED = 9
@@ -55,37 +59,54 @@ def grams(texts: list[str], orders, bits: int) -> Iterator[tuple[np.ndarray, np.
             yield np.full(len(parts), (1 << bits) + k), index, n
 
 
-def gram_counts(texts: DataFrame, orders=ORDERS, bits: int = BITS) -> np.ndarray:
-    """Counts by bucket over the column ``text``; every task sends its nonzero buckets."""
+def gram_counts(texts: DataFrame, langs: tuple[str, ...], orders=ORDERS, bits: int = BITS) -> np.ndarray:
+    """Counts by model and bucket over ``texts`` (lang, text); model 0 has all texts.
+
+    Every task sends the nonzero buckets of the models it met.
+    """
     size = (1 << bits) + 2
+    number = {x: k for k, x in enumerate(langs, 1)}
 
     def count(batches):
-        table = np.zeros(size, np.int64)
+        table = np.zeros((len(langs) + 1, size), np.int64)
         for batch in batches:
-            for bucket, _owner, n in grams([t for t in batch.column(0).to_pylist() if t], orders, bits):
-                table += np.bincount(bucket, weights=n, minlength=size).astype(np.int64)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at), "n": pa.array(table[at])})
-
-    out = np.zeros(size, np.int64)
-    found = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+            by: dict[int, list[str]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text:
+                    by.setdefault(number.get(lang, 0), []).append(text)
+            for k, own in by.items():
+                for bucket, _owner, n in grams(own, orders, bits):
+                    table[k] += np.bincount(bucket, weights=n, minlength=size).astype(np.int64)
+        model, at = np.nonzero(table)
+        yield pa.RecordBatch.from_pydict({"model": pa.array(model), "bucket": pa.array(at), "n": pa.array(table[model, at])})
+
+    out = np.zeros((len(langs) + 1, size), np.int64)
+    found = texts.select("lang", "text").mapInArrow(count, "model long, bucket long, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    out[found["model"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[0] = out.sum(axis=0)
     return out
 
 
 def target_rows(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
-    """The texts of at most ``max_target`` ids that are labelled good (quality 1)."""
+    """lang and text of at most ``max_target`` ids that are labelled good (quality 1)."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id")).distinct()
     few = good.orderBy(F.xxhash64("label_id"), "label_id").limit(max_target)
-    return docs.join(F.broadcast(few), docs["doc_id"].cast("long") == few["label_id"], "left_semi").select(docs["text"].alias("text"))
+    return docs.join(F.broadcast(few), docs["doc_id"].cast("long") == few["label_id"], "left_semi").select(docs["lang"].alias("lang"), docs["text"].alias("text"))
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """For each bucket, the log of its probability in the target over that in the raw text."""
-    if not target.sum():
-        return np.zeros(len(target))
-    p, q = target + smoothing, raw + smoothing
-    return np.concatenate([np.log(p[at] / p[at].sum()) - np.log(q[at] / q[at].sum()) for at in (slice(0, -2), slice(-2, None))])
+    """For each model and bucket, the log of its probability in the target over that in the raw text.
+
+    Raw counts are scaled to the target's size before ``smoothing`` is added to both, so
+    n-grams too rare for the target to show count for little.
+    """
+    out = np.zeros(target.shape)
+    for k in range(len(target)):
+        for at in (slice(0, -2), slice(-2, None)):
+            n, m = target[k, at].sum(), raw[k, at].sum()
+            if n and m:
+                out[k, at] = np.log(target[k, at] + smoothing) - np.log(raw[k, at] * (n / m) + smoothing)
+    return out
 
 
 def gumbel(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -105,24 +126,31 @@ def order_key(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
 
 
-def scored(docs: DataFrame, table: np.ndarray, orders=ORDERS, bits: int = BITS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """doc (all columns of ``docs`` in a struct), log_ratio and key (null without evidence)."""
+def scored(docs: DataFrame, table: np.ndarray, langs: tuple[str, ...], orders=ORDERS, bits: int = BITS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """doc (all columns of ``docs`` in a struct), log_ratio, n_grams and key (null without evidence)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    number = {x: k for k, x in enumerate(langs, 1)}
 
     def run(batches):
         weight = shared.value
         for batch in batches:
             ids = batch.column("id")
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            score = np.zeros(len(texts))
+            model = np.array([number.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64)
+            score, total = np.zeros(len(texts)), np.zeros(len(texts))
             for bucket, owner, n in grams(texts, orders, bits):
-                score += np.bincount(owner, weights=weight[bucket] if n is None else weight[bucket] * n, minlength=len(texts))
+                value = weight[model[owner], bucket]
+                score += np.bincount(owner, weights=value if n is None else value * n, minlength=len(texts))
+                total += np.bincount(owner, weights=n, minlength=len(texts))
             key = order_key(score / temperature + gumbel(ids.to_numpy(), seed))
             none = np.array([not t for t in texts], bool)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(score), pa.array(key, mask=none)], names=["doc", "log_ratio", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(score), pa.array(total.astype(np.int64)), pa.array(key, mask=none)], names=["doc", "log_ratio", "n_grams", "key"])
 
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"), docs["text"].alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, log_ratio double, key long")
+    rows = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"),
+        docs["lang"].alias("lang"), docs["text"].alias("text"),
+    )
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, log_ratio double, n_grams long, key long")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
@@ -141,20 +169,26 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, margin: float = MARGIN) -> DataFrame:
-    """doc (a struct of all columns), log_ratio, key and ``kept`` for every row."""
-    table = log_ratios(gram_counts(target_rows(docs, labels, max_target)), gram_counts(docs))
-    rows = durable(scored(docs, table), "scores")
+def resample(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, margin: float = MARGIN, slack: float = SLACK) -> DataFrame:
+    """doc (a struct of all columns), log_ratio, n_grams, key and ``kept`` for every row.
+
+    ``slack`` is part of the log ratio: each n-gram adds it.
+    """
+    target = target_rows(docs, labels, max_target)
+    known = target.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TARGET)
+    langs = tuple(r.lang for r in known.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+    table = log_ratios(gram_counts(target, langs), gram_counts(docs, langs))
+    rows = durable(scored(docs, table + slack * (table != 0).any(axis=1, keepdims=True), langs), "scores")
     k = rows.where(F.col("key").isNotNull() & (F.col("log_ratio") >= -margin)).count()
     least = kth_largest(rows.select("key"), k)
     kept = F.lit(False) if least is None else F.coalesce(F.col("key") >= least, F.lit(False))
-    return rows.select("doc", "log_ratio", "key", kept.alias("kept"))
+    return rows.select("doc", "log_ratio", "n_grams", "key", kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     rows = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.select("doc.doc_id", "log_ratio", F.col("key").alias("sample_key"), "kept")
+    return rows.select("doc.doc_id", "log_ratio", "n_grams", F.col("key").alias("sample_key"), "kept")
 
 
 QUERIES = {"op9_quality_classifier": query}

@@ -233,16 +233,35 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
         rows = large.join(F.broadcast(children), "mask").select("fp", F.col("child").alias("mask")).distinct()
 
 
+def classes(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp, least for every fingerprint of ``rows`` (fp, first).
+
+    ``least`` is the smallest ``first``, of any type with an order, in all its component.
+    """
+    fps = durable(rows.groupBy("fp").agg(F.min("first").alias("first")), "fps")
+    roots = components(links(fps, max_bits)).withColumnRenamed("node", "fp")
+    members = durable(roots.join(fps, "fp"), "members")
+    least = members.groupBy("root").agg(F.min("first").alias("least"))
+    linked = members.join(least, "root").select("fp", "least")
+    return durable(fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "classes")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``."""
     own = durable(fingerprints(docs, shingle), "fingerprints")
-    fps = durable(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
-    roots = components(links(fps, max_bits)).withColumnRenamed("node", "fp")
-    members = durable(roots.join(fps, "fp"), "members")
-    least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = members.join(least, "root").select("fp", "component_id")
-    classes = durable(fps.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
-    return own.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    found = classes(own.select("fp", F.col("doc_id").alias("first")), max_bits)
+    return own.join(found, "fp", "left").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, one row of each."""
+    table = durable(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "texts")
+    ids = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1))
+    # the row's number stands for it: ids may repeat
+    own = durable(fingerprints(table.select(F.col("uid").alias("doc_id"), F.col("doc.text").alias("text")), shingle).withColumnRenamed("doc_id", "uid"), "fingerprints")
+    named = own.join(table.select("uid", ids.alias("id")), "uid")
+    first = classes(named.select("fp", F.struct("id", "uid").alias("first")), max_bits).select(F.col("least.uid").alias("uid")).distinct()
+    return table.join(first, "uid", "left_semi").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
