@@ -114,10 +114,11 @@ def speed_per_minute(steps: DataFrame) -> DataFrame:
     span = means.groupBy(ONE).agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
     grid = span.select(ONE, F.explode(F.sequence("a", "b", F.expr("interval 1 minute"))).alias("minute"))
     w = W.partitionBy(ONE).orderBy("minute")
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    before = w.rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(ONE).orderBy(F.desc("minute")).rowsBetween(W.unboundedPreceding, 0)  # a frame that ends at the last row would be read anew for each row
     known = F.when(F.col("mean").isNotNull(), F.struct("i", "mean"))
     rows = grid.join(means, [ONE, "minute"], "left").withColumn("i", F.row_number().over(w))
-    rows = rows.withColumn("p", F.last(known, True).over(before)).withColumn("n", F.first(known, True).over(after))
+    rows = rows.withColumn("p", F.last(known, True).over(before)).withColumn("n", F.last(known, True).over(after))
     mix = F.col("p.mean") + (F.col("n.mean") - F.col("p.mean")) * F.try_divide(F.col("i") - F.col("p.i"), F.col("n.i") - F.col("p.i"))
     speed = F.coalesce("mean", mix, F.when(F.col("n").isNull(), F.col("p.mean")))
     return rows.select(ONE, "minute", speed.alias("speed_kmh"))

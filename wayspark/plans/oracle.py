@@ -39,7 +39,7 @@ CTES = {
     "doubled": "select event_id, participant_id, ts, case when event_id % 11 <> 0 then lat end as lat, lon from pts union all select event_id + 1000000000, participant_id, ts, case when event_id % 11 <> 0 then lat end as lat, lon from pts where event_id % 7 = 0",
     "light": "select * exclude n from (select *, row_number() over (partition by participant_id, ts, lat, lon order by event_id) as n from doubled where lat is not null) where n = 1",
     "stops": f"""select participant_id, stop_seq, min(place) as place, min(ts) as start_time, max(ts) as end_time, avg(lat) as lat, avg(lon) as lon, (max(epoch_us(ts))-min(epoch_us(ts)))/1e6 as duration_s
-  from (select *, sum(c) over {W} as stop_seq from (select *, case when place = lag(place) over {W} then 0 else 1 end as c from pts)) group by all""",
+  from (select *, (sum(c) over {W})::BIGINT as stop_seq from (select *, case when place = lag(place) over {W} then 0 else 1 end as c from pts)) group by all""",
     "typed": "select *, case place when 0 then 'Home' when 1 then 'Work' else 'autre' end as place_type from stops",
     "longs": f"select * from typed where duration_s >= {STAY_S}",
     "merged": "select participant_id, place, place_type, sum(duration_s) as duration_s, list(start_time order by start_time) as s, count(*) as visits from typed group by all",
@@ -80,7 +80,7 @@ CTES = {
     "matched": "select s.participant_id, s.stop_seq, any_value(s.duration_s) as duration_s, coalesce(arg_min(activity, (ts, activity)), 'autre') as matched_activity from stops s left join acts a on a.participant_id = s.participant_id and a.ts between s.start_time and s.end_time group by all",
     "minutes": """select participant_id, minute, case when mean is not null then mean when pi is null then null when ni is null then pm else pm + (nm - pm) * (i - pi) / (ni - pi) end as speed_kmh from (
   select *, last_value(case when mean is not null then i end ignore nulls) over b as pi, last_value(mean ignore nulls) over b as pm, first_value(case when mean is not null then i end ignore nulls) over f as ni, first_value(mean ignore nulls) over f as nm from (
-  select g.participant_id, g.minute, mean, row_number() over (partition by g.participant_id order by g.minute) as i from (select participant_id, unnest(generate_series(min(date_trunc('minute', ts)), max(date_trunc('minute', ts)), interval 1 minute)) as minute from ready group by all) g
+  select g.participant_id, g.minute, mean, row_number() over (partition by g.participant_id order by g.minute) as i from (select participant_id, unnest(generate_series(lo, hi, interval 1 minute)) as minute from (select participant_id, min(date_trunc('minute', ts)) as lo, max(date_trunc('minute', ts)) as hi from ready group by all)) g
   left join (select participant_id, date_trunc('minute', ts) as minute, avg(speed_kmh) as mean from ready group by all) m using (participant_id, minute))
   window b as (partition by participant_id order by minute rows between unbounded preceding and current row), f as (partition by participant_id order by minute rows between current row and unbounded following))""",
     "segs": "select participant_id, min(day) as first_date, max(day) as last_date, count(*) as n_days from (select *, day - (row_number() over (partition by participant_id order by day))::INTEGER as g from (select distinct participant_id, ts::DATE as day from pts where day(ts) % 5 <> 0)) group by participant_id, g",
