@@ -14,7 +14,9 @@ Repeated rows are encoded each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,7 +31,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Characters encoded at once, and ids held before a batch goes out.
 CUT = 1 << 20
 #: Pieces of text that a worker remembers, each of at most MAX_REMEMBERED characters.
-REMEMBERED, MAX_REMEMBERED = 400_000, 64
+REMEMBERED, MAX_REMEMBERED = 200_000, 64
+#: Pieces that the library encodes in one call.
+TOGETHER = 4096
 
 
 def byte_characters() -> list[str]:
@@ -68,6 +72,22 @@ def cuts(text: str, size: int = CUT) -> Iterator[str]:
 _BETWEEN = regex.compile(r"(?<=\S) (?=\S)")
 
 
+def latin_pattern(pattern: str) -> str | None:
+    """The pattern for texts below U+0100 in terms of the re module, which is faster.
+
+    None for patterns other than that of the vocabulary, whose classes are letters,
+    numbers and white space.
+    """
+    if pattern != public_tokenizers.PATTERN:
+        return None
+    kinds = {k: "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    kinds["S"] = r"\x09-\x0d\x20\x85\xa0"
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{kinds['S']}{kinds['L']}{kinds['N']}]").replace(r"(?!\S)", f"(?![^{kinds['S']}])")
+    for name, kind in ((r"\p{L}", "L"), (r"\p{N}", "N"), (r"\s", "S")):
+        out = out.replace(name, f"[{kinds[kind]}]")
+    return out
+
+
 class Encoder:
     """Ids (and character spans) of texts, with a table of pieces met before."""
 
@@ -75,21 +95,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
-        self.pieces = regex.compile(pattern).findall
+        self.any_pieces: Callable[[str], list[str]] = regex.compile(pattern).findall
+        latin = latin_pattern(pattern)
+        self.latin_pieces = re.compile(latin).findall if latin else None
         self.spans = spans
         self.met: dict[str, tuple] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        if self.latin_pieces:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return self.latin_pieces(text)
+        return self.any_pieces(text)
+
     def lookup(self, parts: list[str]) -> dict[str, tuple]:
         new = [p for p in set(parts) if p not in self.met]
         if len(self.met) + len(new) > REMEMBERED:
             self.met = {}
             new = list(set(parts))
-        run = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
         table = self.met
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, e in zip(some, run(some, add_special_tokens=False), strict=True):
-                table[piece] = (e.ids, e.offsets) if self.spans else tuple(e.ids)
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, cut = e.ids, np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
+            spans = e.offsets if self.spans else None
+            for piece, a, b in zip(some, cut, cut[1:]):
+                table[piece] = (ids[a:b], spans[a:b]) if self.spans else tuple(ids[a:b])
         if any(len(p) > MAX_REMEMBERED for p in new):
             self.met = {p: x for p, x in table.items() if len(p) <= MAX_REMEMBERED}
         return table
@@ -120,12 +154,8 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep`` and ``ids`` of every row; with ``offsets`` also ``starts`` and ``ends``.
-
-    ``path`` is the vocabulary in the library's own format, on every executor. Spans
-    count characters of the text.
-    """
+def _encoded(path: str | None, pattern: str, offsets: bool, names: list[str]) -> Callable:
+    """Batches with the text last become batches with ids (and spans) in its place."""
 
     def run(batches):
         encoder = Encoder(path or public_tokenizers.path(VOCABULARY), pattern, offsets)
@@ -141,18 +171,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                     columns = [_lists([r[0] for r in rows])]
                     if offsets:
                         columns += [_lists([r[1][:, k] for r in rows]) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*(k.slice(at, len(rows)) for k in keys), *columns], names=["doc_id", *keep, *names])
+                    yield pa.RecordBatch.from_arrays([*(k.slice(at, len(rows)) for k in keys), *columns], names=names)
                     at, held, rows = i + 1, 0, []
 
-    names = ["ids", "starts", "ends"] if offsets else ["ids"]
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + "".join(f", {n} array<int>" for n in names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, kind)
+    return run
 
 
-def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns and ``content``, the bytes that ``ids`` stand for."""
-    names = tokens.columns
+def _decoded(path: str | None) -> Callable:
+    """Batches with ``ids`` get ``content`` as their last column."""
 
     def run(batches):
         table = token_bytes(Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)))
@@ -164,11 +190,41 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
                 out.append(b"".join(map(table.__getitem__, value.to_numpy(zero_copy_only=False).tolist())) if value is not None else b"")
                 held += len(out[-1])
                 if held >= 4 * CUT or i + 1 == len(ids):
-                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(out)) for c in batch.columns), pa.array(out, pa.binary())], names=[*names, "content"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(out)) for c in batch.columns), pa.array(out, pa.binary())], names=[*batch.schema.names, "content"])
                     at, held, out = i + 1, 0, []
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", content binary"
-    return tokens.mapInArrow(run, kind)
+    return run
+
+
+def _kind(df: DataFrame, more: str) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + more
+
+
+def _texts(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` and ``ids`` of every row; with ``offsets`` also ``starts`` and ``ends``.
+
+    ``path`` is the vocabulary in the library's own format, on every executor. Spans
+    count characters of the text.
+    """
+    texts = _texts(docs, keep)
+    names = ["ids", "starts", "ends"] if offsets else ["ids"]
+    return texts.mapInArrow(_encoded(path, pattern, offsets, ["doc_id", *keep, *names]), _kind(texts.drop("text"), ", ".join(f"{n} array<int>" for n in names)))
+
+
+def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
+    """All columns and ``content``, the bytes that ``ids`` stand for."""
+    return tokens.mapInArrow(_decoded(path), _kind(tokens, "content binary"))
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, ``ids`` and ``content``: both ways in one worker a task."""
+    texts = _texts(docs, keep)
+    encoded, decoded = _encoded(path, pattern, False, ["doc_id", *keep, "ids"]), _decoded(path)
+    return texts.mapInArrow(lambda batches: decoded(encoded(batches)), _kind(texts.drop("text"), "ids array<int>, content binary"))
 
 
 def text_of(content: bytes) -> str:
@@ -178,7 +234,7 @@ def text_of(content: bytes) -> str:
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """What encoding and decoding every text gives: the count and two digests."""
-    return decode(encode(docs, path), path).select(
+    return encode_and_decode(docs, path).select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("content", 256).alias("decoded_sha256"),
