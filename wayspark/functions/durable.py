@@ -30,4 +30,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wayspark_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table made by :func:`durable` once nothing reads it any more."""
+    path = getattr(df, "_wayspark_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
