@@ -40,7 +40,7 @@ BITS = 14
 SMOOTHING = 20.0
 MAX_TARGET = 20_000
 MAX_LANGS, MIN_TARGET = 64, 10
-MARGIN, SLACK = 10.0, 0.03
+MARGIN, SLACK = 5.0, 0.01
 #: The log ratio is divided by this before the noise is added.
 TEMPERATURE = 0.25
 SEED = 9
@@ -98,14 +98,15 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING
     """For each model and bucket, the log of its probability in the target over that in the raw text.
 
     Raw counts are scaled to the target's size before ``smoothing`` is added to both, so
-    n-grams too rare for the target to show count for little.
+    n-grams too rare for the target to show count for little. Character n-grams of several
+    orders repeat the same evidence, so their log ratios are divided by the number of orders.
     """
     out = np.zeros(target.shape)
     for k in range(len(target)):
-        for at in (slice(0, -2), slice(-2, None)):
+        for at, times in ((slice(0, -2), len(ORDERS)), (slice(-2, None), 1)):
             n, m = target[k, at].sum(), raw[k, at].sum()
             if n and m:
-                out[k, at] = np.log(target[k, at] + smoothing) - np.log(raw[k, at] * (n / m) + smoothing)
+                out[k, at] = (np.log(target[k, at] + smoothing) - np.log(raw[k, at] * (n / m) + smoothing)) / times
     return out
 
 
