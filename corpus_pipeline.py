@@ -10,8 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspark.llm.byte_bpe import decode, encode
-from wayspark.llm.durable import durable
+from wayspark.llm.byte_bpe import encode_and_decode
+from wayspark.functions.durable import durable
 from wayspark.llm.importance import resample
 from wayspark.llm.line_dedup import line_dedup
 from wayspark.llm.mixing import mixed
@@ -53,7 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         placed = docs.select("doc_id", "text", *(c.alias(n) for n, c in place.items()))
     except AnalysisException:
         placed = docs.select("doc_id", "text", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("row"))
-    return decode(encode(placed, keep=("shard", "row"))).select(
+    return encode_and_decode(placed, keep=("shard", "row")).select(
         "doc_id", "shard", "row", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("content", 256).alias("text_sha256")
     )
 
