@@ -8,8 +8,9 @@ replacement by their importance; k is the number of texts that the raw model doe
 explain better by more than ``margin`` and ``slack`` for each n-gram (log ratios), so that
 neither a few odd characters nor a slight drift count against a text. The noise follows
 from doc_id, so a retried task draws the same. Texts are held against others of their
-language, so its share in the labelled rows doesn't matter; languages with fewer than
-MIN_TARGET target rows, and all beyond the MAX_LANGS with most, share a model of all texts.
+language, so its share in the labelled rows doesn't matter. For languages with fewer than
+MIN_TARGET target rows, and all beyond the MAX_LANGS with most, only repeated words count,
+held against all texts; where no language has enough, one model serves all.
 
 Bounds: the target model is fitted on at most ``max_target`` labelled rows (those with the
 smallest hashes of their ids); what is broadcast and what reaches the driver is two tables
@@ -60,9 +61,9 @@ def grams(texts: list[str], orders, bits: int) -> Iterator[tuple[np.ndarray, np.
 
 
 def gram_counts(texts: DataFrame, langs: tuple[str, ...], orders=ORDERS, bits: int = BITS) -> np.ndarray:
-    """Counts by model and bucket over ``texts`` (lang, text); model 0 has all texts.
+    """Counts by model and bucket over ``texts`` (lang, text); model 0 has the other languages.
 
-    Every task sends the nonzero buckets of the models it met.
+    Its word pairs are those of all texts. Every task sends the nonzero buckets it met.
     """
     size = (1 << bits) + 2
     number = {x: k for k, x in enumerate(langs, 1)}
@@ -83,7 +84,7 @@ def gram_counts(texts: DataFrame, langs: tuple[str, ...], orders=ORDERS, bits: i
     out = np.zeros((len(langs) + 1, size), np.int64)
     found = texts.select("lang", "text").mapInArrow(count, "model long, bucket long, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out[found["model"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    out[0] = out.sum(axis=0)
+    out[0, -2:] = out[:, -2:].sum(axis=0)
     return out
 
 
@@ -178,7 +179,10 @@ def resample(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, m
     target = target_rows(docs, labels, max_target)
     known = target.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TARGET)
     langs = tuple(r.lang for r in known.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
-    table = log_ratios(gram_counts(target, langs), gram_counts(docs, langs))
+    counts = gram_counts(target, langs)
+    if langs:
+        counts[0, :-2] = 0
+    table = log_ratios(counts, gram_counts(docs, langs))
     rows = durable(scored(docs, table + slack * (table != 0).any(axis=1, keepdims=True), langs), "scores")
     k = rows.where(F.col("key").isNotNull() & (F.col("log_ratio") >= -margin)).count()
     least = kth_largest(rows.select("key"), k)
