@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wayspark.llm.durable import durable, release
+from wayspark.functions.durable import durable, release
 
 MIN_WORDS = 10
 _LAST = (1 << 63) - 1
@@ -114,9 +114,9 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 
 def suffix_ranks(lines: DataFrame, min_words: int) -> tuple[DataFrame, int]:
-    """The suffixes that begin at repeated lines, with their ranks r0, r1, ... by level."""
+    """The suffixes that begin at repeated lines, with rank0, rank1, ... by level."""
     pairs = lines.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
-    known = lines.join(ranked(pairs), ["r", "r2"]).drop("r", "r2").withColumnRenamed("rank", "r0")
+    known = lines.join(ranked(pairs), ["r", "r2"]).drop("r", "r2").withColumnRenamed("rank", "rank0")
     text = W.partitionBy("uid").orderBy("line")
     stretch = W.partitionBy("uid", "stretch")
     here = (
@@ -125,17 +125,17 @@ def suffix_ranks(lines: DataFrame, min_words: int) -> tuple[DataFrame, int]:
         .where(F.col("all") >= min_words)
         .withColumn("ahead", F.when(F.col("line") + F.col("ahead") - 1 <= F.col("last"), F.col("ahead")).otherwise(0))
         .withColumn("back", F.when(F.col("line") - F.col("back") + 1 >= F.col("first"), F.col("back")).otherwise(0))
-        .select("uid", "doc", "line", "last", "ahead", "back", "r0")
+        .select("uid", "doc", "line", "last", "ahead", "back", "rank0")
     )
     here = durable(here, "suffixes")
     longest = here.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
     level = 0
     while 2 << level <= longest:
         step = 1 << level
-        beyond = F.when(F.col("line") + step <= F.col("last"), F.lead(f"r{level}", step).over(text)).otherwise(0)
-        paired = durable(here.withColumn("r", F.col(f"r{level}")).withColumn("r2", beyond), "pairs")
+        beyond = F.when(F.col("line") + step <= F.col("last"), F.lead(f"rank{level}", step).over(text)).otherwise(0)
+        paired = durable(here.withColumn("r", F.col(f"rank{level}")).withColumn("r2", beyond), "pairs")
         ranks = ranked(paired.groupBy("r", "r2").agg(F.count("*").alias("n")))
-        after = durable(paired.join(ranks, ["r", "r2"]).drop("r", "r2").withColumnRenamed("rank", f"r{level + 1}"), "suffixes")
+        after = durable(paired.join(ranks, ["r", "r2"]).drop("r", "r2").withColumnRenamed("rank", f"rank{level + 1}"), "suffixes")
         release(here)
         release(paired)
         here, level = after, level + 1
@@ -144,7 +144,7 @@ def suffix_ranks(lines: DataFrame, min_words: int) -> tuple[DataFrame, int]:
 
 def _runs(suffixes: DataFrame, levels: int) -> DataFrame:
     """Every shortest run: uid, doc, line, length and the ranks that name its interval."""
-    names = [f"r{k}" for k in range(levels + 1)]
+    names = [f"rank{k}" for k in range(levels + 1)]
     columns = ["line", "ahead", "back", *names]
 
     def run(batches):
