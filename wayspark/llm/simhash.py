@@ -8,7 +8,8 @@ fingerprints within t there share a key. If the thresholds t, each plus one, sum
 probed) with the fewest candidates, by counts of equal keys over all fingerprints and how
 often each bit differs; the number of partitions is the cheapest of PARTITIONS.
 
-A key that many fingerprints share isn't compared pair by pair: its other bits are
+Sums by key are written before they are joined, so that AQE can split frequent keys. A key
+that many fingerprints share isn't compared pair by pair: its other bits are
 partitioned again, level by level, until few fingerprints share all the bits kept or
 SMALL_BITS bits are free, which at most 2**SMALL_BITS different fingerprints can share.
 
@@ -210,7 +211,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
     found = None
     while True:
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = durable(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         rows = durable(rows.join(sizes, ["mask", "key"]), "probes")
         small = (F.col("n") <= bucket) | (F.bit_count("mask") >= 64 - SMALL_BITS)
         a = rows.where(small).select("mask", "key", F.col("fp").alias("u"))
@@ -241,7 +242,7 @@ def classes(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     fps = durable(rows.groupBy("fp").agg(F.min("first").alias("first")), "fps")
     roots = components(links(fps, max_bits)).withColumnRenamed("node", "fp")
     members = durable(roots.join(fps, "fp"), "members")
-    least = members.groupBy("root").agg(F.min("first").alias("least"))
+    least = durable(members.groupBy("root").agg(F.min("first").alias("least")), "least")
     linked = members.join(least, "root").select("fp", "least")
     return durable(fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "classes")
 
