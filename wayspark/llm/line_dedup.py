@@ -172,9 +172,12 @@ def _runs(suffixes: DataFrame, levels: int) -> DataFrame:
 
 
 def later_copies(runs: DataFrame) -> DataFrame:
-    """The runs whose interval has an earlier suffix."""
+    """The runs whose interval has an earlier suffix.
+
+    The first ones are written before the join, so that AQE can split frequent intervals.
+    """
     name = ["length", "a", "b"]
-    first = runs.groupBy(*name).agg(F.min(F.struct("doc", "uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = durable(runs.groupBy(*name).agg(F.min(F.struct("doc", "uid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     return runs.join(first, name).where(F.struct("doc", "uid", "line") > F.col("first")).select("uid", "line", "length")
 
 
