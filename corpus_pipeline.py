@@ -15,10 +15,7 @@ from wayspark.functions.durable import durable
 from wayspark.llm.importance import resample
 from wayspark.llm.line_dedup import line_dedup
 from wayspark.llm.mixing import mixed
-from wayspark.llm.simhash import one_of_each
-
-#: Fingerprints of this distance or less count as copies here.
-COPY_BITS = 3
+from wayspark.llm.near_copies import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id."""
-    return one_of_each(docs, max_bits=COPY_BITS)
+    return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
