@@ -61,3 +61,24 @@ def test_odd_rows(spark, make_docs):
 def test_too_many_sources(make_docs):
     with pytest.raises(ValueError):
         M.mixed(make_docs([(i, "t", "en", f"s{i}") for i in range(M.MAX_SOURCES + 1)]))
+
+
+def test_given_weights_hold_with_many_sources(make_docs):
+    names = [f"s{k:02}" for k in range(20)]
+    docs = make_docs([(i, "t", "en", names[1 + i % 19] if i < 800 else "s00") for i in range(1600)])
+    weights = {n: 0.5 if n == "s00" else 0.5 / 19 for n in names}
+    first = [r.source for r in M.mixed(docs, weights, block=1).where("phase = 0").orderBy("place").select("source").collect()]
+    assert len(first) > 1000
+    for n, w in weights.items():
+        had = 0
+        for t, source in enumerate(first, 1):
+            had += source == n
+            assert abs(had - w * t) < 1 + 1e-6
+
+
+def test_a_schedule_in_chunks_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 4)
+    monkeypatch.setattr(M, "WRITTEN", 3)
+    blocks, weights = {"a": 41, "b": 8, "c": 1}, {"a": 5, "b": 3, "c": 2}
+    got = {(r.source, r.chunk * 4 + k): (s, p) for r in M.schedule(spark, blocks, weights).collect() for k, (s, p) in enumerate(zip(r.slots, r.phases, strict=True))}
+    assert got == {(n, j): (s, p) for s, (n, j, p) in enumerate(M.scheduled(blocks, weights))} and len(got) == 50

@@ -3,16 +3,16 @@
 A source of weight w is a task that gets one slot in 1/w: its j-th block (from 0) is
 released at floor(j / w), due at ceil((j + 1) / w), and the released block with the
 earliest deadline goes next. So after any number t of slots a source has had w * t blocks
-up to less than one. Weights are whole numbers of ``parts`` parts, so the schedule repeats
-every ``parts`` slots, and the driver needs to schedule that one period only.
+up to less than one. Weights are whole numbers over ``parts``, so large that what rounding
+takes from a source is less than a block in 2**40 slots.
 
 Every row comes out once. Sources are shuffled by a hash of doc_id; blocks hold ``block``
 rows. When a source runs out, the others go on, with their weights scaled up, as a new
-phase; there are as many phases as different moments at which sources end. A row's place
-follows from its rank in its source, so no schedule of all blocks is ever made.
+phase. A row's place follows from its rank in its source and the slot of its block.
 
-Bounds: ``max_sources`` sources (ValueError beyond), and so max_sources**2 * parts rows
-of schedule at most, which are written and joined, not collected.
+Bounds: ``max_sources`` sources (ValueError beyond). The driver makes the schedule of all
+blocks, a few microseconds each, and writes it as it goes, so that it holds WRITTEN rows of
+CHUNK blocks and one open chunk a source. Up to BROADCAST blocks the schedule is broadcast.
 
 Edge cases: a null source counts as an empty name. A null doc_id ranks by its hash like
 any other. Repeated rows get places of their own, next to each other in their source.
@@ -23,15 +23,16 @@ short. An empty table gives an empty result; other columns are kept in ``doc``.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wayspark.functions.durable import durable
+from wayspark.functions.durable import durable, new_path
 
-PARTS = 1000
+PARTS = 1 << 40
 BLOCK = 16
 MAX_SOURCES = 256
 #: Sources weigh as the power of their rows, which favours small ones.
@@ -39,65 +40,75 @@ POWER = 0.7
 SEED = 1
 #: Rows that are ranked together.
 RANKED = 2000
+#: Blocks in a row of the schedule, rows written at once, and blocks of a schedule that is broadcast.
+CHUNK, WRITTEN, BROADCAST = 256, 4096, 1 << 22
 
 
 def whole_parts(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
     """Weights as whole parts of ``parts``, at least one each, by largest remainders."""
     names = sorted(weights)
     total = sum(weights[n] for n in names)
-    free = parts - len(names)
-    if free < 0:
+    if parts < len(names):
         raise ValueError(f"{len(names)} sources need as many parts at least")
-    share = {n: free * weights[n] / total if total else free / len(names) for n in names}
-    out = {n: 1 + int(share[n]) for n in names}
-    for n in sorted(names, key=lambda n: (int(share[n]) - share[n], n))[: parts - sum(out.values())]:
+    share = {n: parts * Fraction(weights[n]) / Fraction(total) if total else Fraction(parts, len(names)) for n in names}
+    out = {n: max(1, int(share[n])) for n in names}
+    for n in sorted(names, key=lambda n: (int(share[n]) - share[n], n))[: max(0, parts - sum(out.values()))]:
         out[n] += 1
     return out
 
 
-def period(weights: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, block) of each slot of one period, earliest deadline first."""
+def order(weights: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot without end, earliest deadline first."""
     total = sum(weights.values())
     release = [(0, n, 0) for n in sorted(weights)]
     heapq.heapify(release)
     due: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(total):
+    slot = 0
+    while True:
         while release and release[0][0] <= slot:
             _, n, j = heapq.heappop(release)
             heapq.heappush(due, (-(-(j + 1) * total // weights[n]), n, j))
         _, n, j = heapq.heappop(due)
-        out.append((n, j))
-        if j + 1 < weights[n]:
-            heapq.heappush(release, ((j + 1) * total // weights[n], n, j + 1))
-    return out
-
+        yield n, j
+        heapq.heappush(release, ((j + 1) * total // weights[n], n, j + 1))
+        slot += 1
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple[dict[str, int], int, dict[str, int]]]:
-    """For each phase the weights, its slots, and the blocks that each source has had before it.
 
-    A phase is as many whole periods as every source in it can fill, then the period in
-    which one runs out, slot by slot; a source that is out takes no slots from there on.
-    """
-    left, had, out = {n: b for n, b in blocks.items() if b}, dict.fromkeys(blocks, 0), []
+def scheduled(blocks: Mapping[str, int], weights: Mapping[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, phase) of each slot; a source that is out takes no slots from there on."""
+    left, had, phase = {n: b for n, b in blocks.items() if b}, dict.fromkeys(blocks, 0), 0
     while left:
-        active = {n: weights[n] for n in left}
-        total = sum(active.values())
-        cycles = min(left[n] // active[n] for n in left)
-        slots, use = cycles * total, {n: cycles * active[n] for n in left}
-        if all(left[n] > use[n] for n in left):
-            for n, _ in period(active):
-                slots += 1
-                use[n] += 1
-                if use[n] == left[n]:
-                    break
-        out.append((active, slots, dict(had)))
-        for n in list(left):
-            had[n] += use[n]
-            left[n] -= use[n]
+        for n, _ in order({n: weights[n] for n in left}):
+            yield n, had[n], phase
+            had[n] += 1
+            left[n] -= 1
             if not left[n]:
                 del left[n]
-    return out
+                break
+        phase += 1
+
+
+def schedule(spark: SparkSession, blocks: Mapping[str, int], weights: Mapping[str, int]) -> DataFrame:
+    """source, chunk, and the slots and phases of its CHUNK blocks in order."""
+    path, schema = new_path(spark, "schedule"), "source string, chunk long, slots array<long>, phases array<int>"
+    rows: list[tuple[str, int, list[int], list[int]]] = []
+    open_: dict[str, tuple[str, int, list[int], list[int]]] = {}
+
+    def write() -> None:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        rows.clear()
+
+    for slot, (n, j, phase) in enumerate(scheduled(blocks, weights)):
+        row = open_.setdefault(n, (n, j // CHUNK, [], []))
+        row[2].append(slot)
+        row[3].append(phase)
+        if j % CHUNK == CHUNK - 1:
+            rows.append(open_.pop(n))
+            if len(rows) == WRITTEN:
+                write()
+    rows += open_.values()
+    write()
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_key(doc_id, seed: int = SEED):
@@ -137,22 +148,14 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
     spark = docs.sparkSession
     ranked, sizes = in_source_order(docs, seed)
     shares = whole_parts({n: (weights or {}).get(n, 0.0) if weights else s**POWER for n, s in sizes.items()}, parts) if sizes else {}
-    slots, spans, start = [], [], 0
-    for k, (active, n_slots, had) in enumerate(phases({n: -(-s // block) for n, s in sizes.items()}, shares)):
-        total = sum(active.values())
-        slots += [(k, n, j, at) for at, (n, j) in enumerate(period(active))]
-        spans += [(k, n, had[n], active[n], total, start) for n in active]
-        start += n_slots
-    schedule = durable(spark.createDataFrame(slots, "phase int, source string, turn long, at long"), "schedule")
-    bounds = durable(spark.createDataFrame(spans, "phase int, source string, had long, weight long, total long, start long").withColumn("until", F.lead("had").over(W.partitionBy("source").orderBy("phase"))), "phases")
-    placed = (
-        ranked.withColumn("block", F.floor(F.col("rank") / block))
-        .join(F.broadcast(bounds), "source").where((F.col("block") >= F.col("had")) & (F.col("until").isNull() | (F.col("block") < F.col("until"))))
-        .withColumn("turn", (F.col("block") - F.col("had")) % F.col("weight"))
-        .join(F.broadcast(schedule), ["phase", "source", "turn"])
-    )
-    slot = F.col("start") + F.floor((F.col("block") - F.col("had")) / F.col("weight")) * F.col("total") + F.col("at")
-    return placed.select("doc", "source", "rank", "phase", slot.alias("slot"), (slot * block + F.col("rank") % block).alias("place"))
+    blocks = {n: -(-s // block) for n, s in sizes.items()}
+    slots = schedule(spark, blocks, shares)
+    if sum(blocks.values()) <= BROADCAST:
+        slots = F.broadcast(slots)
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block)).withColumn("chunk", F.floor(F.col("block") / CHUNK)).join(slots, ["source", "chunk"])
+    at = (F.col("block") % CHUNK).cast("int")
+    slot = F.col("slots")[at]
+    return placed.select("doc", "source", "rank", F.col("phases")[at].alias("phase"), slot.alias("slot"), (slot * block + F.col("rank") % block).alias("place"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
