@@ -6,7 +6,8 @@ broadcast. Prediction sums its columns over the n-grams of a text, batch by batc
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0. Rows without
 doc_id or language are never learned from. Without any row to learn from, every text is
-``und``. Ties go to the language that sorts first. Long texts are scored in pieces.
+``und``. Ties go to the language that sorts first. Long texts are scored in pieces, each
+n-gram once.
 Other columns are ignored, repeated rows count each.
 """
 
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspark.llm.text_arrays import code_points, gram_buckets, pieces
+from wayspark.llm.text_arrays import PIECE, gram_buckets, pieces
 
 ORDERS = (1, 2, 3)
 BITS = 14
@@ -45,15 +46,13 @@ class Model:
     orders: tuple[int, ...]
     bits: int
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str], size: int = PIECE) -> np.ndarray:
         """Log-probability of each language and text, texts x languages."""
         out = np.tile(self.log_prior, (len(texts), 1))
-        for ids, parts in pieces(texts, max(self.orders) - 1):
-            index = np.array(ids)
-            flat, bounds = code_points([p.lower() for p in parts])
-            for bucket, owner in gram_buckets(flat, bounds, self.orders, self.bits):
+        for piece in pieces([t.lower() for t in texts], max(self.orders) - 1, size):
+            for bucket, text in gram_buckets(piece, self.orders, self.bits):
                 for k in range(len(self.langs)):
-                    out[:, k] += np.bincount(index[owner], weights=self.log_prob[k][bucket], minlength=len(texts))
+                    out[:, k] += np.bincount(text, weights=self.log_prob[k][bucket], minlength=len(texts))
         return out
 
 
@@ -75,9 +74,8 @@ def train(docs: DataFrame, orders=ORDERS, bits: int = BITS, smoothing: float = S
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 table = totals.setdefault(lang, np.zeros(size + 1, dtype=np.int64))
                 texts_of[lang] = texts_of.get(lang, 0) + len(own)
-                for _, parts in pieces(own, max(orders) - 1):
-                    flat, bounds = code_points([p.lower() for p in parts])
-                    for bucket, _owner in gram_buckets(flat, bounds, orders, bits):
+                for piece in pieces([t.lower() for t in own], max(orders) - 1):
+                    for bucket, _text in gram_buckets(piece, orders, bits):
                         table[:size] += np.bincount(bucket, minlength=size)
         for lang, table in totals.items():
             table[size] = texts_of[lang]
