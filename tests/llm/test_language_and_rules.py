@@ -1,6 +1,9 @@
 import random
+from collections import Counter
+from math import exp, log
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wayspark.llm import language_id, quality_rules, url_filter
@@ -23,16 +26,50 @@ def test_language_odd_rows(spark, make_docs, odd):
     assert language_id.predict(make_docs([]), model).count() == 0
 
 
-def test_language_scores_against_one_gram_at_a_time(make_docs):
-    docs = make_docs([(i, t, x, "s") for i, (t, x) in enumerate((("abab cd", "a"), ("xyzzy q", "b"), ("abc xyz", "a")))])
-    m = language_id.train(docs)
-    text = "abx yz"
-    want = m.log_prior.copy()
-    flat, bounds = language_id.code_points([text])
-    for bucket, _ in language_id.gram_buckets(flat, bounds, m.orders, m.bits):
-        for b in bucket:
-            want = want + m.log_prob[:, b]
-    assert np.allclose(m.scores([text])[0], want)
+def plain_bucket(gram, bits):
+    h = 0
+    for n, c in enumerate(gram, 1):
+        h = (h * 0x100000001B3 + ord(c) + n) % 2**64
+    return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> (64 - bits)
+
+
+def plain_bayes(rows, texts):
+    """Language and score of each text, learned and scored n-gram by n-gram with dicts."""
+    bits, alpha = language_id.BITS, language_id.SMOOTHING
+    grams = lambda t: [plain_bucket(t[i : i + n], bits) for t in [t.lower()] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+    counts, docs = {}, Counter(x for _, x in rows)
+    for t, x in rows:
+        counts.setdefault(x, Counter()).update(grams(t))
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        s = {x: log(docs[x] / len(rows)) + sum(log((c[g] + alpha) / (c.total() + alpha * 2**bits)) for g in grams(t)) for x, c in counts.items()}
+        best = min(s, key=lambda x: (-s[x], x))
+        out.append((best, 1 / sum(exp((v - s[best]) / 3) for v in s.values())))
+    return out
+
+
+def test_language_against_plain_bayes(make_docs):
+    """Counts, priors, scores and ties (to the language that sorts first), learned over several tasks."""
+    rng = random.Random(6)
+    letters = {"a": "abcdeé", "b": "bcdefß", "c": "cdefgh"}
+    say = lambda x, n: "".join(rng.choice(letters[x] + " ") for _ in range(n)).title()
+    rows = [(say(x, rng.randint(0, 60)), x) for x in "aabbbc" * 15] + [("zzz", "a"), ("zzz", "b")]
+    texts = [say(rng.choice("abc"), rng.randint(1, 25)) for _ in range(80)] + ["", "12 !", "\u0130x", "zzz"]
+    model = language_id.train(make_docs([(i, t, x, "s") for i, (t, x) in enumerate(rows)], parts=4))
+    got = {r.doc_id: r for r in language_id.predict(make_docs(texts), model).collect()}
+    for i, (lang, score) in enumerate(plain_bayes(rows, texts)):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-9)
+    same = language_id.train(make_docs([(0, "xyz", "q", "s"), (1, "xyz", "p", "s")]))
+    assert [r.lang_pred for r in language_id.predict(make_docs(["xyz"]), same).collect()] == ["p"]
+
+
+def test_language_scores_do_not_depend_on_pieces(make_docs):
+    model = language_id.train(make_docs([(0, "the cat sat", "en", "s"), (1, "die katze saß", "de", "s")]))
+    text = "the cat die katze " * 1000
+    assert np.allclose(model.scores([text, "saß"]), model.scores([text, "saß"], 5000), rtol=1e-12)
 
 
 def test_repeated_words_against_brute_force():
@@ -73,3 +110,20 @@ def test_urls(spark):
             1: ("a.example.com", "/en/7x", "example.com/en/7", "allow"), 2: ("b.example.net", "/de/81", "example.net/de/8", "block"), 3: ("org", "/es/", "org/es/", "block"),
             4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("ads-track.example.com", "", None, "block"), 7: ("y.ads-track.example.com", "/", None, "block"), 8: ("", "", None, "allow"),
         }
+
+
+def test_every_rule_its_subdomains_and_neighbours(spark):
+    """The five rules of the query: their host, a subdomain, a neighbour, another path, and both overrides."""
+    want = {
+        "http://com/en/": ("com/en/", "block"), "http://a.com/en/1": ("com/en/", "block"), "http://xcom/en/1": (None, "allow"), "http://a.com/fr/en/": (None, "allow"), "http://a.com/en": (None, "allow"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"), "http://w.example.com/en/70": ("example.com/en/7", "allow"), "http://xexample.com/en/7": ("com/en/", "block"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://net/de/": ("net/de/", "allow"), "http://a.net/de/8": ("net/de/", "allow"), "http://xnet/de/": (None, "allow"), "http://a.net/DE/8": (None, "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://W.Example.NET/de/81#x": ("example.net/de/8", "block"), "http://xexample.net/de/8": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://org/es/": ("org/es/", "block"), "http://a.org/es/?x": ("org/es/", "block"), "http://xorg/es/": (None, "allow"), "http://a.org/es": (None, "allow"),
+        # a listed domain is blocked unless a rule says otherwise
+        "http://ads-track.example.com/en/7": ("example.com/en/7", "allow"), "http://adult-x.example.net/de/1": ("net/de/", "allow"), "http://adult-x.example.net/x": (None, "block"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    listed = spark.createDataFrame([(x,) for x in url_filter.BLOCKED_DOMAINS], "key string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, listed).collect()}
+    assert {u: got[i] for i, u in enumerate(want)} == want
