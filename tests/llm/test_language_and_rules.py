@@ -91,6 +91,45 @@ def test_rules_odd_rows(make_docs, odd):
     assert quality_rules.quality_rules(make_docs([])).count() == 0
 
 
+def test_sources_have_fences_of_their_own(make_docs):
+    """The same text passes where its like is common, and fails where it isn't; small groups lean on all."""
+    plain = lambda i: f"word{i % 7} " * 5 + " ".join(f"w{i}x{k}" for k in range(30))
+    marked = lambda i: plain(i) + " # a$ % b|"
+    rows = [(i, marked(i) if i % 3 else plain(i), "en", "code") for i in range(300)]
+    rows += [(1000 + i, marked(i) if i % 50 == 0 else plain(i), "en", "news") for i in range(1000)]
+    rows += [(2000 + i, marked(i), "en", "few") for i in range(2)]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(make_docs(rows)).collect()}
+    assert all(out[i].kept for i in range(300))
+    assert all(out[1000 + i].kept == (i % 50 != 0) for i in range(1000))
+    assert all(out[2000 + i].kept for i in range(2))
+    sketch = quality_rules.sketches(quality_rules.with_counts(make_docs(rows)))
+    high = {(r.source, r.ratio): r.high for r in quality_rules.fences(sketch).collect()}
+    assert high["news", "symbol_share"] < high["few", "symbol_share"] < high["code", "symbol_share"]
+
+
+def test_fences_against_plain_quantiles(make_docs):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.randint(1, 9) + rng.choice(["", "", "#", "."]) for _ in range(rng.randint(20, 60))), rng.choice(["en", "fr"]), rng.choice("abc")) for i in range(200)]
+    counts = quality_rules.with_counts(make_docs(rows))
+    got = {(r.lang, r.source, r.ratio): (r.low, r.high) for r in quality_rules.fences(quality_rules.sketches(counts)).collect()}
+    own = {r.doc_id: r for r in counts.collect()}
+    for ratio, top, bottom, scale, level, two_sided in (("word_length", "word_chars", "n_words", 1000, 0.9, True), ("symbol_share", "n_symbols", "word_chars", 10**6, 0.9, False), ("repeat_share", "n_repeat_words", "n_words", 10**6, 0.99, False)):
+        def quantiles(pick):
+            v = sorted(scale * own[i][top] // own[i][bottom] for i, _, x, s in rows if pick(x, s) and 100 * own[i].n_repeat_words <= 30 * own[i].n_words)
+            v = [x - x % (1 << max(0, x.bit_length() - 7)) for x in v]
+            at = lambda p: v[max(0, -(-round(p * 1000) * len(v) // 1000) - 1)]
+            return len(v), at(1 - level), at(level)
+        blend = lambda n, q, parent: (n * q + 200 * parent) // (n + 200)
+        every = quantiles(lambda x, s: True)
+        for lang in ("en", "fr"):
+            n, *q = quantiles(lambda x, s: x == lang)
+            mid = [blend(n, a, b) for a, b in zip(q, every[1:])]
+            for source in "abc":
+                n, *q = quantiles(lambda x, s: (x, s) == (lang, source))
+                low, high = (blend(n, a, b) for a, b in zip(q, mid))
+                assert got[lang, source, ratio] == (low - 2 * (high - low) if two_sided else None, high + 2 * (high - low))
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"h{i}.example.com" for i in range(3000)]
     universe, listed = (spark.createDataFrame([(k,) for k in x], "key string") for x in (keys, keys[::3] + ["elsewhere.org", None]))

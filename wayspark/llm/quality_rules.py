@@ -3,10 +3,13 @@
 Each text gets a few counts. Their ratios are summed up in quantile sketches: a sketch
 is a table of counts by bucket (an integer cut to its SUB_BITS leading bits, so a value
 is known to 1/2**SUB_BITS of itself). Sketches merge by adding counts, whatever the order,
-so Spark's partial aggregation builds them and a retried task changes nothing. A group
-with fewer than ``min_group`` texts takes the merged sketch of its language, then of all.
-The fence of a ratio is its upper quartile plus ``reach`` times the distance between
-the quartiles plus a slack; texts outside a fence are not kept.
+so Spark's partial aggregation builds them and a retried task changes nothing.
+
+A ratio has a quantile level: the fence lies ``reach`` times the distance between the
+quantiles at that level and at its opposite beyond the outer one, so nothing about it is
+fixed but the level. Quantiles of a group are blended with those of its language, which
+are blended with those of all texts: a group of n texts counts n times, its parent ``prior``
+times. Texts outside a fence are not kept.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null language
 or source counts as an empty name; repeated rows are counted and judged each; other
@@ -31,14 +34,15 @@ SUB_BITS = 6
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
 
-#: ratio: (numerator, denominator, scale, slack, two-sided)
+#: ratio: (numerator, denominator, scale, quantile level in thousandths, two-sided)
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 1_000, 1_000, True),
-    "symbol_share": ("n_symbols", "word_chars", 1_000_000, 30_000, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 1_000_000, 300_000, False),
-    "repeat_share": ("n_repeat_words", "n_words", 1_000_000, 300_000, False),
-    "marks_per_word": ("n_marks", "n_words", 1_000, 400, False),
+    "word_length": ("word_chars", "n_words", 1_000, 900, True),
+    "symbol_share": ("n_symbols", "word_chars", 1_000_000, 900, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1_000_000, 990, False),
+    "repeat_share": ("n_repeat_words", "n_words", 1_000_000, 990, False),
+    "marks_per_word": ("n_marks", "n_words", 1_000, 900, False),
 }
+REACH, PRIOR = 2, 200
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -138,49 +142,37 @@ def sketches(counts: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, min_group: int = 200, reach: float = 3.0) -> DataFrame:
+def fences(sketch: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """lang, source, ratio, low, high: one row for each group that has a sketch.
 
-    ``reach`` counts in whole numbers so that fences are exact integers.
+    All numbers are whole, so fences are exact.
     """
-    def quartiles(table: DataFrame, by: list[str]) -> DataFrame:
+    level = F.create_map(*(F.lit(x) for name, r in RATIOS.items() for x in (name, r[3])))[F.col("ratio")]
+
+    def quantiles(table: DataFrame, by: list[str], name: str) -> DataFrame:
         merged = table.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
         w = W.partitionBy(*by, "ratio")
         cum = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-        return cum.groupBy(*by, "ratio").agg(
-            F.max("total").alias("size"),
-            F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-            F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
-        )
-
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(sketch, ["lang"]).select("lang", "ratio", *(F.col(c).alias(f"lang_{c}") for c in ("size", "q1", "q3")))
-    every = quartiles(sketch, []).select("ratio", *(F.col(c).alias(f"all_{c}") for c in ("q1", "q3")))
-    slack = F.create_map(*(F.lit(x) for name, r in RATIOS.items() for x in (name, r[3])))
+        at = lambda part: F.min(F.when(1000 * F.col("upto") >= part * F.col("total"), F.col("bucket")))
+        return cum.groupBy(*by, "ratio").agg(F.max("total").alias(f"{name}_n"), at(1000 - level).alias(f"{name}_low"), at(level).alias(f"{name}_high"))
+
+    both = quantiles(sketch, ["lang", "source"], "own").join(quantiles(sketch, ["lang"], "lang"), ["lang", "ratio"]).join(quantiles(sketch, [], "all"), "ratio")
+    blend = lambda n, own, parent: F.expr(f"({n} * {own} + {prior} * {parent}) div ({n} + {prior})")
+    for side in ("low", "high"):
+        both = both.withColumn("parent", blend("lang_n", f"lang_{side}", f"all_{side}")).withColumn(side, blend("own_n", f"own_{side}", "parent"))
+    spread = reach * (F.col("high") - F.col("low"))
     two_sided = [name for name, r in RATIOS.items() if r[4]]
+    return both.select("lang", "source", "ratio", (F.col("high") + spread).alias("high"), F.when(F.col("ratio").isin(two_sided), F.col("low") - spread).alias("low"))
 
-    def pick(q: str) -> Column:
-        return F.when(F.col("size") >= min_group, F.col(q)).when(F.col("lang_size") >= min_group, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-
-    spread = int(reach) * (F.col("q3") - F.col("q1")) + slack[F.col("ratio")]
-    return (
-        own.join(lang, ["lang", "ratio"]).join(every, "ratio")
-        .select("lang", "source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3"))
-        .select(
-            "lang", "source", "ratio", (F.col("q3") + spread).alias("high"),
-            F.when(F.col("ratio").isin(two_sided), F.col("q1") - spread).alias("low"),
-        )
-    )
 
-
-def quality_rules(docs: DataFrame, min_group: int = 200, reach: float = 3.0, broadcast_groups: int = 50_000) -> DataFrame:
+def quality_rules(docs: DataFrame, reach: int = REACH, prior: int = PRIOR, broadcast_groups: int = 50_000) -> DataFrame:
     """Every document with its counts, ``base_failed`` and ``kept``.
 
     The fences are joined by language and source: broadcast up to ``broadcast_groups``
     groups, with a shuffled join (whose hot groups AQE splits) beyond.
     """
     counts = durable(with_counts(docs), "counts")
-    limits = fences(sketches(counts), min_group, reach).groupBy("lang", "source").agg(
+    limits = fences(sketches(counts), reach, prior).groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("ratio") == name, F.col(side))).alias(f"{name}_{side}") for name in RATIOS for side in ("low", "high"))
     )
     limits = durable(limits, "fences")
@@ -203,55 +195,42 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _sql() -> str:
-    def ratio(name: str) -> str:
-        a, b, scale, _, _ = RATIOS[name]
-        return f"({scale} * {a}) // {b}"
-
-    def quart(by: str) -> str:
-        group = f"{by}, " if by else ""
-        part = f"partition by {group}ratio"
-        return (
-            f"select {group}ratio, max(total) as size, min(case when 4*upto >= total then bucket end) as q1, "
-            f"min(case when 4*upto >= 3*total then bucket end) as q3 from (select {group}ratio, bucket, "
-            f"sum(n) over ({part} order by bucket) as upto, sum(n) over ({part}) as total from "
-            f"(select {group}ratio, bucket, sum(n) as n from sk group by all)) group by all"
-        )
-
-    values = " union all ".join(f"select lang, source, '{n}' as ratio, {ratio(n)} as v from c where not base_failed" for n in RATIOS)
-    slack = "case ratio " + " ".join(f"when '{n}' then {r[3]}" for n, r in RATIOS.items()) + " end"
-    checks = " and ".join(
-        f"{ratio(n)} <= max(case when ratio = '{n}' then high end)" + (f" and {ratio(n)} >= max(case when ratio = '{n}' then low end)" if r[4] else "")
-        for n, r in RATIOS.items()
-    )
-    return rf"""
+#: Written out, apart from the constants above.
+ORACLE = r"""
 with t as (select row_number() over () as row_id, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
 w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
       list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
-g as (select row_id, i, array_to_string(words[i:i+{WINDOW - 1}], ' ') as gram
-      from (select row_id, words, unnest(range(1, len(words) - {WINDOW - 2})) as i from w where len(words) >= {WINDOW})),
+g as (select row_id, i, array_to_string(words[i:i+7], ' ') as gram
+      from (select row_id, words, unnest(range(1, len(words) - 6)) as i from w where len(words) >= 8)),
 m as (select row_id, i from (select row_id, i, count(*) over (partition by row_id, gram) as k from g) where k > 1),
-p as (select row_id, count(distinct i + d) as n_repeat_words from m, range({WINDOW}) r(d) group by row_id),
+p as (select row_id, count(distinct i + d) as n_repeat_words from m, range(8) r(d) group by row_id),
 b as (select row_id, doc_id, lang, source, len(words)::BIGINT as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT as word_chars,
       (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT as n_symbols,
       (len(lines) - len(list_distinct(lines)))::BIGINT as n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT as n_repeat_words,
       len(lines)::BIGINT as n_lines, (length(text) - length(regexp_replace(text, '[!?.,;:]', '', 'g')))::BIGINT as n_marks
       from w left join p using (row_id)),
 c as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b),
-v as ({values}),
-sk as (select lang, source, ratio, (v // step) * step as bucket, count(*)::BIGINT as n
-       from (select *, (1::BIGINT << greatest(0, length(ltrim(bin(v), '0')) - {SUB_BITS + 1})) as step from v) group by all),
-f as (select lang, source, ratio, q3 + {{reach}} * (q3 - q1) + {slack} as high, q1 - {{reach}} * (q3 - q1) - {slack} as low from (
-      select o.lang, o.source, ratio,
-        case when o.size >= {{min_group}} then o.q1 when l.size >= {{min_group}} then l.q1 else a.q1 end as q1,
-        case when o.size >= {{min_group}} then o.q3 when l.size >= {{min_group}} then l.q3 else a.q3 end as q3
-      from ({quart('lang, source')}) o join ({quart('lang')}) l using (lang, ratio) join ({quart('')}) a using (ratio)))
+v as (select lang, source, unnest([
+        {'ratio': 'word_length', 'p': 900, 'v': (1000 * word_chars) // n_words}, {'ratio': 'symbol_share', 'p': 900, 'v': (1000000 * n_symbols) // word_chars},
+        {'ratio': 'dup_line_share', 'p': 990, 'v': (1000000 * n_dup_lines) // n_lines}, {'ratio': 'repeat_share', 'p': 990, 'v': (1000000 * n_repeat_words) // n_words},
+        {'ratio': 'marks_per_word', 'p': 900, 'v': (1000 * n_marks) // n_words}], recursive := true) from c where not base_failed),
+sk as (select *, (v // step) * step as bucket from (select *, (1::BIGINT << greatest(0, length(ltrim(bin(v), '0')) - 7)) as step from v)),
+own as (select lang, source, ratio, max(n) as n, min(bucket) filter (1000 * i >= (1000 - p) * n) as low, min(bucket) filter (1000 * i >= p * n) as high
+  from (select *, row_number() over (partition by lang, source, ratio order by bucket) as i, count(*) over (partition by lang, source, ratio) as n from sk) group by lang, source, ratio),
+per_lang as (select lang, ratio, max(n) as n, min(bucket) filter (1000 * i >= (1000 - p) * n) as low, min(bucket) filter (1000 * i >= p * n) as high
+  from (select *, row_number() over (partition by lang, ratio order by bucket) as i, count(*) over (partition by lang, ratio) as n from sk) group by lang, ratio),
+every as (select ratio, max(n) as n, min(bucket) filter (1000 * i >= (1000 - p) * n) as low, min(bucket) filter (1000 * i >= p * n) as high
+  from (select *, row_number() over (partition by ratio order by bucket) as i, count(*) over (partition by ratio) as n from sk) group by ratio),
+up as (select l.lang, ratio, (l.n * l.low + 200 * e.low) // (l.n + 200) as low, (l.n * l.high + 200 * e.high) // (l.n + 200) as high from per_lang l join every e using (ratio)),
+z as (select o.lang, o.source, ratio, (o.n * o.low + 200 * u.low) // (o.n + 200) as low, (o.n * o.high + 200 * u.high) // (o.n + 200) as high from own o join up u using (lang, ratio)),
+f as (select lang, source, max(high + 2 * (high - low)) filter (ratio = 'word_length') as long_, min(low - 2 * (high - low)) filter (ratio = 'word_length') as short_,
+      max(high + 2 * (high - low)) filter (ratio = 'symbol_share') as symbols, max(high + 2 * (high - low)) filter (ratio = 'dup_line_share') as dups,
+      max(high + 2 * (high - low)) filter (ratio = 'repeat_share') as repeats, max(high + 2 * (high - low)) filter (ratio = 'marks_per_word') as marks from z group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       case when base_failed then false else coalesce({checks}, true) end as kept, n_lines, n_marks
+       case when base_failed then false else (1000 * word_chars) // n_words between short_ and long_ and (1000000 * n_symbols) // word_chars <= symbols
+         and (1000000 * n_dup_lines) // n_lines <= dups and (1000000 * n_repeat_words) // n_words <= repeats and (1000 * n_marks) // n_words <= marks end as kept, n_lines, n_marks
 from c left join f using (lang, source)
-group by row_id, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_marks
-""".replace("{reach}", "3").replace("{min_group}", "200")
-
+"""
 
 QUERIES = {"op6_quality_rules": query}
-ORACLE_SQL = {"op6_quality_rules": _sql()}
+ORACLE_SQL = {"op6_quality_rules": ORACLE}
