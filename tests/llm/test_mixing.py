@@ -1,5 +1,6 @@
 import hashlib
 import random
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,15 +44,34 @@ def test_places_follow_the_schedule(make_docs, weights):
     assert len({r.place for r in rows}) == 700
 
 
-def test_first_slots_keep_within_a_block_of_the_weights(make_docs):
-    docs = make_docs([(i, "t", "en", "ab"[i % 2]) for i in range(400)])
-    first = M.mixed(docs, {"a": 3, "b": 1}, block=1, parts=100).where("phase = 0").orderBy("place").select("source").collect()
-    for t in range(1, len(first) + 1):
-        assert abs(sum(r.source == "a" for r in first[:t]) - 0.75 * t) < 1.1  # weights are whole parts of 100
+def test_a_million_slots_keep_within_a_block_of_skewed_weights():
+    given = {"a": 2 / 3, "b": 1 / 3 - 2e-6, "c": 1e-6, "d": 1e-6, "none": 0.0}
+    weights = M.whole_parts(given)
+    assert "none" not in weights and M.whole_parts({"a": 1, "b": 0}) == {"a": M.PARTS} and M.whole_parts({}) == {}
+    had = dict.fromkeys(weights, 0)
+    for t, (n, j) in enumerate(islice(M.order(weights), 1_000_000), 1):
+        assert j == had[n]
+        had[n] += 1
+        assert abs(had[n] - given[n] * t) < 1 + 1e-5
+        if t % 1000 == 0:
+            assert all(abs(had[m] - given[m] * t) < 1 + 1e-5 for m in had)
+    assert had["c"] == had["d"] == 1
+
+
+def test_sources_of_weight_0_are_not_in_the_mix(make_docs):
+    docs = make_docs([(i, "t", "en", "ab"[i % 2]) for i in range(40)])
+    rows = M.mixed(docs, {"a": 1, "b": 0}, block=4).collect()
+    assert len(rows) == 40 and all((r.slot is None, r.place is None, r.phase is None) == ((r.source == "b",) * 3) for r in rows)
+
+
+def test_blocks_grow_where_there_would_be_too_many(make_docs):
+    docs = make_docs([(i, "t", "en", "ab"[i % 2]) for i in range(100)])
+    rows = M.mixed(docs, block=1, most=10).collect()
+    assert {r.slot for r in rows} == set(range(10)) and len({r.place for r in rows}) == 100
 
 
 def test_odd_rows(spark, make_docs):
-    docs = make_docs([(None, None, None, None), (None, None, None, None), (1, "", "en", "s"), (1, "", "en", "s")]).withColumns({"doc": F.lit(1), "rank": F.lit(2), "place": F.lit(3)})
+    docs = make_docs([(None, None, None, None), (None, None, None, None), (1, "", "en", "s"), (1, "", "en", "s")]).withColumns({"doc": F.lit(1), "rank": F.lit(2), "place": F.lit(3), "a.b": F.lit(4), "my col": F.lit(5), "my-col": F.lit(6), "x`y": F.lit(7)})
     out = M.mixed(docs)
     assert out.count() == 4 and out.select("place").distinct().count() == 4
     assert out.select("doc.*").columns == docs.columns

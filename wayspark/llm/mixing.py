@@ -10,14 +10,17 @@ Every row comes out once. Sources are shuffled by a hash of doc_id; blocks hold
 rows. When a source runs out, the others go on, with their weights scaled up, as a new
 phase. A row's place follows from its rank in its source and the slot of its block.
 
-Bounds: ``max_sources`` sources (ValueError beyond). The driver makes the schedule of all
+Bounds: MAX_SOURCES sources (ValueError beyond). The driver makes the schedule of all
 blocks, a few microseconds each, and writes it as it goes, so that it holds WRITTEN rows of
-CHUNK blocks and one open chunk a source. Up to BROADCAST blocks the schedule is broadcast.
+CHUNK blocks and one open chunk a source. Blocks hold more than ``block`` rows where there
+would otherwise be more than ``most`` of them, so this takes half a minute at any size. Up to
+BROADCAST blocks the schedule is broadcast, else joined.
 
 Edge cases: a null source counts as an empty name. A null doc_id ranks by its hash like
 any other. Repeated rows get places of their own, next to each other in their source.
-A source without a given weight gets the least, one part. The last block of a source may be
-short. An empty table gives an empty result; other columns are kept in ``doc``.
+A source of weight 0, or without a given weight, isn't in the mix: its rows come with null
+phase, slot and place. The last block of a source may be short. An empty table gives an
+empty result; other columns are kept in ``doc``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wayspark.functions.durable import durable, new_path
+from wayspark.llm.columns import whole_row
 
 PARTS = 1 << 40
 BLOCK = 16
+#: Blocks of a schedule at most.
+MOST = 1 << 24
 MAX_SOURCES = 256
 #: Sources weigh as the power of their rows, which favours small ones.
 POWER = 0.7
@@ -41,16 +47,16 @@ SEED = 1
 #: Rows that are ranked together.
 RANKED = 2000
 #: Blocks in a row of the schedule, rows written at once, and blocks of a schedule that is broadcast.
-CHUNK, WRITTEN, BROADCAST = 256, 4096, 1 << 22
+CHUNK, WRITTEN, BROADCAST = 256, 4096, 1 << 20
 
 
 def whole_parts(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Weights as whole parts of ``parts``, at least one each, by largest remainders."""
-    names = sorted(weights)
-    total = sum(weights[n] for n in names)
+    """The positive weights as whole parts of ``parts``, at least one each, by largest remainders."""
+    names = sorted(n for n in weights if weights[n] > 0)
     if parts < len(names):
         raise ValueError(f"{len(names)} sources need as many parts at least")
-    share = {n: parts * Fraction(weights[n]) / Fraction(total) if total else Fraction(parts, len(names)) for n in names}
+    total = sum(Fraction(weights[n]) for n in names)
+    share = {n: parts * Fraction(weights[n]) / total for n in names}
     out = {n: max(1, int(share[n])) for n in names}
     for n in sorted(names, key=lambda n: (int(share[n]) - share[n], n))[: max(0, parts - sum(out.values()))]:
         out[n] += 1
@@ -122,7 +128,7 @@ def in_source_order(docs: DataFrame, seed: int = SEED, bins: int | None = None)
     Rows are ranked in bins of neighbouring keys, whatever their source; a bin's first
     rank in a source is the number of that source's rows in the bins before.
     """
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.coalesce(docs["source"], F.lit("")).alias("source"), shuffle_key(docs["doc_id"], seed).alias("key"))
+    rows = docs.select(whole_row(docs).alias("doc"), F.coalesce("source", F.lit("")).alias("source"), shuffle_key(F.col("doc_id"), seed).alias("key"))
     sizes = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -139,7 +145,7 @@ def in_source_order(docs: DataFrame, seed: int = SEED, bins: int | None = None)
     return ranked.join(starts, "bin").select("doc", "source", (F.col("starts")[F.col("source")] + F.col("within")).alias("rank")), sizes
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, parts: int = PARTS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, parts: int = PARTS, seed: int = SEED, most: int = MOST) -> DataFrame:
     """All rows with their place: doc (all columns of ``docs``), source, rank, phase, slot, place.
 
     ``slot`` counts the blocks of all sources from 0; ``place`` orders the rows, from 0
@@ -147,12 +153,13 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: in
     """
     spark = docs.sparkSession
     ranked, sizes = in_source_order(docs, seed)
-    shares = whole_parts({n: (weights or {}).get(n, 0.0) if weights else s**POWER for n, s in sizes.items()}, parts) if sizes else {}
-    blocks = {n: -(-s // block) for n, s in sizes.items()}
+    shares = whole_parts({n: (weights or {}).get(n, 0) if weights else s**POWER for n, s in sizes.items()}, parts)
+    block = max(block, -(-sum(sizes.values()) // most))
+    blocks = {n: -(-sizes[n] // block) for n in shares}
     slots = schedule(spark, blocks, shares)
     if sum(blocks.values()) <= BROADCAST:
         slots = F.broadcast(slots)
-    placed = ranked.withColumn("block", F.floor(F.col("rank") / block)).withColumn("chunk", F.floor(F.col("block") / CHUNK)).join(slots, ["source", "chunk"])
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block)).withColumn("chunk", F.floor(F.col("block") / CHUNK)).join(slots, ["source", "chunk"], "left")
     at = (F.col("block") % CHUNK).cast("int")
     slot = F.col("slots")[at]
     return placed.select("doc", "source", "rank", F.col("phases")[at].alias("phase"), slot.alias("slot"), (slot * block + F.col("rank") % block).alias("place"))
