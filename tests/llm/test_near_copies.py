@@ -59,7 +59,7 @@ def test_copies_that_three_bits_miss(spark, make_docs):
 
 
 def test_odd_rows(make_docs, odd):
-    docs = make_docs([*enumerate(odd), (None, "one"), (7, "q"), (7, "q")]).withColumns({"uid": F.lit(1), "n": F.lit(2), "key": F.lit(3)})
+    docs = make_docs([*enumerate(odd), (None, "one"), (7, "q"), (7, "q")]).withColumns({"uid": F.lit(1), "n": F.lit(2), "key": F.lit(3), "a.b": F.lit(4), "my col": F.lit(5), "my-col": F.lit(6), "x`y": F.lit(7)})
     out = M.one_of_each(docs)
     assert out.columns == docs.columns and out.where("doc_id is null").count() == 0 and out.where("text = 'q'").count() == 1
     assert M.one_of_each(make_docs([])).count() == 0

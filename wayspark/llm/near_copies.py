@@ -1,22 +1,22 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash and MinHash candidates, verified by exact Jaccard similarity.
 
-Two texts are near copies if their sets of shingles have a similarity of 4/5 or more. A
-text with n shingles has at least 4/5 of them in common with a near copy, so under any
-order of all shingles, its first n - ceil(4n/5) + 1 hold the first common one, and so do
-those of the copy. These are its keys, and no near copies miss each other. Candidates are
-pairs that share a key at places that leave enough for 4/5, and enough keys; they are
-verified on their sets.
+Two texts are near copies if their sets of five-word shingles have a similarity of 4/5 or
+more. Texts with equal sets are one from the start. Candidates come from operator 8, that
+is, from SimHash fingerprints of the sets within SIM_BITS bits, found by the generalised
+pigeonhole principle; and, as most texts of that similarity are farther apart (some 10 of 64
+bits, for which no partition leaves a key that selects), from BANDS keys of ROWS MinHashes
+each. A pair of similarity 4/5 shares a key with a probability of 1 - (1 - 0.8**5)**20, which
+is 0.9996, and the more alike, the likelier. Every candidate is verified on the whole sets.
 
-The order is that of the hashes, with shingles that a sample of the texts shows to be
-frequent at the end, so they are seldom keys. Texts with equal sets are one from the
-start. Under a key that more than BUCKET texts share, all are held against one of them,
-in ROUNDS rounds, and what is linked by then isn't compared again: only texts outside the
-key's largest component are compared with the others there.
+Under a key that more than ``bucket`` texts share, they are held against one of them in
+ROUNDS rounds, and what is linked by then isn't compared again. What is left open there is
+parted by keys of more MinHashes: DEEP_BANDS of DEEP_ROWS, of which a pair of similarity 4/5
+shares one with a probability of 0.995, one of similarity 1/2 with 0.005.
 
 Edge cases: words are parted by ASCII space, and compared with ASCII letters in lower case.
 A text of fewer than five words is one shingle. Null, empty and blank texts are equal.
 Shingles are known by 64-bit hashes. A row with null doc_id stays only if no other is in
-its component. Other columns are kept.
+its component; of repeated rows one stays. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayspark.functions.durable import durable, release
+from wayspark.llm import simhash
+from wayspark.llm.columns import whole_row
 from wayspark.operators.components import components
 
-SHINGLE, SEED = 5, 42
+SHINGLE, SEED, SIM_BITS = 5, 42, 3
+BANDS, ROWS = 20, 5
+DEEP_BANDS, DEEP_ROWS = 150, 15
 #: Texts under one key that are compared with each other.
 BUCKET = 64
-ROUNDS = 3
-#: One text in so many is counted for the order, and the frequent shingles that are remembered.
-SAMPLE, FREQUENT = 8, 100_000
+ROUNDS = 4
+#: Ids that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 
 class _Words(dict):
@@ -66,8 +70,33 @@ def shingle_set(text: str | None, words: dict | None = None, shingle: int = SHIN
     return np.unique(h.view(np.int64))
 
 
-def n_keys(n: int) -> int:
-    return n - -(-4 * n // 5) + 1 if n else 0
+def _factors(n: int, seed: int) -> np.ndarray:
+    """Odd numbers, each of which permutes 64-bit hashes."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(grams: np.ndarray, bands: int, rows: int, seed: int = 0) -> np.ndarray:
+    """A key for each band: a hash of the band's number and its MinHashes; none for an empty set."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    h, factors = grams.view(np.uint64), _factors(bands * rows, seed)
+    least = np.full(len(factors), (1 << 64) - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), 2048):
+            np.minimum(least, (h[at : at + 2048, None] * factors).min(axis=0), out=least)
+        key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for x in least.reshape(bands, rows).T:
+            key = (key ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def sim_bits(grams: np.ndarray) -> int:
+    """The SimHash of a set, as a signed long: bits that are set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 14):
+        ones += np.unpackbits(grams[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)[0])
 
 
 def _arrays(lists: list[np.ndarray]) -> pa.Array:
@@ -75,29 +104,24 @@ def _arrays(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
 
 
-def signatures(texts: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
-    """uid, n (size of the set), a and b (sums that stand for the set) and keys, from uid and text."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.sort(frequent if frequent is not None else np.zeros(0, np.int64)))
+def signatures(texts: DataFrame) -> DataFrame:
+    """uid, n (size of the set), a and b (sums that stand for the set), fp and keys, from uid and text."""
 
     def run(batches):
-        words, late = _Words(), shared.value
+        words = _Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py(), words) for t in part.column(1)]
-                keys = []
-                for s in sets:
-                    if len(late) and len(s):
-                        known = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        keys.append(np.concatenate([s[~known], s[known]])[: n_keys(len(s))])
-                    else:
-                        keys.append(s[: n_keys(len(s))])
                 with np.errstate(over="ignore"):
                     b = [int(((s ^ (s >> 31)) * np.int64(0x1D8E4E27C47D124F)).sum(dtype=np.int64)) for s in sets]
                     a = [int(s.sum(dtype=np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _arrays(keys)], names=["uid", "n", "a", "b", "keys"])
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                    pa.array([sim_bits(s) for s in sets], pa.int64()), _arrays([band_keys(s, BANDS, ROWS) for s in sets]),
+                ], names=["uid", "n", "a", "b", "fp", "keys"])
 
-    return texts.select("uid", "text").mapInArrow(run, "uid long, n int, a long, b long, keys array<long>")
+    return texts.select("uid", "text").mapInArrow(run, "uid long, n int, a long, b long, fp long, keys array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -113,97 +137,101 @@ def sets_of(texts: DataFrame) -> DataFrame:
     return texts.select("uid", "text").mapInArrow(run, "uid long, grams array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def deep_keys(sets: DataFrame) -> DataFrame:
+    """uid and one row for each of the DEEP_BANDS keys of its set."""
+
+    def run(batches):
+        for batch in batches:
+            for uid, held in zip(batch.column(0), batch.column(1), strict=True):
+                keys = band_keys(held.values.to_numpy(), DEEP_BANDS, DEEP_ROWS, 1)
+                yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()] * len(keys), pa.int64()), pa.array(keys)], names=["uid", "deep"])
+
+    return sets.select("uid", "grams").mapInArrow(run, "uid long, deep long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs u, v that are near copies."""
-    pairs = durable(pairs.select("u", "v").distinct(), "candidates")
-    ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "compared")
-    sets = durable(sets_of(texts.join(ids, "uid", "left_semi")), "sets")
+    pairs = durable(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
     both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("grams").alias("x")), "u").join(sets.select(F.col("uid").alias("v"), F.col("grams").alias("y")), "v")
     out = durable(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v"), "near")
-    release(sets)
+    release(pairs)
     return out
 
 
-def _enough(a: str, b: str):
-    """Whether a common key, if the first, leaves room for 4/5: places and sizes of both sides."""
-    rest = lambda c: F.col(f"{c}.n") - F.col(f"{c}.pos")
-    return 9 * F.least(rest(a), rest(b)) >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+def all_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """u, v of the rows (uid, root, n) with equal ``by``, other roots and sizes that allow for 4/5."""
+    a, b = rows.alias("a"), rows.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]
+    fit = (F.col("a.uid") > F.col("b.uid")) & (F.col("a.root") != F.col("b.root")) & (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n"))
+    return a.join(b, on).where(fit).select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, cond: str = "true") -> DataFrame:
-    both = left.alias("l").join(right.alias("r"), F.col("l.key") == F.col("r.key"))
-    return both.where(F.expr(f"l.uid <> r.uid and {cond}") & _enough("l", "r")).select(F.greatest("l.uid", "r.uid").alias("u"), F.least("l.uid", "r.uid").alias("v")).distinct()
+def _opened(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (key, uid, n) with their roots, of keys with more than one; ``main`` has most rows of its key."""
+    roots = components(found).withColumnRenamed("node", "uid")
+    named = durable(rows.select("key", "uid", "n").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = durable(parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("m")).where("k > 1").drop("k"), "main")
+    return durable(named.join(main, "key"), "open")
 
 
-def _likely(small: DataFrame, large: DataFrame) -> DataFrame:
-    """u, v: pairs of ``small`` that have enough keys in common for 4/5.
+def links(rows: DataFrame, more: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """u, v: links between near copies, enough to connect all.
 
-    Of the text whose keys end first, those that the other lacks are nowhere in the other,
-    so no more is common than the keys that are, and the shingles that aren't keys. Keys in
-    ``large`` aren't compared here, and count as common.
+    ``rows`` (key, uid, n, m) are the keys that m > 1 texts share, ``more`` other candidates.
     """
-    late = large.groupBy("uid").agg(F.count("*").alias("late"))
-    rows = small.join(late, "uid", "left").withColumn("late", F.coalesce("late", F.lit(0)))
-    both = rows.alias("l").join(rows.alias("r"), F.col("l.key") == F.col("r.key")).where("l.uid > r.uid")
-    pairs = both.groupBy(F.col("l.uid").alias("u"), F.col("r.uid").alias("v")).agg(
-        F.count("*").alias("common"), F.max(_enough("l", "r")).alias("enough"), F.max("l.n").alias("a"), F.max("r.n").alias("b"), F.max(F.least("l.late", "r.late")).alias("late")
-    )
-    return pairs.where("enough and 9 * (greatest((4 * a + 4) div 5, (4 * b + 4) div 5) - 1 + common + late) >= 4 * (a + b)").select("u", "v")
-
-
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of ``keys`` (uid, n, pos, key) whose key others have, and m, how many have it."""
-    sizes = durable(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    return durable(keys.join(sizes, "key"), "shared-keys")
-
-
-def links(texts: DataFrame, rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """u, v: links between near copies, enough to connect all; ``rows`` are the shared keys."""
-    small, large = rows.where(F.col("m") <= bucket), rows.where(F.col("m") > bucket)
-    found = verified(_likely(small, large), texts)
-    for turn in range(ROUNDS + 1):
-        if large.isEmpty():
-            break
-        roots = components(found)
-        named = durable(large.select("key", "uid", "n", "pos").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
-        parts = durable(named.groupBy("key", "root").agg(F.count("*").alias("c")), "parts")
-        main = durable(parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1"), "main")
-        named = durable(named.join(main, "key"), "open")
-        if named.isEmpty():
-            break
-        others = named.where("root <> main")
-        if turn < ROUNDS:
-            # one of the largest component, another in each round
-            lead = durable(named.where("root = main").groupBy("key").agg(F.min_by(F.struct("uid", "n", "pos"), F.struct(F.xxhash64("uid", F.lit(turn)), "uid")).alias("x")).select("key", "x.*"), "leaders")
-            near = _pairs(others, lead)
-        else:
-            near = _pairs(others, named, "l.root <> r.root")
-        found = durable(found.unionByName(verified(near, texts)), "links")
-        large = named
-    return found
-
-
-def frequent_shingles(texts: DataFrame, sample: int = SAMPLE, bucket: int = BUCKET) -> np.ndarray:
-    """Keys of many of the sampled texts, at most FREQUENT."""
-    few = texts.where(F.pmod(F.xxhash64("uid"), F.lit(sample)) == 0)
-    keys = signatures(few).groupBy("n", "a", "b").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"))
-    often = keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > max(1, bucket // sample))
-    return np.array([r.key for r in often.orderBy(F.desc("m"), "key").limit(FREQUENT).collect()], np.int64)
+    alone = rows.withColumn("root", F.col("uid"))
+    found = verified(all_pairs(alone.where(F.col("m") <= bucket), ["key"]).unionByName(more), sets)
+    large = rows.where(F.col("m") > bucket)
+    if large.isEmpty():
+        return found
+    for turn in range(ROUNDS):
+        open_ = _opened(large, found)
+        if open_.isEmpty():
+            return found
+        # one of the largest component, another in each round, and the same under many keys
+        lead = open_.where("root = main").groupBy("key").agg(F.min_by("uid", F.struct(F.xxhash64("uid", F.lit(turn)), "uid")).alias("v"))
+        found = durable(found.unionByName(verified(open_.where("root <> main").join(lead, "key").select(F.col("uid").alias("u"), "v"), sets)), "links")
+        large = open_
+    open_ = _opened(large, found)
+    deep = durable(deep_keys(sets.join(open_.select("uid").distinct(), "uid", "left_semi")), "deep")
+    own = open_.groupBy("uid").agg(F.first("root").alias("root"), F.first("n").alias("n"))
+    shared = deep.join(deep.groupBy("deep").agg(F.count("*").alias("c")).where("c > 1").select("deep"), "deep", "left_semi").join(own, "uid")
+    return durable(found.unionByName(verified(all_pairs(durable(shared, "shared-deep"), ["deep"]), sets)), "links")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+
+
+def sim_candidates(first: DataFrame, max_bits: int = SIM_BITS) -> DataFrame:
+    """u, v of ``first`` (uid, fp): texts of one fingerprint, and of fingerprints that operator 8 links."""
+    heads = durable(first.groupBy("fp").agg(F.min("uid").alias("head")), "heads")
+    near = simhash.links(heads.select("fp"), max_bits)
+    equal = first.join(heads, "fp").where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v"))
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "uv")
+    return equal.unionByName(near.join(a, "u").join(b, "v").select(F.col("hu").alias("u"), F.col("hv").alias("v")))
 
 
 def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one row of each."""
-    table = durable(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "texts")
+    table = durable(docs.select(F.monotonically_increasing_id().alias("uid"), whole_row(docs).alias("doc")), "texts")
     texts = table.select("uid", F.col("doc.text").alias("text"))
-    signed = durable(signatures(texts, frequent_shingles(texts)), "signatures")
+    signed = durable(signatures(texts), "signatures")
     rank = F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("uid"))
-    first = durable(table.select("uid", rank.alias("rank")).join(signed.select("uid", "n", "a", "b"), "uid").groupBy("n", "a", "b").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("uid"), "rank"), "different")
-    keys = signed.join(first.select("uid"), "uid", "left_semi").select("uid", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = shared_keys(keys)
+    first = durable(table.select("uid", rank.alias("rank")).join(signed.select("uid", "n", "a", "b", "fp"), "uid").groupBy("n", "a", "b", "fp").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("uid"), "rank", "n", "fp"), "different")
+    keys = durable(signed.join(first.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("keys").alias("key")), "keys")
+    sizes = durable(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    shared = durable(keys.join(sizes, "key"), "shared-keys")
+    release(keys)
+    more = durable(sim_candidates(first.where("n > 0").select("uid", "fp")), "sim-candidates")
+    ids = durable(shared.select("uid").unionByName(more.select(F.explode(F.array("u", "v")).alias("uid"))).distinct(), "compared")
+    sets = durable(sets_of(texts.join(_few(ids), "uid", "left_semi")), "sets")
+    roots = components(links(shared, more, sets, bucket)).withColumnRenamed("node", "uid")
+    members = durable(roots.join(first.select("uid", "rank"), "uid"), "members")
+    least = members.groupBy("root").agg(F.min("rank").alias("least"))
+    copies = signed.select("uid").join(first.select("uid"), "uid", "left_anti")
+    gone = durable(copies.unionByName(members.join(least, "root").where("rank <> least").select("uid")), "gone")
+    release(sets)
     release(signed)
-    roots = components(links(texts, shared, bucket)).withColumnRenamed("node", "uid")
-    members = durable(roots.join(first, "uid"), "members")
-    least = durable(members.groupBy("root").agg(F.min("rank").alias("least")), "least")
-    gone = members.join(least, "root").where("rank <> least").select("uid")
-    kept = durable(first.select("uid").join(gone, "uid", "left_anti"), "kept")
-    return table.join(kept, "uid", "left_semi").select("doc.*")
+    return table.join(_few(gone), "uid", "left_anti").select("doc.*")
