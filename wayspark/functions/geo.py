@@ -82,8 +82,41 @@ def around(index: Column) -> Column:
     return F.array(index - 1, index, index + 1)
 
 
-def degrees_for(metres: float, max_abs_lat: float) -> tuple[float, float]:
-    """Latitude and longitude sides of cells that are ``metres`` wide at least, up to ``max_abs_lat``."""
-    per_degree = math.radians(1) * WGS84_A * (1 - WGS84_F) ** 2
-    lon = per_degree * max(math.cos(math.radians(min(max_abs_lat, 89.0))), 1e-3)
-    return metres / per_degree * 1.001, metres / lon * 1.001
+#: Metres of a degree of latitude, at least and at most, on the sphere and the ellipsoid;
+#: times the cosine of the latitude, the same of longitude.
+LEAST_M, MOST_M = math.radians(1) * WGS84_A * (1 - WGS84_F) ** 2, math.radians(1) * WGS84_A / (1 - WGS84_F)
+
+
+def _cos_of_row(row: Column, side: float, outer: bool) -> Column:
+    """Cosine of the latitude at the outer or inner edge of a row of cells."""
+    edge = (F.abs(row + 0.5) + (0.5 if outer else -0.5)) * side
+    return F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-3))
+
+
+class Grid:
+    """Cells in rows of latitude: no side is longer than ``metres`` / ``fine``.
+
+    The width in degrees of longitude is that of the row, so cells are as good anywhere
+    (beyond 89.9 degrees they get wider). Longitudes don't wrap at 180 degrees.
+    """
+
+    def __init__(self, metres: float, fine: float = 1.0):
+        self.metres, self.side = metres, metres / fine / MOST_M
+        self.reach = math.ceil(metres / LEAST_M / self.side * (1 + 1e-9))
+
+    def width(self, row: Column) -> Column:
+        return self.side / _cos_of_row(row, self.side, False)
+
+    def of(self, lat: Column, lon: Column, scale: int = 1) -> tuple[Column, Column]:
+        """Row and column of a place, in cells parted ``scale`` (a power of 2) times along both axes."""
+        row = cell(lat, self.side)
+        return F.floor(lat / self.side * scale).cast("long"), F.floor(lon / self.width(row) * scale).cast("long")
+
+    def around(self, row: Column, west: Column, east: Column) -> Column:
+        """Array of structs i, j: all cells that may hold places within ``metres`` of those in ``row`` from ``west`` to ``east``."""
+
+        def of_row(k: Column) -> Column:
+            far = self.metres / LEAST_M / F.least(_cos_of_row(row, self.side, True), _cos_of_row(k, self.side, True)) * (1 + 1e-9)
+            return F.transform(F.sequence(cell(west - far, self.width(k)), cell(east + far, self.width(k))), lambda j: F.struct(k.alias("i"), j.alias("j")))
+
+        return F.flatten(F.transform(F.sequence(row - self.reach, row + self.reach), of_row))

@@ -2,6 +2,10 @@
 
 Stops have participant_id, stop_seq (unique per participant), start_time, end_time,
 duration_s, lat, lon.
+
+No clustering compares all stops of a place. A cell whose diagonal is at most the distance
+is one node, however many stops it holds; two cells are linked as soon as one pair of their
+boxes is known to be near enough, and boxes are parted only where that isn't known yet.
 """
 
 from __future__ import annotations
@@ -13,35 +17,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
-from wayspark.functions.durable import durable
-from wayspark.functions.geo import geodesic_m, haversine_m
+from wayspark.functions.durable import durable, release
+from wayspark.functions.geo import MOST_M, Grid, cell, geodesic_m, haversine_m
 from wayspark.operators.components import components
-from wayspark.operators.joins import inside, within_radius
+from wayspark.operators.joins import inside
 from wayspark.operators.points import micros
 
+#: In each round, boxes are parted so many times along both axes (a power of 2).
+PARTED = 4
+#: The row of a stop without a place; its stop_seq is the column.
+NOWHERE = -(1 << 62)
+
+
 def by_start() -> WindowSpec:
     return W.partitionBy("participant_id").orderBy("start_time", "stop_seq")
 
 
-def close_pairs(stops: DataFrame, metres: float, distance: Callable[..., Column], columns: tuple[str, ...] = ()) -> DataFrame:
-    """participant_id, a, b (a < b) and dist_m of stops within ``metres``; ``columns`` with _a and _b."""
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("lat", "lon", *columns)]
-    left = stops.select("participant_id", F.col("stop_seq").alias("a"), *side("a"))
-    right = stops.select("participant_id", F.col("stop_seq").alias("b"), *side("b"))
-    return within_radius(left, right, metres, distance, "participant_id", ("lat_a", "lon_a"), ("lat_b", "lon_b")).where("a < b")
+def _grid(metres: float) -> Grid:
+    """Cells whose diagonal is at most ``metres``."""
+    return Grid(metres, 2**0.5 * (1 + 1e-9))
+
+
+def _in_cells(stops: DataFrame, grid: Grid) -> DataFrame:
+    """Adds _i and _j, the cell of each stop."""
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    i, j = grid.of(F.col("lat"), F.col("lon"))
+    return stops.withColumns({"_i": F.when(known, i).otherwise(NOWHERE), "_j": F.when(known, j).otherwise(F.col("stop_seq"))})
+
+
+_BOX = ["min_lat", "max_lat", "min_lon", "max_lon"]
+
+
+def _extent() -> list[Column]:
+    return [f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")]
 
 
-def _rooted(stops: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds ``root``, the smallest stop_seq of each stop's component.
+def _apart(distance: Callable[..., Column], metres: float) -> tuple[Column, Column]:
+    """Whether all of the boxes a_ and b_ are within ``metres``, and whether any of them may be.
 
-    Nodes are numbered over all participants by a struct folded into one long.
+    Between their middles lies the distance of any two of their places, up to both radii;
+    for boxes that are single places it is exact.
     """
-    node = lambda c: F.xxhash64("participant_id", F.col(c))
-    roots = components(pairs.select(node("a").alias("u"), node("b").alias("v")))
-    named = durable(stops.withColumn("_node", node("stop_seq")).join(roots, F.col("_node") == F.col("node"), "left"), "rooted")
-    named = named.withColumn("_root", F.coalesce("root", "_node")).drop("node", "root", "_node")
-    first = named.groupBy("participant_id", "_root").agg(F.min("stop_seq").alias("root"))
-    return named.join(first, ["participant_id", "_root"]).drop("_root")
+    middle = lambda s, c: (F.col(f"{s}_min_{c}") + F.col(f"{s}_max_{c}")) / 2
+
+    def radius(s: str) -> Column:
+        half = lambda c: (F.col(f"{s}_max_{c}") - F.col(f"{s}_min_{c}")) / 2 * MOST_M
+        inner = F.when(F.col(f"{s}_min_lat") * F.col(f"{s}_max_lat") <= 0, 0.0).otherwise(F.least(F.abs(f"{s}_min_lat"), F.abs(f"{s}_max_lat")))
+        return F.hypot(half("lat"), half("lon") * F.cos(F.radians(inner)))
+
+    between = distance(middle("a", "lat"), middle("a", "lon"), middle("b", "lat"), middle("b", "lon"))
+    both = (radius("a") + radius("b")) * (1 + 1e-6)
+    return between + both <= metres, between - both <= metres
+
+
+def cell_links(stops: DataFrame, nodes: DataFrame, grid: Grid, distance: Callable[..., Column], allowed: Column) -> DataFrame:
+    """u, v: the nodes (cells) that have a pair of stops within ``grid.metres``; once each.
+
+    ``stops`` have their node, ``nodes`` their cell, extent and _kind; ``allowed`` is a
+    condition on a__kind and b__kind. Every round decides on pairs of boxes, and those left
+    open are parted into those of the next; pairs of linked nodes aren't looked at again.
+    """
+    side = lambda df, s, more=(): df.select(*(F.col(c).alias(f"{s}_{c}") for c in ("node", *_BOX, *more)))
+    placed = nodes.where(F.col("_i") > NOWHERE)
+    at = F.explode(grid.around(F.col("_i"), F.col("min_lon"), F.col("max_lon")))
+    left = side(placed.withColumn("c", at).withColumns({"ni": F.col("c.i"), "nj": F.col("c.j")}), "a", ("participant_id", "_i", "_j", "_kind", "ni", "nj"))
+    right = side(placed, "b", ("participant_id", "_i", "_j", "_kind"))
+    on = (F.col("a_participant_id") == F.col("b_participant_id")) & (F.col("a_ni") == F.col("b__i")) & (F.col("a_nj") == F.col("b__j")) & (F.col("a_node") < F.col("b_node"))
+    same = (F.col("a__i") == F.col("b__i")) & (F.col("a__j") == F.col("b__j"))
+    near, maybe = _apart(distance, grid.metres)
+    rows = left.join(right, on).where(allowed).withColumns({"near": same | near, "maybe": maybe}).where("near or maybe")
+    index = ("i", "j")
+    rows = durable(rows.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"), *(F.col(f"{s}__{c}").alias(f"{s}_{c}") for s in "ab" for c in index), "near"), "boxes")
+    links, scale = rows.where("near").select("u", "v").distinct(), 1
+    places = stops.where(F.col("_i") > NOWHERE).select("node", "lat", "lon").distinct()
+    while not (open_ := rows.where("not near").join(links, ["u", "v"], "left_anti")).isEmpty():
+        scale *= PARTED
+        i, j = grid.of(F.col("lat"), F.col("lon"), scale)
+        parts = places.withColumns({"i": i, "j": j}).groupBy("node", "i", "j").agg(*_extent())
+        for s, node in (("a", "u"), ("b", "v")):
+            up = lambda c: F.floor(F.col(f"_{c}") / PARTED).cast("long") if scale < 1 << 40 else F.col(f"_{c}")
+            part = parts.select(F.col("node").alias(node), F.col("i").alias("_i"), F.col("j").alias("_j"), *(F.col(c).alias(f"{s}_{c}") for c in _BOX)).withColumns({f"{s}_{c}": up(c) for c in index})
+            open_ = open_.join(part, [node, f"{s}_i", f"{s}_j"]).drop(f"{s}_i", f"{s}_j").withColumnsRenamed({"_i": f"{s}_i", "_j": f"{s}_j"})
+        found = durable(open_.withColumns({"near": near, "maybe": maybe}).where("near or maybe").select("u", "v", *(f"{s}_{c}" for s in "ab" for c in index), "near"), "boxes")
+        links = durable(links.unionByName(found.where("near").select("u", "v").distinct()), "links")
+        rows = found
+    return links
+
+
+def _rooted(stops: DataFrame, metres: float, distance: Callable[..., Column], kind: Column | None = None) -> DataFrame:
+    """Adds ``root``, the smallest stop_seq of each stop's component under links of at most ``metres``.
+
+    Stops of kinds 1 and 2 aren't linked to each other. Stops without a place are alone.
+    """
+    grid = _grid(metres)
+    by = ["participant_id", "_kind", "_i", "_j"]
+    celled = durable(_in_cells(stops.withColumn("_kind", (kind if kind is not None else F.lit(0)).cast("int")), grid), "cells")
+    # numbered once: written before anything reads them
+    nodes = durable(celled.groupBy(*by).agg(F.min("stop_seq").alias("first"), *_extent()).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = durable(celled.join(nodes.select(*by, "node"), by), "named")
+    roots = components(cell_links(named, nodes, grid, distance, F.col("a__kind") + F.col("b__kind") != 3)).withColumnRenamed("root", "_root")
+    owned = nodes.select("node", "first").join(roots, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
+    owned = durable(owned, "owned")
+    least = owned.groupBy("_root").agg(F.min("first").alias("root"))
+    release(celled)
+    return named.join(owned.join(least, "_root").select("node", "root"), "node").drop("node", "_root", *by[1:])
 
 
 def _labels(rooted: DataFrame) -> DataFrame:
@@ -56,18 +135,26 @@ def dbscan(stops: DataFrame, eps_m: float = 150.0, min_samples: int = 1) -> Data
     Core stops have ``min_samples`` stops within ``eps_m``, themselves included. A border
     stop joins the smallest cluster among its core neighbours.
     """
-    pairs = durable(close_pairs(stops, eps_m, haversine_m).select("participant_id", "a", "b"), "pairs")
     if min_samples <= 1:
-        return _labels(_rooted(stops, pairs))
-    both = pairs.unionByName(pairs.select("participant_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    cores = durable(both.groupBy("participant_id", "a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("participant_id", F.col("a").alias("core")), "cores")
-    inner = pairs.join(cores, (pairs.participant_id == cores.participant_id) & (F.col("a") == F.col("core")), "left_semi")
-    inner = inner.join(cores, (inner.participant_id == cores.participant_id) & (F.col("b") == F.col("core")), "left_semi")
-    core_stops = stops.join(cores, (stops.participant_id == cores.participant_id) & (F.col("stop_seq") == F.col("core")), "left_semi")
-    known = durable(_labels(_rooted(core_stops, inner)).select("participant_id", F.col("stop_seq").alias("core"), F.col("cluster").alias("own")), "clusters")
-    border = both.select("participant_id", F.col("a").alias("stop_seq"), F.col("b").alias("core")).join(known, ["participant_id", "core"]).groupBy("participant_id", "stop_seq").agg(F.min("own").alias("near"))
+        return _labels(_rooted(stops, eps_m, haversine_m))
+    key, grid = ["participant_id", "stop_seq"], _grid(eps_m)
+    celled = durable(_in_cells(stops.select(*key, "lat", "lon"), grid), "cells")
+    sizes = celled.groupBy("participant_id", "_i", "_j").agg(F.count("*").alias("_n"))
+    counted = durable(celled.join(sizes, ["participant_id", "_i", "_j"]), "counted")
+    # a cell of min_samples stops has only cores; others have fewer, so theirs are few pairs
+    sparse = durable(counted.where((F.col("_n") < min_samples) & (F.col("_i") > NOWHERE)).drop("_n"), "sparse")
+
+    def beside(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """The stops of ``rows`` with all of ``others`` (stops in cells) within the distance: ``other`` and its columns."""
+        spread = rows.withColumn("_c", F.explode(grid.around(F.col("_i"), F.col("lon"), F.col("lon")))).select(*key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"))
+        return spread.join(others.withColumnRenamed("stop_seq", "other"), ["participant_id", "_i", "_j"]).where(haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= eps_m)
+
+    more = beside(sparse, celled).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*key)
+    cores = durable(counted.where(F.col("_n") >= min_samples).select(*key).unionByName(more), "cores")
+    labelled = durable(_labels(_rooted(celled.join(cores, key, "left_semi").select(*key, "lat", "lon"), eps_m, haversine_m)), "clusters")
+    near = beside(sparse.join(cores, key, "left_anti"), _in_cells(labelled, grid)).groupBy(*key).agg(F.min("cluster").alias("near"))
     return (
-        stops.join(known.withColumnRenamed("core", "stop_seq"), ["participant_id", "stop_seq"], "left").join(border, ["participant_id", "stop_seq"], "left")
+        stops.join(labelled.select(*key, F.col("cluster").alias("own")), key, "left").join(near, key, "left")
         .withColumn("cluster", F.coalesce("own", "near", F.lit(-1).cast("long"))).drop("own", "near")
     )
 
@@ -102,20 +189,21 @@ def group_stops(stops: DataFrame, max_gap_s: float = 600.0, max_distance_m: floa
     )
 
 
+def close_stops(stops: DataFrame, max_distance_m: float = 150.0) -> DataFrame:
+    """Adds ``root``: stops linked by steps of at most ``max_distance_m`` share it; Home and Work never link directly."""
+    kind = F.when(F.col("place_type") == "Home", 1).when(F.col("place_type") == "Work", 2).otherwise(0)
+    return _rooted(stops, max_distance_m, geodesic_m, kind)
+
+
 def merge_close_stops(stops: DataFrame, max_distance_m: float = 150.0) -> DataFrame:
-    """Stops linked by steps of at most ``max_distance_m`` become one; Home and Work never link directly.
+    """Stops of a root become one; the strongest type of a group (Home, Work, other) is its type.
 
-    The strongest type of a group (Home, Work, other) is its type.
+    Its visits are the rows of :func:`close_stops`, one each, so no group is collected.
     """
-    pairs = close_pairs(stops, max_distance_m, geodesic_m, ("place_type",))
-    homes = lambda c: (F.col(f"place_type_{c}") == "Home").cast("int") + 2 * (F.col(f"place_type_{c}") == "Work").cast("int")
-    rooted = _rooted(stops, pairs.where(homes("a") + homes("b") != 3))
     rank = F.when(F.col("place_type") == "Home", 2).when(F.col("place_type") == "Work", 1).otherwise(0)
-    times = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("start_time", "stop_seq", "end_time"))), lambda s: F.date_format(s[c], "yyyy-MM-dd HH:mm:ss"))
-    return rooted.groupBy("participant_id", "root").agg(
+    return close_stops(stops, max_distance_m).groupBy("participant_id", "root").agg(
         F.max_by("place_type", F.struct(rank, -F.col("stop_seq"))).alias("place_type"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
         F.sum("duration_s").alias("duration_s"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("group_size"),
-        times("start_time").alias("merged_starts"), times("end_time").alias("merged_ends"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayspark.functions.durable import durable
-from wayspark.functions.geo import around, cell, degrees_for
+from wayspark.functions.geo import Grid, around, cell
 
 #: Width of the time buckets.
 BUCKET_S = 6 * 3600
@@ -43,22 +43,22 @@ def inside(points: DataFrame, intervals: DataFrame, key: str, ts: str, start: st
     return points.join(spans, on, "left_semi" if keep else "left_anti")
 
 
-def _max_abs_lat(df: DataFrame, lat: str) -> float:
-    return df.agg(F.max(F.abs(F.col(lat)))).first()[0] or 0.0
-
-
 def within_radius(left: DataFrame, right: DataFrame, metres: float, distance: Callable[..., Column], key: str | None, at: tuple[str, str], to: tuple[str, str], planar: bool = False) -> DataFrame:
     """Pairs within ``metres`` of each other, with ``dist_m``.
 
     ``at`` and ``to`` name latitude and longitude (planar: y and x) on each side; other
-    names must differ except for ``key``. Cells are ``metres`` wide at least, so the right
-    side is looked for in the nine cells around. Longitudes don't wrap at 180 degrees.
+    names must differ except for ``key``. Cells are about ``metres`` wide, so the right side
+    is looked for in the cells around. Places with a null coordinate are near nothing.
     """
-    side = (metres, metres) if planar else degrees_for(metres, max(_max_abs_lat(left, at[0]), _max_abs_lat(right, to[0])))
-    cells = [cell(F.col(c), s) for c, s in zip(at, side, strict=True)]
-    spread = right
-    for name, c, s in zip(("_i", "_j"), to, side, strict=True):
-        spread = spread.withColumn(name, F.explode(around(cell(F.col(c), s))))
+    if planar:
+        cells, spread = [cell(F.col(c), metres) for c in at], right
+        for name, c in zip(("_i", "_j"), to, strict=True):
+            spread = spread.withColumn(name, F.explode(around(cell(F.col(c), metres))))
+    else:
+        grid = Grid(metres)
+        cells, lon = grid.of(F.col(at[0]), F.col(at[1])), F.col(to[1])
+        spread = right.where(F.col(to[0]).isNotNull() & lon.isNotNull()).withColumn("_c", F.explode(grid.around(cell(F.col(to[0]), grid.side), lon, lon)))
+        spread = spread.withColumns({"_i": F.col("_c.i"), "_j": F.col("_c.j")}).drop("_c")
     pairs = left.withColumn("_i", cells[0]).withColumn("_j", cells[1]).join(spread, [*([key] if key else []), "_i", "_j"]).drop("_i", "_j")
     return pairs.withColumn("dist_m", distance(*map(F.col, (*at, *to)))).where(F.col("dist_m") <= metres)
 

@@ -63,9 +63,14 @@ def other_place_distances(stops: DataFrame, suspect_m: float = 150.0) -> DataFra
     return out.select("participant_id", "stop_seq", "lat", "lon", "dist_home_m", "dist_work_m", F.when(close, "Oui").otherwise("Non").alias("suspect"))
 
 
-def confidence(merged: DataFrame) -> DataFrame:
-    """Adds ``confidence`` to Home and Work: mean of the shares of the longest stay and most days."""
-    kept = merged.where(F.col("place_type").isin("Home", "Work")).withColumn("days", F.size(F.array_distinct(F.transform("merged_starts", lambda s: F.substring(s, 1, 10)))))
+def confidence(visits: DataFrame) -> DataFrame:
+    """Home and Work places (place_id) with ``confidence``: mean of the shares of the longest stay and most days.
+
+    ``visits`` has one row for each visit, so no place's visits are collected.
+    """
+    kept = visits.where(F.col("place_type").isin("Home", "Work")).groupBy("participant_id", "place_id", "place_type").agg(
+        F.sum("duration_s").alias("duration_s"), F.count_distinct(F.to_date("start_time")).cast("int").alias("days"),
+    )
     w = W.partitionBy("participant_id")
     share = lambda c: F.try_divide(F.col(c), F.max(c).over(w))
     return kept.withColumn("confidence", F.round(100 * (share("duration_s") + share("days")) / 2, 1))

@@ -17,18 +17,17 @@ def places_per_type(stops: DataFrame) -> DataFrame:
     return stops.groupBy(ONE, "place_type").agg(F.count("*").alias("n_places"))
 
 
-def visits_describe(merged: DataFrame) -> DataFrame:
-    """Count, mean, deviation, minimum, quartiles and maximum of visits by place, per type."""
+def visits_describe(visits: DataFrame) -> DataFrame:
+    """Count, mean, deviation, minimum, quartiles and maximum of visits by place (place_id), per type."""
     q = lambda p: F.percentile("visits", F.lit(p))
-    return merged.withColumn("visits", F.size("merged_starts")).groupBy(ONE, "place_type").agg(
+    return visits.groupBy(ONE, "place_id", "place_type").agg(F.count("*").alias("visits")).groupBy(ONE, "place_type").agg(
         F.count("*").alias("n"), F.avg("visits").alias("mean"), F.stddev_samp("visits").alias("std"), F.min("visits").cast("double").alias("min"),
         q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("visits").cast("double").alias("max"),
     )
 
 
-def visit_hours(merged: DataFrame) -> DataFrame:
-    hour = F.hour(F.to_timestamp_ntz(F.col("start"), F.lit("yyyy-MM-dd HH:mm:ss")))
-    return merged.select(ONE, "place_type", F.explode("merged_starts").alias("start")).groupBy(ONE, "place_type", hour.alias("hour")).agg(F.count("*").alias("n_visits"))
+def visit_hours(visits: DataFrame) -> DataFrame:
+    return visits.groupBy(ONE, "place_type", F.hour("start_time").alias("hour")).agg(F.count("*").alias("n_visits"))
 
 
 def minutes_per_type(stops: DataFrame) -> DataFrame:

@@ -46,16 +46,14 @@ CTES = {
     "close_pairs": f"select a.participant_id, a.stop_seq as a, b.stop_seq as b from stops a join stops b using (participant_id) where {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 150",
     "reach": "select participant_id, a, b from close_pairs union select r.participant_id, r.a, c.b from reach r join close_pairs c on r.participant_id = c.participant_id and r.b = c.a",
     "labels": "select participant_id, a as stop_seq, dense_rank() over (partition by participant_id order by min(b)) - 1 as cluster from reach group by participant_id, a",
-    "thirds": "select * from stops where stop_seq % 3 = 0",
-    "tpairs": f"select a.participant_id, a.stop_seq as a, b.stop_seq as b from thirds a join thirds b using (participant_id) where {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 12",
-    "cores": "select participant_id, a as core from tpairs group by all having count(*) >= 4",
+    "tpairs": f"select a.participant_id, a.stop_seq as a, b.stop_seq as b from stops a join stops b using (participant_id) where {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 8",
+    "cores": "select participant_id, a as core from tpairs group by all having count(*) >= 6",
     "cpairs": "select p.* from tpairs p join cores x on x.participant_id = p.participant_id and x.core = p.a join cores y on y.participant_id = p.participant_id and y.core = p.b",
     "creach": "select participant_id, a, b from cpairs union select r.participant_id, r.a, c.b from creach r join cpairs c on r.participant_id = c.participant_id and r.b = c.a",
     "clabels": "select participant_id, a as core, dense_rank() over (partition by participant_id order by min(b)) - 1 as cluster from creach group by participant_id, a",
     "grouped": f"""select participant_id, min(start_time) as start_time, max(end_time) as end_time, sum(duration_s) as duration_s, avg(lat) as lat, avg(lon) as lon, count(*) as group_size from
   (select *, sum(new) over {WS} as g from (select *, case when {SECONDS('pe', 'start_time')} <= {{gap}} and apart <= {{far}} then 0 else 1 end as new from {lambert(f'(select *, lag(end_time) over {WS} as pe, lag(lat) over {WS} as pa, lag(lon) over {WS} as po from stops)', 'pa', 'po', 'lat', 'lon', 'apart')})) group by participant_id, g""",
-    "halves": "select * from typed where stop_seq % 2 = 0",
-    "hpairs": f"select participant_id, a, b from {lambert('(select a.participant_id, a.stop_seq as a, b.stop_seq as b, a.place_type as ta, b.place_type as tb, a.lat as la, a.lon as lo, b.lat as ma, b.lon as mo from halves a join halves b using (participant_id))', 'la', 'lo', 'ma', 'mo', 'd')} where d <= 150 and not (ta in ('Home', 'Work') and tb in ('Home', 'Work') and ta <> tb)",
+    "hpairs": f"select participant_id, a, b from {lambert('(select a.participant_id, a.stop_seq as a, b.stop_seq as b, a.place_type as ta, b.place_type as tb, a.lat as la, a.lon as lo, b.lat as ma, b.lon as mo from typed a join typed b using (participant_id))', 'la', 'lo', 'ma', 'mo', 'd')} where d <= 150 and not (ta in ('Home', 'Work') and tb in ('Home', 'Work') and ta <> tb)",
     "hreach": "select participant_id, a, b from hpairs union select r.participant_id, r.a, c.b from hreach r join hpairs c on r.participant_id = c.participant_id and r.b = c.a",
     "hroots": "select participant_id, a as stop_seq, min(b) as root from hreach group by participant_id, a",
     "gaps_of": f"select participant_id, stop_seq, coalesce(lag(end_time) over {WS}, first_ts) as gs, start_time as ge from {{stops}} join (select participant_id, min(ts) as first_ts from pts group by all) using (participant_id)",
@@ -83,7 +81,7 @@ CTES = {
   select g.participant_id, g.minute, mean, row_number() over (partition by g.participant_id order by g.minute) as i from (select participant_id, unnest(generate_series(lo, hi, interval 1 minute)) as minute from (select participant_id, min(date_trunc('minute', ts)) as lo, max(date_trunc('minute', ts)) as hi from ready group by all)) g
   left join (select participant_id, date_trunc('minute', ts) as minute, avg(speed_kmh) as mean from ready group by all) m using (participant_id, minute))
   window b as (partition by participant_id order by minute rows between unbounded preceding and current row), f as (partition by participant_id order by minute rows between current row and unbounded following))""",
-    "segs": "select participant_id, min(day) as first_date, max(day) as last_date, count(*) as n_days from (select *, day - (row_number() over (partition by participant_id order by day))::INTEGER as g from (select distinct participant_id, ts::DATE as day from pts where day(ts) % 5 <> 0)) group by participant_id, g",
+    "segs": "select participant_id, min(day) as first_date, max(day) as last_date, count(*) as n_days from (select *, day - (row_number() over (partition by participant_id order by day))::INTEGER as g from (select distinct participant_id, ts::DATE as day from pts)) group by participant_id, g",
     "sites": "select s_suppkey as site_id, 256000 + 2.2::DOUBLE*((s_suppkey*7919)%10007) as x, 6245000 + 3.2::DOUBLE*((s_suppkey*104729)%10009) as y, s_nationkey + 1 as cluster_id from supplier",
     "traj": f"select participant_id || '-' || strftime(ts, '%Y%m%d') as traj_id, ts, event_id, {A}*radians(lon) as x, {A}*ln(tan(pi()/4 + radians(lat)/2)) as y, row_number() over (partition by participant_id, ts::DATE order by ts, event_id) as pos from pts",
     "celled": "select traj_id, event_id, pos, t.x, t.y, arg_min(site_id, (sqrt((t.x-s.x)**2+(t.y-s.y)**2), site_id)) as near_site, arg_min(cluster_id, (sqrt((t.x-s.x)**2+(t.y-s.y)**2), site_id)) as cell, min(sqrt((t.x-s.x)**2+(t.y-s.y)**2)) as dist from traj t, sites s group by all",
@@ -97,7 +95,7 @@ CTES = {
 }
 CTES["wedged"] = re.sub(r"\{dir\}\(([^,]+), ([^)]+)\)", r"(case when atan2(\2, \1) < 0 then degrees(atan2(\2, \1)) + 360 else degrees(atan2(\2, \1)) end)", CTES["wedged"])
 
-LONG, SHORT = ("longs", "(select * from longs where stop_seq % 5 = 0)")
+LONG, SHORT = ("longs", "(select * from longs where place_type = 'autre')")
 
 
 def sql(body: str, stops: str = "stops", gap: float = 600, far: float = 200) -> str:
@@ -179,13 +177,14 @@ SQL = {
     "stops_anchor": _anchor(100, 300),
     "stops_stt": _anchor(200, 900),
     "dbscan_stops": sql("select participant_id, stop_seq, cluster from labels"),
-    "dbscan_general": sql("select participant_id, stop_seq, coalesce(o.cluster, (select min(l.cluster) from tpairs p join clabels l on l.participant_id = p.participant_id and l.core = p.b where p.participant_id = t.participant_id and p.a = t.stop_seq), -1) as cluster from thirds t left join (select participant_id, core as stop_seq, cluster from clabels) o using (participant_id, stop_seq)"),
+    "dbscan_general": sql("select participant_id, stop_seq, coalesce(o.cluster, (select min(l.cluster) from tpairs p join clabels l on l.participant_id = p.participant_id and l.core = p.b where p.participant_id = t.participant_id and p.a = t.stop_seq), -1) as cluster from stops t left join (select participant_id, core as stop_seq, cluster from clabels) o using (participant_id, stop_seq)"),
     "cluster_agg": sql("select participant_id, cluster, min(start_time) as start_time, max(end_time) as end_time, round(sum(duration_s), 3) as duration_s, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, count(*) as group_size from stops join labels using (participant_id, stop_seq) group by all"),
     "points_in_clusters": sql("select event_id from pts p where exists (select 1 from longs s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
     "group_stops": sql(f"select {GROUPED} from grouped", gap=7200, far=12000),
-    "merge_close_stops": sql("select participant_id, case when bool_or(place_type = 'Home') then 'Home' when bool_or(place_type = 'Work') then 'Work' else 'autre' end as place_type, min(start_time) as start_time, max(end_time) as end_time, round(sum(duration_s), 3) as duration_s, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, count(*) as group_size from halves join hroots using (participant_id, stop_seq) group by participant_id, root"),
+    "merge_close_stops": sql("select participant_id, root, case when bool_or(place_type = 'Home') then 'Home' when bool_or(place_type = 'Work') then 'Work' else 'autre' end as place_type, min(start_time) as start_time, max(end_time) as end_time, round(sum(duration_s), 3) as duration_s, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, count(*) as group_size from typed join hroots using (participant_id, stop_seq) group by participant_id, root"),
+    "merge_close_visits": sql("select participant_id, root, stop_seq, start_time, end_time from typed join hroots using (participant_id, stop_seq)"),
     "home_work_centroids": sql("select row_number() over (partition by participant_id order by place_type, lat, lon) as myid, * from (select distinct participant_id, place_type, round_even(lat, 5) as lat, round_even(lon, 5) as lon from typed where place_type <> 'autre')"),
-    "moves_between_stops": sql(f"select {MOVE} from moves_mid", stops=LONG),
+    "moves_between_stops": sql(f"select {MOVE} from moves_mid"),
     "moves_tail": sql(f"select {MOVE} from moves_end", stops=SHORT),
     "split_stop_points": sql("select event_id from pts p where exists (select 1 from longs s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
     "split_move_points": sql("select event_id from pts p where not exists (select 1 from longs s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
@@ -208,8 +207,8 @@ SQL = {
     "confidence_score": sql("select participant_id, place_type, days::INTEGER as days, round(100*(duration_s/nullif(max(duration_s) over p, 0) + days::DOUBLE/max(days) over p)/2, 1) as confidence from (select *, len(list_distinct(list_transform(s, lambda t: t::DATE))) as days from merged where place_type <> 'autre') window p as (partition by participant_id)"),
     "stop_activity": sql("select participant_id, stop_seq, matched_activity from matched"),
     "activity_minutes": sql("select participant_id, matched_activity, round(sum(duration_s)/60, 3) as total_min from matched group by all"),
-    "nearest_place_3857": sql(f"""select s.participant_id, s.stop_seq, place_seq, near_type, round(units, 3) as units from (select * from stops where stop_seq % 2 = 1) s left join (select *, rank() over (partition by participant_id, stop_seq order by units) as k from
- (select a.participant_id, a.stop_seq, b.stop_seq as place_seq, b.place_type as near_type, sqrt(({A}*radians(b.lon)-{A}*radians(a.lon))**2 + ({A}*ln(tan(pi()/4+radians(b.lat)/2))-{A}*ln(tan(pi()/4+radians(a.lat)/2)))**2) as units from stops a join typed b using (participant_id) where b.stop_seq % 7 = 0) where units <= 40) n on n.participant_id = s.participant_id and n.stop_seq = s.stop_seq and n.k = 1"""),
+    "nearest_place_3857": sql(f"""select s.participant_id, s.stop_seq, place_seq, near_type, round(units, 3) as units from stops s left join (select *, rank() over (partition by participant_id, stop_seq order by units) as k from
+ (select a.participant_id, a.stop_seq, b.stop_seq as place_seq, b.place_type as near_type, sqrt(({A}*radians(b.lon)-{A}*radians(a.lon))**2 + ({A}*ln(tan(pi()/4+radians(b.lat)/2))-{A}*ln(tan(pi()/4+radians(a.lat)/2)))**2) as units from stops a join typed b using (participant_id) where b.place_type <> 'autre') where units <= 40) n on n.participant_id = s.participant_id and n.stop_seq = s.stop_seq and n.k = 1"""),
     "places_per_type": sql("select participant_id, place_type, count(*) as n_places from typed group by all"),
     "visits_describe": sql("select participant_id, place_type, count(*) as n, round(avg(visits), 3) as mean, round(stddev_samp(visits), 3) as std, min(visits)::DOUBLE as min, round(quantile_cont(visits, 0.25), 3) as q25, round(quantile_cont(visits, 0.5), 3) as q50, round(quantile_cont(visits, 0.75), 3) as q75, max(visits)::DOUBLE as max from merged group by all"),
     "visit_hours": sql("select participant_id, place_type, hour(start_time)::INTEGER as hour, count(*) as n_visits from typed group by all"),
@@ -219,7 +218,7 @@ SQL = {
     "points_per_day": sql("select participant_id, ts::DATE as date, count(*) as n_points from pts group by all"),
     "speed_stats": sql("select participant_id, round(avg(speed_kmh), 3) as mean_speed, round(max(speed_kmh), 3) as max_speed, floor(count(*)/count(distinct ts::DATE))::BIGINT as points_per_day, round(avg(time_diff_s), 3) as mean_interval_s from ready group by all"),
     "speed_by_hour": sql("select participant_id, hour(ts)::INTEGER as hour, round(avg(speed_kmh), 3) as mean_speed, count(speed_kmh) as n from ready group by all"),
-    "speed_by_weekday": sql("select participant_id, d::INTEGER as weekday_num, ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][d+1] as weekday, round(m, 3) as mean_speed from (select distinct participant_id from ready) cross join range(7) r(d) left join (select participant_id, isodow(ts) - 1 as d, avg(speed_kmh) as m from ready where isodow(ts) <> 4 group by all) using (participant_id, d)"),
+    "speed_by_weekday": sql("select participant_id, d::INTEGER as weekday_num, ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][d+1] as weekday, round(m, 3) as mean_speed from (select distinct participant_id from ready) cross join range(7) r(d) left join (select participant_id, isodow(ts) - 1 as d, avg(speed_kmh) as m from ready group by all) using (participant_id, d)"),
     "speed_by_daytype_hour": sql("select participant_id, isodow(ts) >= 6 as is_weekend, ts::DATE as date, hour(ts)::INTEGER as hour, round(avg(speed_kmh), 3) as mean_speed from ready group by all"),
     "heat_counts": sql("select participant_id, ts::DATE as date, " + ", ".join(f"count(*) filter (hour(ts) = {h}) as h{h}" for h in range(24)) + " from pts group by all"),
     "heat_speed": sql("select participant_id, ts::DATE as date, " + ", ".join(f"round(coalesce(avg(speed_kmh) filter (hour(ts) = {h}), 0), 3) as h{h}" for h in range(24)) + " from ready group by all"),

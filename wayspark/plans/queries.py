@@ -49,10 +49,9 @@ def typed(s: SparkSession, d: str) -> DataFrame:
     return fixtures.stops(s, d).withColumn("place_type", kind)
 
 
-def merged(s: SparkSession, d: str) -> DataFrame:
-    """Places with all their visits: one row for each participant and place."""
-    times = lambda c: F.transform(F.sort_array(F.collect_list("start_time" if c == "s" else "end_time")), lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
-    return typed(s, d).groupBy("participant_id", "place", "place_type").agg(F.sum("duration_s").alias("duration_s"), times("s").alias("merged_starts"), times("e").alias("merged_ends"))
+def visits(s: SparkSession, d: str) -> DataFrame:
+    """Every stop as a visit of its participant's place (``place_id``)."""
+    return typed(s, d).withColumnRenamed("place", "place_id")
 
 
 def all_moves(s: SparkSession, d: str) -> DataFrame:
@@ -150,7 +149,7 @@ def clean_full(s, d):
 
 @query
 def date_segments(s, d):
-    return points.date_segments(pts(s, d).where("dayofmonth(ts) % 5 <> 0"))
+    return points.date_segments(pts(s, d))
 
 
 @query
@@ -180,7 +179,7 @@ def dbscan_stops(s, d):
 
 @query
 def dbscan_general(s, d):
-    return cluster.dbscan(fixtures.stops(s, d).where("stop_seq % 3 = 0"), 12.0, 4).select("participant_id", "stop_seq", "cluster")
+    return cluster.dbscan(fixtures.stops(s, d), 8.0, 6).select("participant_id", "stop_seq", "cluster")
 
 
 @query
@@ -204,7 +203,12 @@ def group_stops(s, d):
 
 @query
 def merge_close_stops(s, d):
-    return rounded(cluster.merge_close_stops(typed(s, d).where("stop_seq % 2 = 0")).drop("root", "merged_starts", "merged_ends"))
+    return rounded(cluster.merge_close_stops(typed(s, d)))
+
+
+@query
+def merge_close_visits(s, d):
+    return cluster.close_stops(typed(s, d)).select("participant_id", "root", "stop_seq", "start_time", "end_time")
 
 
 @query
@@ -214,12 +218,12 @@ def home_work_centroids(s, d):
 
 @query
 def moves_between_stops(s, d):
-    return rounded(moves.moves_between_stops(pts(s, d), _long_stops(s, d)))
+    return rounded(moves.moves_between_stops(pts(s, d), fixtures.stops(s, d)))
 
 
 @query
 def moves_tail(s, d):
-    return rounded(moves.moves_tail(pts(s, d), _long_stops(s, d).where("stop_seq % 5 = 0")))
+    return rounded(moves.moves_tail(pts(s, d), _long_stops(s, d).where(F.col("place_type") == places.OTHER)))
 
 
 @query
@@ -319,7 +323,7 @@ def other_place_distances(s, d):
 
 @query
 def confidence_score(s, d):
-    return places.confidence(merged(s, d)).select("participant_id", "place_type", "days", "confidence")
+    return places.confidence(visits(s, d)).select("participant_id", "place_type", "days", "confidence")
 
 
 @query
@@ -334,8 +338,8 @@ def activity_minutes(s, d):
 
 @query
 def nearest_place_3857(s, d):
-    centre = typed(s, d).where("stop_seq % 7 = 0")
-    return rounded(places.nearest_place(fixtures.stops(s, d).where("stop_seq % 2 = 1"), centre, 40.0).select("participant_id", "stop_seq", "place_seq", "near_type", "units"))
+    home = typed(s, d).where(F.col("place_type") != places.OTHER)
+    return rounded(places.nearest_place(fixtures.stops(s, d), home, 40.0).select("participant_id", "stop_seq", "place_seq", "near_type", "units"))
 
 
 @query
@@ -345,12 +349,12 @@ def places_per_type(s, d):
 
 @query
 def visits_describe(s, d):
-    return rounded(report.visits_describe(merged(s, d)))
+    return rounded(report.visits_describe(visits(s, d)))
 
 
 @query
 def visit_hours(s, d):
-    return report.visit_hours(merged(s, d))
+    return report.visit_hours(visits(s, d))
 
 
 @query
@@ -380,7 +384,7 @@ def speed_by_hour(s, d):
 
 @query
 def speed_by_weekday(s, d):
-    return rounded(report.speed_by_weekday(ready(s, d).where("weekday(ts) <> 3")))
+    return rounded(report.speed_by_weekday(ready(s, d)))
 
 
 @query
@@ -441,8 +445,7 @@ def move_totals(s, d):
 
 @query
 def segment_stats(s, d):
-    few = pts(s, d).where("dayofmonth(ts) % 5 <> 0")
-    return rounded(report.segment_stats(ready(s, d), points.date_segments(few)))
+    return rounded(report.segment_stats(ready(s, d), points.date_segments(pts(s, d))))
 
 
 @query
