@@ -44,3 +44,38 @@ def test_repeated_and_null_ids_and_empty_table(make_docs):
     assert M.with_edits(make_docs([(1, "x")])).first().near_next == 1
     assert M.with_edits(make_docs([])).count() == 0
     assert M.fingerprints(make_docs(["a", "a"])).select("fingerprint").distinct().count() == 1
+
+
+def test_likeness_of_very_repetitive_texts():
+    a, b, c = (M.Fingerprint.of("\n".join(["same pair"] * n)) for n in (100_000, 65_536, 30_000))
+    assert a.likeness(b) > 0.9 and 0.5 < a.likeness(c) < b.likeness(c) < 0.8
+
+
+def test_a_hot_id_is_parted(make_docs, monkeypatch):
+    """Half of the rows without an id, in many blocks; each row still meets the next one."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", 5)
+    texts = [(i if i % 2 else None, f"t{i} w{i % 7}") for i in range(200)]
+    docs = make_docs(texts)
+    blocks = M.in_blocks(docs).where("extra = 0").groupBy("block").count().collect()
+    assert len(blocks) > 25 and max(r["count"] for r in blocks) < 40
+    rows = M.with_edits(docs).collect()
+    assert len(rows) == 200 and sum(r.doc_id is None for r in rows) == 100
+    of = {M.Fingerprint.of(t).hex(): t for _, t in texts}
+    order = sorted((k for k, _ in texts if k is not None), reverse=True)
+    text = dict(texts)
+    for r in rows:
+        if r.doc_id in order[:-1]:
+            following = text[order[order.index(r.doc_id) + 1]]
+            own = text[r.doc_id]
+            assert r.edited_sha256 == hashlib.sha256((own[: len(own) - len(own) // 2] + following[: len(own) // 2]).encode()).hexdigest()
+    assert len({of[r.fingerprint] for r in rows}) == 200
+
+
+def test_cuts_part_hot_keys_in_order():
+    import numpy as np
+
+    c = M.Cuts([1, 5, 5, 5, 9])
+    h = np.array([-(1 << 63), 0, (1 << 63) - 1])
+    assert c.of(np.array([0, 1, 2, 4]), np.zeros(4, np.int64)).tolist() == [0, 0, 1, 1]
+    assert c.of(np.full(3, 5), h).tolist() == [1, 2, 3]
+    assert c.of(np.array([6, 9, 10]), np.zeros(3, np.int64)).tolist() == [4, 4, 5]

@@ -2,17 +2,18 @@
 
 Every paragraph (a line) is hashed to a wide vector, and a text's fingerprint is the sum
 of its paragraphs' vectors: FULL lanes modulo 2**64 that decide equality, and SKETCH lanes
-modulo 2**16 into which the paragraph's word pairs are counted with signs. Sums don't
+modulo 2**32 into which the paragraph's word pairs are counted with signs. Sums don't
 depend on the order, and a paragraph is put in or taken out by adding or subtracting its
 vector. The squared distance of two sketches estimates how many pairs differ, so one less
 its share of both squared lengths is their likeness.
 
 Documents meet their neighbour by doc_id in one shuffle: blocks of ids come from quantiles
 over all ids, each block also gets the first row of the block that follows it, and tasks
-read their blocks in order.
+read their blocks in order. An id with more rows than a block is parted by hashes of texts.
 
 Edge cases: a null text counts as empty, an empty text is one empty paragraph. Rows with
-equal doc_ids follow each other by text; a null doc_id comes last. A single row is its own
+equal doc_ids follow each other by text (by its hash first, if they fill blocks); a null
+doc_id comes last. A single row is its own
 next one. Fingerprints without any pair are like each other only if they are equal. Other
 columns are ignored; an empty table gives an empty result.
 """
@@ -41,7 +42,7 @@ class Fingerprint:
 
     def __init__(self, full: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.full = np.zeros(FULL, np.uint64) if full is None else full
-        self.sketch = np.zeros(SKETCH, np.uint16) if sketch is None else sketch
+        self.sketch = np.zeros(SKETCH, np.uint32) if sketch is None else sketch
 
     @classmethod
     def of(cls, text: str | None) -> Fingerprint:
@@ -65,7 +66,7 @@ class Fingerprint:
             h = np.array(pairs, np.uint64)
             lane = (h % np.uint64(2 * SKETCH)).astype(np.int64)
             n = np.bincount(lane, minlength=2 * SKETCH)
-            self.sketch = self.sketch + (n[:SKETCH] - n[SKETCH:]).astype(np.uint16)
+            self.sketch = self.sketch + (n[:SKETCH] - n[SKETCH:]).astype(np.uint32)
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.full + other.full, self.sketch + other.sketch)
@@ -80,13 +81,13 @@ class Fingerprint:
         return hash(self.hex())
 
     def hex(self) -> str:
-        return self.full.astype("<u8").tobytes().hex() + self.sketch.astype("<u2").tobytes().hex()
+        return self.full.astype("<u8").tobytes().hex() + self.sketch.astype("<u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """From 0 to 1; 1 only if the fingerprints are equal."""
         if (self.full == other.full).all():
             return 1.0
-        a, b = self.sketch.view(np.int16).astype(np.float64), other.sketch.view(np.int16).astype(np.float64)
+        a, b = self.sketch.view(np.int32).astype(np.float64), other.sketch.view(np.int32).astype(np.float64)
         size = float(a @ a + b @ b)
         apart = float((a - b) @ (a - b))
         return min(max(1 - apart / size, 0.0), 1 - 2**-20) if size else 0.0
@@ -116,39 +117,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+class Cuts:
+    """Blocks of (key, hash) in ascending order; a key that is several quantiles is parted by hash."""
+
+    def __init__(self, quantiles: list[int]):
+        self.keys, self.times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.base = np.concatenate([[0], np.cumsum(self.times)])
+        self.hot = self.keys[self.times > 1]
+
+    def of(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, key, "left")
+        if not len(self.hot):
+            return at.astype(np.int32)
+        near = np.minimum(at, len(self.keys) - 1)
+        part = ((h.astype(np.float64) / 2.0**64 + 0.5) * self.times[near]).astype(np.int64)
+        part = np.where((at == near) & (self.keys[near] == key), np.minimum(part, self.times[near] - 1), 0)
+        return (self.base[at] + part).astype(np.int32)
+
+
 def in_blocks(docs: DataFrame) -> DataFrame:
     """block, extra, doc_id, text: rows by descending doc_id in blocks, each block in one task.
 
     A block ends with rows marked ``extra``: the first of them is the row that follows.
-    The driver holds two ids a block, at most 2 * MAX_BLOCKS.
+    The driver holds two numbers a block, at most 2 * MAX_BLOCKS.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     n = rows.count()
     blocks = min(MAX_BLOCKS, max(1, n // BLOCK_ROWS))
-    cuts = rows.agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)] or [0.5], max(10_000, 10 * blocks))).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    cuts = Cuts(rows.agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)] or [0.5], max(10_000, 10 * blocks))).first()[0] or [0])
+    hot = F.col("key").isin(*map(int, cuts.hot)) if len(cuts.hot) else F.lit(False)
+    rows = rows.withColumn("h", F.when(hot, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
 
     @F.pandas_udf("int")
-    def block_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), "left").astype(np.int32))
+    def block_of(key: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(cuts.of(key.to_numpy(), h.to_numpy()))
 
-    heads = sorted((r.block, r.head) for r in rows.select("key", block_of("key").alias("block")).groupBy("block").agg(F.max("key").alias("head")).collect())
-    head_keys = np.array([h for _, h in heads], np.int64)
-    before = np.array([heads[(i + 1) % len(heads)][0] for i in range(len(heads))], np.int32)
+    heads = sorted((r.block, r.head.key, r.head.h) for r in rows.select("key", "h", block_of("key", "h").alias("block")).groupBy("block").agg(F.max(F.struct("key", "h")).alias("head")).collect())
+    own = {b: (k, h, heads[(i + 1) % len(heads)][0]) for i, (b, k, h) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def blocks_of(key: pd.Series) -> pd.Series:
-        value = key.to_numpy()
-        own = np.searchsorted(cuts, value, "left").astype(np.int32)
-        at = np.minimum(np.searchsorted(head_keys, value), len(head_keys) - 1)
-        return pd.Series([[b, before[i]] if head_keys[i] == k else [b] for b, i, k in zip(own, at, value, strict=True)])
+    def blocks_of(key: pd.Series, h: pd.Series) -> pd.Series:
+        at = cuts.of(key.to_numpy(), h.to_numpy())
+        return pd.Series([[b, own[b][2]] if own[b][:2] == (k, x) else [b] for b, k, x in zip(at.tolist(), key.tolist(), h.tolist(), strict=True)])
 
     if not heads:
         return spark.createDataFrame([], "block int, extra int, doc_id long, text string")
     return (
-        rows.select("key", "doc_id", "text", F.posexplode(blocks_of("key")).alias("extra", "block"))
-        .repartition("block").sortWithinPartitions("block", "extra", F.desc("key"), "text").select("block", "extra", "doc_id", "text")
+        rows.select("key", "h", "doc_id", "text", F.posexplode(blocks_of("key", "h")).alias("extra", "block"))
+        .repartition("block").sortWithinPartitions("block", "extra", F.desc("key"), F.desc("h"), "text").select("block", "extra", "doc_id", "text")
     )
 
 
