@@ -31,8 +31,9 @@ def test_ids_are_those_of_tiktoken(encoder, reference):
     for s in samples(3000):
         want = reference.encode_ordinary(s)
         assert encoder.ids(s).tolist() == want
-        parts = list(M.cuts(s, 4))
-        assert "".join(parts) == s and sum((reference.encode_ordinary(p) for p in parts), []) == want
+        for size in (1, 7):
+            cut = [p for part in encoder.pieces(s, size) for p in part]
+            assert cut == encoder.finder(s)(s) and "".join(cut) == s
 
 
 def test_query_columns(make_docs, odd, reference):
@@ -67,3 +68,24 @@ def test_bounded_table(encoder, monkeypatch, reference):
 def test_byte_characters():
     chars = M.byte_characters()
     assert len(set(chars)) == 256 and chars[ord("a")] == "a" and chars[32] == "Ġ" and chars[10] == "Ċ"
+
+
+def test_long_texts_are_cut_at_any_match(encoder, reference):
+    for text in ("\n" * 5000 + "x", "ab,cd\n" * 3000, "日本" * 4000 + " 語" * 3000, "it'll" * 3000, " " * 3000):
+        parts = list(encoder.pieces(text, 500))
+        assert [p for part in parts for p in part] == encoder.finder(text)(text)
+        assert max(len("".join(p)) for p in parts) <= max(500, 2 * max(len(x) for p in parts for x in p) + M.LOOK)
+        assert encoder.ids(text).tolist() == reference.encode_ordinary(text)
+
+
+def test_both_vocabulary_files_are_the_same(encoder, reference):
+    """Ids are those of the ranks in the .tiktoken file, for every token."""
+    table = M.token_bytes(encoder.tokenizer)
+    ranks = reference._mergeable_ranks
+    assert {b: i for i, b in table.items()} == {b: i for b, i in ranks.items() if i in table} and len(table) == len(ranks)
+
+
+def test_kept_columns_of_any_name(make_docs):
+    docs = make_docs(["a b", None]).selectExpr("*", "named_struct('x y', 1) as `a.b`", "2 as `my col`", "3 as `x``y`")
+    out = M.encode_and_decode(docs, keep=("a.b", "my col", "x`y"))
+    assert out.columns == ["doc_id", "a.b", "my col", "x`y", "ids", "content"] and out.count() == 2

@@ -7,8 +7,8 @@ maps each byte to a printable character. A token may end inside a character; suc
 have that character's offsets, and bytes are joined before they are read as UTF-8.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes. Texts of any
-length are cut between two matches of the pattern, so memory follows ``CUT`` plus the ids
-of one text. A null list of ids decodes to no bytes; an unknown id raises KeyError.
+length are cut between two matches of the pattern, so memory follows ``CUT``, or the longest
+match, plus the ids of one text. A null list of ids decodes to no bytes; an unknown id raises KeyError.
 Repeated rows are encoded each; other columns are ignored.
 """
 
@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -25,8 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
+from wayspark.llm.columns import named
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters encoded at once, and ids held before a batch goes out.
 CUT = 1 << 20
@@ -34,6 +38,8 @@ CUT = 1 << 20
 REMEMBERED, MAX_REMEMBERED = 200_000, 64
 #: Pieces that the library encodes in one call.
 TOGETHER = 4096
+#: Characters after a match that can decide about it (as in 'll).
+LOOK = 4
 
 
 def byte_characters() -> list[str]:
@@ -54,24 +60,6 @@ def token_bytes(tokenizer: Tokenizer) -> dict[int, bytes]:
     return {i: bytes(byte_of[c] for c in t) for t, i in tokenizer.get_vocab().items() if t not in special}
 
 
-def cuts(text: str, size: int = CUT) -> Iterator[str]:
-    """Parts of at least ``size`` characters that begin with a space between two words.
-
-    The pattern starts a match at every single space that has no space on either side.
-    """
-    at = 0
-    while len(text) - at > size:
-        found = _BETWEEN.search(text, at + size)
-        if not found:
-            break
-        yield text[at : found.start()]
-        at = found.start()
-    yield text[at:] if at else text
-
-
-_BETWEEN = regex.compile(r"(?<=\S) (?=\S)")
-
-
 def latin_pattern(pattern: str) -> str | None:
     """The pattern for texts below U+0100 in terms of the re module, which is faster.
 
@@ -101,15 +89,32 @@ class Encoder:
         self.spans = spans
         self.met: dict[str, tuple] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def finder(self, text: str) -> Callable[[str], list[str]]:
         if self.latin_pieces:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 pass
             else:
-                return self.latin_pieces(text)
-        return self.any_pieces(text)
+                return self.latin_pieces
+        return self.any_pieces
+
+    def pieces(self, text: str, size: int = CUT) -> Iterator[list[str]]:
+        """All matches in the text, those in about ``size`` characters at a time.
+
+        A match that ends LOOK characters before the end of a part is one of the whole text.
+        """
+        find, at, n = self.finder(text), 0, max(size, LOOK + 1)
+        while len(text) - at > n:
+            found = find(text[at : at + n])
+            ends = list(accumulate(map(len, found)))
+            whole = bisect_right(ends, n - LOOK)
+            if not whole:
+                n *= 2
+                continue
+            yield found[:whole]
+            at, n = at + ends[whole - 1], max(size, LOOK + 1)
+        yield find(text[at:] if at else text)
 
     def lookup(self, parts: list[str]) -> dict[str, tuple]:
         new = [p for p in set(parts) if p not in self.met]
@@ -130,16 +135,14 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         out = []
-        for part in cuts(text):
-            pieces = self.pieces(part)
+        for pieces in self.pieces(text):
             table = self.lookup(pieces)
             out.append(np.fromiter(chain.from_iterable(map(table.__getitem__, pieces)), np.int32))
         return np.concatenate(out)
 
     def ids_and_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         ids, ends, at = [], [], 0
-        for part in cuts(text):
-            pieces = self.pieces(part)
+        for pieces in self.pieces(text):
             table = self.lookup(pieces)
             for p in pieces:
                 own, spans = table[p]
@@ -155,7 +158,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _encoded(path: str | None, pattern: str, offsets: bool, names: list[str]) -> Callable:
-    """Batches with the text last become batches with ids (and spans) in its place."""
+    """Batches with the text last become batches with ids (and spans) in its place.
+
+    Spark hands over plain names only, so columns are numbered on the way.
+    """
 
     def run(batches):
         encoder = Encoder(path or public_tokenizers.path(VOCABULARY), pattern, offsets)
@@ -196,12 +202,12 @@ def _decoded(path: str | None) -> Callable:
     return run
 
 
-def _kind(df: DataFrame, more: str) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + more
+def _kind(df: DataFrame, **more: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema, *(T.StructField(n, t) for n, t in more.items())])
 
 
 def _texts(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(named(c).alias(f"_{i}") for i, c in enumerate(keep)), "text")
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -212,19 +218,22 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """
     texts = _texts(docs, keep)
     names = ["ids", "starts", "ends"] if offsets else ["ids"]
-    return texts.mapInArrow(_encoded(path, pattern, offsets, ["doc_id", *keep, *names]), _kind(texts.drop("text"), ", ".join(f"{n} array<int>" for n in names)))
+    found = texts.mapInArrow(_encoded(path, pattern, offsets, [*texts.columns[:-1], *names]), _kind(texts.drop("text"), **{n: T.ArrayType(T.IntegerType()) for n in names}))
+    return found.toDF("doc_id", *keep, *names)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """All columns and ``content``, the bytes that ``ids`` stand for."""
-    return tokens.mapInArrow(_decoded(path), _kind(tokens, "content binary"))
+    plain = tokens.toDF(*(c if c == "ids" else f"_{i}" for i, c in enumerate(tokens.columns)))
+    return plain.mapInArrow(_decoded(path), _kind(plain, content=T.BinaryType())).toDF(*tokens.columns, "content")
 
 
 def encode_and_decode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns ``keep``, ``ids`` and ``content``: both ways in one worker a task."""
     texts = _texts(docs, keep)
-    encoded, decoded = _encoded(path, pattern, False, ["doc_id", *keep, "ids"]), _decoded(path)
-    return texts.mapInArrow(lambda batches: decoded(encoded(batches)), _kind(texts.drop("text"), "ids array<int>, content binary"))
+    encoded, decoded = _encoded(path, pattern, False, [*texts.columns[:-1], "ids"]), _decoded(path)
+    found = texts.mapInArrow(lambda batches: decoded(encoded(batches)), _kind(texts.drop("text"), ids=T.ArrayType(T.IntegerType()), content=T.BinaryType()))
+    return found.toDF("doc_id", *keep, "ids", "content")
 
 
 def text_of(content: bytes) -> str:
