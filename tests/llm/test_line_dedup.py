@@ -38,7 +38,7 @@ def test_long_runs_need_several_levels(make_docs):
 
 
 def test_odd_rows(make_docs, odd):
-    docs = make_docs([(7, t) for t in odd] + [(None, "one two three")] * 2).withColumns({"uid": F.lit(1), "line": F.lit(2), "left": F.lit(3)})
+    docs = make_docs([(7, t) for t in odd] + [(None, "one two three")] * 2).withColumns({"uid": F.lit(1), "line": F.lit(2), "left": F.lit(3), "a.b": F.lit(4), "my col": F.lit(5), "my-col": F.lit(6), "x`y": F.lit(7)})
     rows = M.line_dedup(docs, 3).collect()
     assert len(rows) == len(odd) + 2
     assert sum(r.n_removed for r in rows) >= 1 and all(r.left is None and r.n_lines == 0 for r in rows if r.n_lines == 0)

@@ -53,3 +53,15 @@ def test_empty_table(make_docs, spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_odd_rows_and_names(spark, make_docs, odd):
+    """Null, empty and long texts, repeated rows and ids, and columns of any name pass every stage."""
+    docs = make_docs([*enumerate(odd), (None, "one", None, None), (3, "one", None, None), (3, "one", None, None)])
+    docs = docs.selectExpr("*", "1 as `a.b`", "2 as `my col`", "3 as `my-col`", "4 as `x``y`", "5 as uid", "6 as doc", "7 as place")
+    for _, stage in P.STAGES[1:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+    kept = P.quality(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and kept.where("text is null or trim(text) = ''").count() == 0
+    assert P.tokens(spark, docs, "").count() == docs.count()

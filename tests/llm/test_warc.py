@@ -55,3 +55,17 @@ def test_empty_table(spark, tmp_path):
 def test_exits():
     offset, after = np.array([0, 10, 25, 90]), np.array([10, 25, 130, 95])
     assert M.exits(offset, after, 100).tolist() == [130, 130, 130, -1]
+
+
+def test_reading_in_small_splits(spark, tmp_path):
+    """Splits of Spark's text source end anywhere: in a magic line, a header or a payload."""
+    rows = [(i, f"http://h/{i}", f"page {i} é " * (i % 60) + (INNER if i % 9 == 0 else "")) for i in range(300)]
+    M.write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in (700, 1001, 4099):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            got = {r.page_id: r for r in M.read_warc(spark, str(tmp_path / "w"), 5000).collect()}
+            assert all(got[i].payload_digest == hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows) and len(got) == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

@@ -26,8 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from wayspark.functions.durable import durable, release
+from wayspark.llm.columns import whole_row
 
 MIN_WORDS = 10
 _LAST = (1 << 63) - 1
@@ -197,7 +199,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     what is left has a word) and ``removed``, the deleted runs as structs of the first
     line, from 0, and the length.
     """
-    table = durable(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "texts")
+    table = durable(docs.select(F.monotonically_increasing_id().alias("uid"), whole_row(docs).alias("doc")), "texts")
     lines = durable(_lines(table, min_words), "lines")
     suffixes, levels = suffix_ranks(lines, min_words)
     release(lines)
@@ -229,7 +231,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             ], names=["doc", "left", "n_lines", "n_removed", "has_words", "removed"])
 
     rest = table.select("uid", F.col("doc").dropFields("text").alias("doc") if len(docs.columns) > 1 else F.struct(F.lit(1).alias("one")).alias("doc"), F.col("doc.text").alias("text"))
-    kind = f"doc {rest.schema['doc'].dataType.simpleString()}, left string, n_lines long, n_removed long, has_words boolean, removed array<struct<line: long, length: long>>"
+    spans = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("length", T.LongType())]))
+    kind = T.StructType([rest.schema["doc"], *(T.StructField(n, t) for n, t in (("left", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()), ("has_words", T.BooleanType()), ("removed", spans)))])
     return rest.join(gone, "uid", "left").select("doc", "text", "runs").mapInArrow(cut, kind)
 
 
