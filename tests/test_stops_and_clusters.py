@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -49,10 +50,7 @@ def test_dbscan_chains_and_participants(spark):
 def test_dbscan_border_and_noise(spark):
     rows = [stop(1, 0), stop(2, 10), stop(3, 20), stop(4, 115), stop(5, 500)]
     got = {r.stop_seq: r.cluster for r in cluster.dbscan(spark.createDataFrame(rows, STOPS), 100.0, 4).collect()}
-    assert got == {1: -1, 2: -1, 3: 0, 4: 0, 5: -1} or got == {1: 0, 2: 0, 3: 0, 4: 0, 5: -1}
-    neighbours = {k: sum(abs(a - b) <= 100 for b in (0, 10, 20, 115, 500)) for k, a in ((1, 0), (2, 10), (3, 20), (4, 115), (5, 500))}
-    cores = {k for k, n in neighbours.items() if n >= 4}
-    assert cores == {k for k in got if got[k] >= 0 and neighbours[k] >= 4}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: -1}  # 3 alone has four within 100 m; 1, 2 and 4 are its border
 
 
 def test_grouping_bounds(spark):
@@ -108,10 +106,12 @@ def greedy(sites, k):
     return own
 
 
-@pytest.mark.parametrize("seed, n, k", [(1, 60, 4), (2, 45, 3), (3, 7, 4), (4, 3, 4)])
+@pytest.mark.parametrize("seed, n, k", [(1, 60, 4), (2, 45, 3), (3, 7, 4), (4, 3, 4), (0, 40, 4), (5, 90, 6)])
 def test_greedy_clusters_like_one_edge_at_a_time(spark, seed, n, k):
     rng = random.Random(seed)
-    sites = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(n)]
+    # seed 0: a row of sites with ever shorter gaps
+    sites = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(n)] if seed else [(i, 100 * i - i * i, 0.0) for i in range(n)]
+    sites = [(i, float(x), float(y)) for i, x, y in sites]
     found, merges = privacy.greedy_clusters(spark.createDataFrame(sites, "site_id long, x double, y double"), k)
     got = {r.site_id: r.cluster_id for r in found.collect()}
     assert got == greedy(sites, k)
@@ -140,3 +140,75 @@ def test_truncation_keeps_a_middle_part_or_nothing(spark):
 def test_step_speed_of_one_point(spark, at):
     one = spark.createDataFrame([(1, 1, at("8:00"), 48.0, 2.0)], POINTS)
     assert points.prepared(one).first().speed_kmh_smooth is None
+
+
+def test_nearest_keeps_points_without_a_place_and_far_ones(spark):
+    rng = random.Random(7)
+    sites = [(i, rng.uniform(0, 100), rng.uniform(0, 100), i % 3) for i in range(30)] + [(90, None, 1.0, 1)]
+    rows = [(i, rng.uniform(-10, 110), rng.uniform(-10, 110)) for i in range(60)] + [(60, None, 1.0), (61, 1.0, None), (62, 1e7, -1e7)]
+    df = spark.createDataFrame(rows, "pid long, x double, y double")
+    of = spark.createDataFrame(sites, "site_id long, x double, y double, cluster_id long")
+    got = {r.pid: r for r in privacy.cell_of_point(df, of, "pid").collect()}
+    assert len(got) == len(rows) and got[60].cell is None and got[61].near_site is None
+    for i, x, y in rows:
+        if x is not None and y is not None:
+            d, site = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, s) for s, a, b, _ in sites if a is not None)
+            assert got[i].near_site == site and got[i].dist == pytest.approx(d)
+    assert {r.cell for r in privacy.cell_of_point(df, of.limit(0), "pid").collect()} == {None}
+    assert privacy.cell_of_point(df, of.where("site_id = 3"), "pid").where("cell is not null").count() == 61
+    assert privacy.cell_of_point(df.limit(0), of, "pid").count() == 0
+
+
+def test_cluster_stats(spark):
+    clusters = spark.createDataFrame([(i, 0.0, 0.0, i // 4) for i in range(10)], "site_id long, x double, y double, cluster_id long")
+    merges = spark.createDataFrame([(1, 2, 1.5), (2, 3, 2.0)], "source long, target long, length double")
+    assert privacy.cluster_stats(clusters, merges).first().asDict() == {"n_clusters": 3, "n_sites": 10, "mean_sites": 10 / 3, "merge_length": 3.5}
+    assert privacy.cluster_stats(clusters.limit(0), merges.limit(0)).first().asDict() == {"n_clusters": 0, "n_sites": 0, "mean_sites": None, "merge_length": 0.0}
+
+
+def metres(a, b):
+    p, q = map(math.radians, (a[0], b[0]))
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(math.sqrt(h))
+
+
+def plain_dbscan(at, eps, k):
+    """Labels by looking at all pairs; clusters are numbered by their first core."""
+    near = {i: [j for j in at if None not in at[i] + at[j] and metres(at[i], at[j]) <= eps] or [i] for i in at}
+    cores = [i for i in sorted(at) if len(near[i]) >= k]
+    label, n = {}, 0
+    for i in cores:
+        if i not in label:
+            stack = [i]
+            while stack:
+                j = stack.pop()
+                if j not in label:
+                    label[j] = n
+                    stack += [x for x in near[j] if x in cores]
+            n += 1
+    own = dict(label)
+    return {i: own.get(i, min((own[j] for j in near[i] if j in own), default=-1)) for i in at}
+
+
+@pytest.mark.parametrize("seed, lat, lon, k", [(1, 48.0, 2.0, 1), (2, -0.001, -0.001, 1), (3, 75.0, 179.0, 1), (4, 48.0, 2.0, 4), (5, -60.0, -5.0, 5), (6, 0.0, 0.0, 3)])
+def test_dbscan_against_all_pairs(spark, seed, lat, lon, k):
+    rng = random.Random(seed)
+    at = {i: (lat + rng.uniform(-1200, 1200) * METRE, lon + rng.uniform(-1200, 1200) * METRE / math.cos(math.radians(lat))) for i in range(150)}
+    at |= {200 + i: (at[i][0] + rng.gauss(0, 20) * METRE, at[i][1]) for i in range(0, 150, 2)} | {400 + i: at[i] for i in range(3)}
+    at |= {500: (None, lon), 501: (lat, None), 502: (None, None)}
+    day = datetime(2024, 1, 2)
+    rows = [(1, i, day, day, 0.0, *p) for i, p in at.items()]
+    got = {r.stop_seq: r.cluster for r in cluster.dbscan(spark.createDataFrame(rows, STOPS), 150.0, k).collect()}
+    assert got == plain_dbscan(at, 150.0, k)
+
+
+def test_dense_places_just_out_of_reach(spark):
+    """Two crowds whose cells are neighbours: one pair near enough links them, none doesn't."""
+    rng = random.Random(3)
+    day = datetime(2024, 1, 2)
+    crowd = lambda seq, y: [(1, seq + i, day, day, 0.0, 48 + (y + (rng.uniform(-20, 0) if seq == 0 else rng.uniform(0, 20))) * METRE, 2.0 + rng.uniform(-1e-4, 1e-4)) for i in range(120)]
+    rows = crowd(0, 0) + crowd(1000, 151)
+    df = spark.createDataFrame(rows, STOPS)
+    assert cluster.dbscan(df, 150.0).select("cluster").distinct().count() == 2
+    bridge = spark.createDataFrame([(1, 5000, day, day, 0.0, 48 + 0.5 * METRE, 2.0), (1, 5001, day, day, 0.0, 48 + 150.4 * METRE, 2.0)], STOPS)
+    assert cluster.dbscan(df.unionByName(bridge), 150.0).select("cluster").distinct().count() == 1

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 
 from wayspark.functions.durable import durable
 from wayspark.functions.geo import direction_deg, planar_m
-from wayspark.operators.joins import nearest, within_radius
+from wayspark.operators.components import components
+from wayspark.operators.joins import nearest, spacing, within_radius
 from wayspark.operators.stops import _hull
 
 _DIST = lambda y1, x1, y2, x2: planar_m(x1, y1, x2, y2)
@@ -29,14 +30,13 @@ def neighbour_edges(sites: DataFrame, k: int) -> DataFrame:
     """source < target and length: every site's ``k`` nearest sites, each edge once.
 
     A cluster of fewer than k sites has its shortest way out among them, so greedy
-    clustering needs no other edges. The radius doubles until k sites are near or all are.
+    clustering needs no other edges. The radius doubles until each has as many as there are.
     """
-    box = sites.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
-    if box[4] < 2:
+    n = sites.count()
+    if n < 2:
         return sites.select(F.col("site_id").alias("source"), F.col("site_id").alias("target"), F.lit(0.0).alias("length")).limit(0)
-    extent = ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5
-    want = min(k, box[4] - 1)
-    radius = max(extent / max(box[4], 1) ** 0.5, 1e-9)
+    want = min(k, n - 1)
+    radius = spacing(sites, ("y", "x")) * max(k, 1) ** 0.5
     todo, out = sites, None
     to = sites.select(F.col("site_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     while True:
@@ -47,40 +47,45 @@ def neighbour_edges(sites: DataFrame, k: int) -> DataFrame:
         ready = near.join(full, "site_id", "left_semi").drop("r")
         out = ready if out is None else out.unionByName(ready)
         todo = durable(todo.join(full, "site_id", "left_anti"), "todo")
-        if radius > 2 * extent or todo.isEmpty():
+        if todo.isEmpty():
             break
         radius *= 2
     return out.select(F.least("site_id", "other").alias("source"), F.greatest("site_id", "other").alias("target"), F.col("dist_m").alias("length")).distinct()
 
 
-def greedy_clusters(sites: DataFrame, k: int = 4, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def greedy_clusters(sites: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame]:
     """site_id, x, y, cluster_id; and the edges (source, target, length) that merged clusters.
 
     Edges are taken by length, source and target; one merges two clusters if either has
     fewer than ``k`` sites, the smaller into the larger, of equal ones the target's into the
-    source's. That is done in rounds: a small cluster's shortest edge out is due as soon as
-    the other cluster has k sites or has the same edge as its shortest.
+    source's. That is done in rounds, until nothing is due. The shortest edge out of a small
+    cluster is due if it is the other cluster's too, or leads, by shortest edges out of small
+    clusters, to one of k sites: no edge that is shorter leaves any of these. So a row of
+    sites with ever shorter gaps takes a few rounds, not one for each site.
     """
     edges = durable(neighbour_edges(sites, k), "edges")
     own = durable(sites.select("site_id", F.col("site_id").alias("cluster_id")), "clusters")
     used = None
-    for _ in range(max_rounds):
+    while True:
         size = own.groupBy("cluster_id").agg(F.count("*").alias("n"))
         at = own.join(size, "cluster_id")
         side = lambda s, c, at=at: at.select(F.col("site_id").alias(s), F.col("cluster_id").alias(f"c{c}"), F.col("n").alias(f"n{c}"))
         out = durable(edges.join(side("source", 1), "source").join(side("target", 2), "target").where("c1 <> c2"), "between")
-        edge = F.struct("length", "source", "target")
-        ways = out.where(F.col("n1") < k).select(F.col("c1").alias("c"), edge.alias("e")).unionByName(out.where(F.col("n2") < k).select(F.col("c2").alias("c"), edge.alias("e")))
-        best = ways.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*")
-        pick = lambda c: best.select(F.col("c").alias(f"c{c}"), *(F.col(x) for x in ("source", "target"))).withColumn(f"best{c}", F.lit(True))
-        due = out.join(pick(1), ["c1", "source", "target"], "left").join(pick(2), ["c2", "source", "target"], "left")
-        first, second = F.col("best1").isNotNull(), F.col("best2").isNotNull()
-        due = durable(due.where((first & (second | (F.col("n2") >= k))) | (second & (F.col("n1") >= k))), "due")
-        if due.isEmpty():
+        way = lambda a, b: out.where(F.col(f"n{a}") < k).select(F.col(f"c{a}").alias("c"), F.struct("length", "source", "target", F.col(f"c{b}").alias("to"), F.col(f"n{a}").alias("n"), F.col(f"n{b}").alias("to_n")).alias("e"))  # noqa: E731, B023
+        best = durable(way(1, 2).unionByName(way(2, 1)).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "best")
+        if best.isEmpty():
             break
-        into = F.when(F.col("n1") >= F.col("n2"), F.struct(F.col("c2").alias("old"), F.col("c1").alias("new"))).otherwise(F.struct(F.col("c1").alias("old"), F.col("c2").alias("new")))
-        renamed = due.select(into.alias("m")).select("m.*")
-        own = durable(own.join(renamed, F.col("cluster_id") == F.col("old"), "left").select("site_id", F.coalesce("new", "cluster_id").alias("cluster_id")), "clusters")
+        roots = components(best.select(F.col("c").alias("u"), F.col("to").alias("v")))
+        # each tree of shortest edges ends at one cluster of k sites, or at an edge that is the shortest of both ends
+        big = best.where(F.col("to_n") >= k).join(roots, F.col("to") == F.col("node")).groupBy("root").agg(F.min("to").alias("new"))
+        whole = best.join(roots, F.col("c") == F.col("node")).join(big, "root").select(F.col("c").alias("old"), "new", "source", "target", "length")
+        other = best.select(F.col("c").alias("to"), "source", "target", F.col("n").alias("other_n"))
+        sides = out.select("source", "target", "c1", "c2")
+        mutual = best.join(other, ["to", "source", "target"]).join(sides, ["source", "target"])
+        into_first = F.col("n") >= F.col("other_n")
+        pairs = mutual.where("c = c1").select(F.when(into_first, F.col("c2")).otherwise(F.col("c1")).alias("old"), F.when(into_first, F.col("c1")).otherwise(F.col("c2")).alias("new"), "source", "target", "length")
+        due = durable(whole.unionByName(pairs), "due")
+        own = durable(own.join(due.select("old", "new"), F.col("cluster_id") == F.col("old"), "left").select("site_id", F.coalesce("new", "cluster_id").alias("cluster_id")), "clusters")
         took = due.select("source", "target", "length")
         used = took if used is None else used.unionByName(took)
     return sites.join(own, "site_id"), used if used is not None else edges.limit(0)
@@ -106,10 +111,13 @@ def cluster_hulls(clusters: DataFrame) -> DataFrame:
     return clusters.select("cluster_id", "x", "y").groupBy("cluster_id").applyInPandas(run, "cluster_id long, pos long, x double, y double, perimeter double")
 
 
-def cell_of_point(points: DataFrame, sites: DataFrame, pid: str, first_radius: float = 500.0) -> DataFrame:
-    """Adds ``cell``, the cluster of the nearest site, and ``dist``; ties go to the smaller site_id."""
+def cell_of_point(points: DataFrame, sites: DataFrame, pid: str) -> DataFrame:
+    """Adds ``cell``, the cluster of the nearest site, and ``dist``; ties go to the smaller site_id.
+
+    A point with a null coordinate has a null cell.
+    """
     named = sites.select(F.col("site_id").alias("near_site"), F.col("cluster_id").alias("cell"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    return nearest(points, named, ("y", "x"), ("sy", "sx"), pid, first_radius, ["near_site", "cell"], _DIST)
+    return nearest(points, named, ("y", "x"), ("sy", "sx"), pid, ["near_site", "cell"], _DIST)
 
 
 def endpoints(traj: DataFrame) -> DataFrame:
