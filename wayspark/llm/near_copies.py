@@ -8,9 +8,9 @@ bits, for which no partition leaves a key that selects), from BANDS keys of ROWS
 each. A pair of similarity 4/5 shares a key with a probability of 1 - (1 - 0.8**5)**20, which
 is 0.9996, and the more alike, the likelier. Every candidate is verified on the whole sets.
 
-Under a key that more than ``bucket`` texts share, they are held against one of them in
-ROUNDS rounds, and what is linked by then isn't compared again. What is left open there is
-parted by keys of more MinHashes: DEEP_BANDS of DEEP_ROWS, of which a pair of similarity 4/5
+Under a key that more than ``bucket`` texts share, they are held against LEADERS of them, and
+what is linked by then isn't compared again. What is left open there is parted by keys of
+more MinHashes: DEEP_BANDS of DEEP_ROWS, of which a pair of similarity 4/5
 shares one with a probability of 0.995, one of similarity 1/2 with 0.005.
 
 Edge cases: words are parted by ASCII space, and compared with ASCII letters in lower case.
@@ -37,7 +37,8 @@ BANDS, ROWS = 20, 5
 DEEP_BANDS, DEEP_ROWS = 150, 15
 #: Texts under one key that are compared with each other.
 BUCKET = 64
-ROUNDS = 4
+#: Texts under a key of more that all others are held against.
+LEADERS = 8
 #: Ids that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -166,13 +167,19 @@ def all_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b, on).where(fit).select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
 
 
-def _opened(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` (key, uid, n) with their roots, of keys with more than one; ``main`` has most rows of its key."""
+def leader_pairs(large: DataFrame) -> DataFrame:
+    """u, v: every row of ``large`` (key, uid) with the LEADERS of its key, the same ones under many keys."""
+    lead = large.groupBy("key").agg(*(F.min_by("uid", F.struct(F.xxhash64("uid", F.lit(k)), "uid")).alias(f"v{k}") for k in range(LEADERS)))
+    lead = lead.select("key", F.explode(F.array_distinct(F.array(*(f"v{k}" for k in range(LEADERS))))).alias("v"))
+    return large.join(durable(lead, "leaders"), "key").where("uid <> v").select(F.col("uid").alias("u"), "v")
+
+
+def open_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (key, uid, n) with their roots, of keys with more than one root."""
     roots = components(found).withColumnRenamed("node", "uid")
     named = durable(rows.select("key", "uid", "n").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "named")
-    parts = named.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = durable(parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("m")).where("k > 1").drop("k"), "main")
-    return durable(named.join(main, "key"), "open")
+    mixed = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return durable(named.join(mixed, "key", "left_semi"), "open")
 
 
 def links(rows: DataFrame, more: DataFrame, sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -180,22 +187,14 @@ def links(rows: DataFrame, more: DataFrame, sets: DataFrame, bucket: int = BUCKE
 
     ``rows`` (key, uid, n, m) are the keys that m > 1 texts share, ``more`` other candidates.
     """
-    alone = rows.withColumn("root", F.col("uid"))
-    found = verified(all_pairs(alone.where(F.col("m") <= bucket), ["key"]).unionByName(more), sets)
-    large = rows.where(F.col("m") > bucket)
+    small, large = rows.where(F.col("m") <= bucket).withColumn("root", F.col("uid")), rows.where(F.col("m") > bucket)
+    pairs = all_pairs(small, ["key"]).unionByName(more)
     if large.isEmpty():
-        return found
-    for turn in range(ROUNDS):
-        open_ = _opened(large, found)
-        if open_.isEmpty():
-            return found
-        # one of the largest component, another in each round, and the same under many keys
-        lead = open_.where("root = main").groupBy("key").agg(F.min_by("uid", F.struct(F.xxhash64("uid", F.lit(turn)), "uid")).alias("v"))
-        found = durable(found.unionByName(verified(open_.where("root <> main").join(lead, "key").select(F.col("uid").alias("u"), "v"), sets)), "links")
-        large = open_
-    open_ = _opened(large, found)
-    deep = durable(deep_keys(sets.join(open_.select("uid").distinct(), "uid", "left_semi")), "deep")
-    own = open_.groupBy("uid").agg(F.first("root").alias("root"), F.first("n").alias("n"))
+        return verified(pairs, sets)
+    found = verified(pairs.unionByName(leader_pairs(large)), sets)
+    left = open_rows(large, found)
+    deep = durable(deep_keys(sets.join(_few(left.select("uid").distinct()), "uid", "left_semi")), "deep")
+    own = left.groupBy("uid").agg(F.first("root").alias("root"), F.first("n").alias("n"))
     shared = deep.join(deep.groupBy("deep").agg(F.count("*").alias("c")).where("c > 1").select("deep"), "deep", "left_semi").join(own, "uid")
     return durable(found.unionByName(verified(all_pairs(durable(shared, "shared-deep"), ["deep"]), sets)), "links")
 
