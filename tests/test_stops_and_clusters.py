@@ -1,6 +1,7 @@
 import math
 import random
 from datetime import datetime, timedelta
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,91 @@ def test_dense_places_just_out_of_reach(spark):
     assert cluster.dbscan(df, 150.0).select("cluster").distinct().count() == 2
     bridge = spark.createDataFrame([(1, 5000, day, day, 0.0, 48 + 0.5 * METRE, 2.0), (1, 5001, day, day, 0.0, 48 + 150.4 * METRE, 2.0)], STOPS)
     assert cluster.dbscan(df.unionByName(bridge), 150.0).select("cluster").distinct().count() == 1
+
+
+def plain_rectangle(xy):
+    """Diagonal of the smallest rectangle, trying the direction of every pair of points."""
+    best = None
+    for a in xy:
+        for b in xy:
+            d = math.hypot(b[0] - a[0], b[1] - a[1])
+            if d > 0:
+                u, v = (b[0] - a[0]) / d, (b[1] - a[1]) / d
+                w, h = (max(s) - min(s) for s in ([p[0] * u + p[1] * v for p in xy], [p[1] * u - p[0] * v for p in xy]))
+                if best is None or w * h < best[0] - 1e-6:
+                    best = (w * h, math.hypot(w, h))
+    return best[1] if best else 0.0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sliding_stops_against_whole_rectangles(spark, seed):
+    """Stays along slanted lines, whose box along the axes says nothing."""
+    rng = random.Random(seed)
+    rows, t, y, x = [], datetime(2024, 1, 2, 8), 0.0, 0.0
+    for _ in range(14):
+        slant, calm = rng.uniform(0, math.pi), rng.random() < 0.6
+        for _ in range(rng.randint(4, 14)):
+            far = rng.uniform(0, 95 if rng.random() < 0.8 else 110) if calm else rng.uniform(100, 400)
+            side = rng.uniform(0, 12)
+            py, px = y + far * math.sin(slant) + side * math.cos(slant), x + far * math.cos(slant) - side * math.sin(slant)
+            rows.append((1, len(rows), t, 48 + py * METRE, 2.0 + px * METRE / math.cos(math.radians(48))))
+            t += timedelta(seconds=rng.randint(20, 90))
+        y, x = y + rng.uniform(-500, 500), x + rng.uniform(-500, 500)
+    want, w, stopped = [], [], False
+    span = lambda a, b: (b[2] - a[2]).total_seconds()
+    for p in rows:
+        w.append(p)
+        while not stopped and len(w) > 2 and span(w[0], w[-1]) >= 300:
+            w.pop(0)
+        now = len(w) > 1 and plain_rectangle([stops._planar(q[3], q[4], w[0][3]) for q in w]) < 100
+        if stopped and not now and len(w) > 1 and span(w[0], w[-2]) >= 300:
+            want.append((w[0][2], w[-2][2], median(q[3] for q in w[:-1]), median(q[4] for q in w[:-1])))
+            w = []
+        stopped = now
+    if stopped and span(w[0], w[-1]) >= 300:
+        want.append((w[0][2], w[-1][2], median(q[3] for q in w), median(q[4] for q in w)))
+    got = stops.stops_sliding(spark.createDataFrame(rows, POINTS)).orderBy("start_time").collect()
+    assert [(r.start_time, r.end_time) for r in got] == [x[:2] for x in want] and want
+    assert all(r.lat == pytest.approx(x[2]) and r.lon == pytest.approx(x[3]) for r, x in zip(got, want, strict=True))
+
+
+def test_cells_within_a_buffer(spark):
+    """Against the nearest sites of a fine grid of places in the circle."""
+    rng = random.Random(2)
+    sites = [(i, rng.uniform(0, 100), rng.uniform(0, 100), i % 6) for i in range(40)]
+    rows = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(12)]
+    of = spark.createDataFrame(sites, "site_id long, x double, y double, cluster_id long")
+    got = {}
+    for r in privacy.cells_within(spark.createDataFrame(rows, "pid long, x double, y double"), of, "pid", 9.0).collect():
+        got.setdefault(r.pid, set()).add(r.cell)
+    for i, x, y in rows:
+        want, sure = set(), set()
+        for a in range(-45, 46):
+            for b in range(-45, 46):
+                p, q = x + a / 5, y + b / 5
+                far = math.hypot(p - x, q - y)
+                if far <= 9.3:
+                    cell = min((math.hypot(p - s, q - t), c) for _, s, t, c in sites)[1]
+                    want.add(cell)
+                    if far <= 9:
+                        sure.add(cell)
+        assert sure <= got[i] <= want | sure
+    one = privacy.cells_within(spark.createDataFrame(rows[:1], "pid long, x double, y double"), of, "pid", 0.0)
+    assert one.count() == 1
+
+
+def test_wedges_over_several_cells_and_pieces(spark):
+    """All sites of the end's cells count together, and pieces are cut at both ends."""
+    t = datetime(2024, 1, 2)
+    sites = spark.createDataFrame([(1, 0.0, 0.0, 1), (2, 0.0, 50.0, 2), (3, 200.0, 0.0, 3)], "site_id long, x double, y double, cluster_id long")
+    rows = [("a", i, t + timedelta(minutes=i), i, 20.0 * i, 1.0) for i in range(1, 11)]
+    traj = spark.createDataFrame(rows, "traj_id string, pos long, ts timestamp_ntz, event_id long, x double, y double")
+    celled = privacy.cell_of_point(traj, sites, "event_id")
+    two = spark.createDataFrame([("a", "start", 1), ("a", "start", 2), ("a", "end", 3)], "traj_id string, side string, cell long")
+    got = {r.pos: r for r in privacy.wedges(celled, sites, 60.0, two).collect()}
+    assert all(r.start_n == 2 and r.end_n == 1 for r in got.values()) and got[10].start_in is None and got[1].end_in is None
+    assert [got[p].start_in for p in (1, 5, 9)] == [1, 2, 2] and [got[p].start_far for p in (1, 9)] == [False, True]
+    stays = spark.createDataFrame([("a", t + timedelta(minutes=5), t + timedelta(minutes=6))], "traj_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    out = privacy.truncate_at_stays(celled, stays, sites).collect()
+    assert {r.traj_id for r in out} <= {"a"} and all(r.event_id < 6 if r.piece == 0 else r.event_id > 5 for r in out)
+    assert privacy.truncate_at_stays(celled, stays, sites, buffer=30.0).count() <= 10

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from wayspark.functions.durable import durable
 from wayspark.functions.geo import direction_deg, planar_m
@@ -152,65 +153,144 @@ def split_at_stays(traj: DataFrame, stays: DataFrame) -> DataFrame:
     return kept.withColumn("_n", F.count("*").over(W.partitionBy("traj_id", "piece"))).where("_n > 1").drop("_n")
 
 
-def cluster_points(sites: DataFrame) -> DataFrame:
-    """cluster_id and its sites as an array (clusters have a few times k sites)."""
-    return sites.groupBy("cluster_id").agg(F.collect_list(F.struct("x", "y")).alias("sites"))
+def in_wedge(x: Column, y: Column, direction: Column, px: Column, py: Column, alpha: float) -> Column:
+    """Whether (px, py) lies within alpha/2 degrees of ``direction`` as seen from (x, y)."""
+    apart = F.abs(direction_deg(x, y, px, py) - direction)
+    return (apart <= alpha / 2) | (360 - apart <= alpha / 2)
 
 
-def wedge_count(x: Column, y: Column, direction: Column, sites: Column, alpha: float) -> Column:
-    """How many of ``sites`` lie within alpha/2 degrees of ``direction`` as seen from (x, y)."""
+def end_cells(celled: DataFrame) -> DataFrame:
+    """traj_id, side (start, end) and the cell of that end's point."""
+    ends = celled.groupBy("traj_id").agg(F.min_by("cell", "pos").alias("start"), F.max_by("cell", "pos").alias("end"))
+    return ends.select("traj_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("cell")) for s in ("start", "end")))).alias("e")).select("traj_id", "e.*")
 
-    def hit(p: Column) -> Column:
-        apart = F.abs(direction_deg(x, y, p["x"], p["y"]) - direction)
-        return (apart <= alpha / 2) | (360 - apart <= alpha / 2)
 
-    return F.size(F.filter(sites, hit))
-
-
-def wedges(celled: DataFrame, sites: DataFrame, alpha: float = 60.0) -> DataFrame:
-    """Points (with ``cell``) beside their ends' cells and the wedge counts towards and from them.
+def wedges(celled: DataFrame, sites: DataFrame, alpha: float = 60.0, cells: DataFrame | None = None) -> DataFrame:
+    """Points (with ``cell``) beside the wedge counts towards and from the sensitive cells of their ends.
 
     For the start, the direction is that from the next point to this one; for the end, from
-    the point before. ``start_in`` of ``start_n`` sites of the first point's cell lie in that
+    the point before. ``start_in`` of ``start_n`` sites of the start's cells lie in that
     wedge, likewise ``end_in`` of ``end_n``; a point without that neighbour has null counts.
+    ``start_far`` says that the point is in none of these cells. The cells are those of the
+    end points, or all in ``cells`` (traj_id, side, cell) together. Sites are counted in a
+    join and a sum, so no cluster is collected.
     """
     w = W.partitionBy("traj_id").orderBy("pos")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = celled.withColumns({"start_cell": F.first("cell").over(whole), "end_cell": F.last("cell").over(whole)})
-    for name, shift in (("start", F.lead), ("end", F.lag)):
-        held = cluster_points(sites).select(F.col("cluster_id").alias(f"{name}_cell"), F.col("sites").alias("_sites"))
-        rows = rows.withColumns({"_px": shift("x").over(w), "_py": shift("y").over(w)}).join(held, f"{name}_cell", "left")
-        rows = rows.withColumn("_d", direction_deg(F.col("_px"), F.col("_py"), F.col("x"), F.col("y")))
-        count = F.when(F.col("_d").isNotNull(), wedge_count(F.col("x"), F.col("y"), F.col("_d"), F.col("_sites"), alpha))
-        rows = rows.withColumns({f"{name}_in": count, f"{name}_n": F.size("_sites")}).drop("_px", "_py", "_d", "_sites")
-    return rows
+    rows = celled.withColumns({f"_{s}_{c}": f(c).over(w) for s, f in (("start", F.lead), ("end", F.lag)) for c in "xy"})
+    cells = (end_cells(celled) if cells is None else cells).distinct()
+    around = cells.join(sites.select(F.col("cluster_id").alias("cell"), F.col("x").alias("_sx"), F.col("y").alias("_sy")), "cell")
+    totals = around.groupBy("traj_id").agg(*(F.count_if(F.col("side") == s).cast("int").alias(f"{s}_n") for s in ("start", "end")))
+    own = rows.select("traj_id", "pos", "x", "y", *(f"_{s}_{c}" for s in ("start", "end") for c in "xy"))
+
+    def hit(s: str) -> Column:
+        d = direction_deg(F.col(f"_{s}_x"), F.col(f"_{s}_y"), F.col("x"), F.col("y"))
+        return (F.col("side") == s) & in_wedge(F.col("x"), F.col("y"), d, F.col("_sx"), F.col("_sy"), alpha)
+
+    counts = own.join(around.drop("cell"), "traj_id").groupBy("traj_id", "pos").agg(*(F.count_if(hit(s)).cast("int").alias(f"{s}_in") for s in ("start", "end")))
+    near = celled.select("traj_id", "pos", "cell").join(cells, ["traj_id", "cell"]).groupBy("traj_id", "pos").agg(*(F.bool_or(F.col("side") == s).alias(f"_{s}_near") for s in ("start", "end")))
+    out = rows.join(counts, ["traj_id", "pos"], "left").join(near, ["traj_id", "pos"], "left").join(totals, "traj_id", "left")
+    for s in ("start", "end"):
+        out = out.withColumns({f"{s}_in": F.when(F.col(f"_{s}_x").isNotNull(), F.coalesce(f"{s}_in", F.lit(0))), f"{s}_n": F.coalesce(f"{s}_n", F.lit(0)), f"{s}_far": ~F.coalesce(f"_{s}_near", F.lit(False))})
+    return out.drop(*(f"_{s}_{c}" for s in ("start", "end") for c in ("x", "y", "near")))
 
 
 def conditions(wedged: DataFrame) -> DataFrame:
-    """Adds proximity and direction conditions for either end, and whether the point may be the cut."""
+    """Adds the direction condition (all or none of the sites) for either end, and whether the point may be the cut."""
     out = wedged
     for name in ("start", "end"):
         n = F.col(f"{name}_in")
-        out = out.withColumn(f"{name}_far", F.col("cell") != F.col(f"{name}_cell")).withColumn(f"{name}_clear", F.coalesce((n == 0) | (n == F.col(f"{name}_n")), F.lit(False)))
+        out = out.withColumn(f"{name}_clear", F.coalesce((n == 0) | (n == F.col(f"{name}_n")), F.lit(False)))
         out = out.withColumn(f"{name}_ok", F.col(f"{name}_far") & F.col(f"{name}_clear"))
     return out
 
 
-def truncate(celled: DataFrame, sites: DataFrame, alpha: float = 60.0) -> DataFrame:
+def truncate(celled: DataFrame, sites: DataFrame, alpha: float = 60.0, cells: DataFrame | None = None) -> DataFrame:
     """Trajectories from their first to their last admissible point; those without both go."""
-    rows = conditions(wedges(celled, sites, alpha))
+    rows = conditions(wedges(celled, sites, alpha, cells))
     cut = rows.groupBy("traj_id").agg(F.min(F.when(F.col("start_ok"), F.col("pos"))).alias("first_keep"), F.max(F.when(F.col("end_ok"), F.col("pos"))).alias("last_keep")).where("first_keep < last_keep")
     return celled.join(cut, "traj_id").where("pos between first_keep and last_keep").drop("first_keep", "last_keep")
 
 
-def wedge_triangles(wedged: DataFrame, radius: float = 100.0, half_angle: float = 30.0) -> DataFrame:
-    """Corners of the wedge at each point towards the start: the point and two at ``radius``."""
+def truncate_at_stays(celled: DataFrame, stays: DataFrame, sites: DataFrame, alpha: float = 60.0, buffer: float = 0.0) -> DataFrame:
+    """Trajectories split at ``stays`` (traj_id, start_ts, end_ts), each piece cut at both ends, put together again.
+
+    The ends of pieces are the places of stays and the trajectory's own ends, all sensitive.
+    With a ``buffer``, all cells within that distance of an end are. ``piece`` counts from 0,
+    ``pos`` from 1 in each piece.
+    """
+    pieces = split_at_stays(celled, stays)
+    own = W.partitionBy("traj_id", "piece").orderBy("pos")
+    key = F.to_json(F.struct("traj_id", "piece"))
+    pieces = durable(pieces.withColumns({"_traj": F.col("traj_id"), "pos": F.row_number().over(own).cast("long"), "traj_id": key}), "pieces")
+    cells = None
+    if buffer > 0:
+        ends = pieces.groupBy("traj_id").agg(F.min_by(F.struct("x", "y"), "pos").alias("start"), F.max_by(F.struct("x", "y"), "pos").alias("end"))
+        both = ends.select("traj_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}.x").alias("x"), F.col(f"{s}.y").alias("y")) for s in ("start", "end")))).alias("e")).select("traj_id", "e.*")
+        cells = cells_within(both.withColumn("_id", F.concat_ws("/", "traj_id", "side")), sites, "_id", buffer).select("traj_id", "side", "cell")
+    return truncate(pieces, sites, alpha, cells).withColumn("traj_id", F.col("_traj")).drop("_traj")
+
+
+def reaches(x: float, y: float, site: tuple[float, float], others: list[tuple[float, float]], radius: float) -> bool:
+    """Whether the places nearest to ``site`` among ``others`` meet the circle around (x, y).
+
+    The nearest of them to the centre is the centre, or its projection on the bisector of
+    site and another, or a corner of two bisectors.
+    """
+    lines = []  # ux + vy <= w
+    for ox, oy in others:
+        u, v = ox - site[0], oy - site[1]
+        size = (u * u + v * v) ** 0.5
+        if size:
+            lines.append((u / size, v / size, (ox * ox + oy * oy - site[0] ** 2 - site[1] ** 2) / 2 / size))
+    tries = [(x, y)] + [(x - (u * x + v * y - w) * u, y - (u * x + v * y - w) * v) for u, v, w in lines]
+    for i, (a, b, c) in enumerate(lines):
+        for d, e, f in lines[:i]:
+            det = a * e - b * d
+            if abs(det) > 1e-12:
+                tries.append(((c * e - b * f) / det, (a * f - c * d) / det))
+    slack = 1e-9 * max(radius, 1.0)
+    return any((p - x) ** 2 + (q - y) ** 2 <= (radius + slack) ** 2 and all(u * p + v * q <= w + slack for u, v, w in lines) for p, q in tries)
+
+
+def cells_within(points: DataFrame, sites: DataFrame, pid: str, buffer: float) -> DataFrame:
+    """Each point (unique ``pid``) with every ``cell`` that has a place within ``buffer``.
+
+    Only sites up to twice the buffer farther than the nearest can own such a place, and
+    only these bound each other there.
+    """
+    near = durable(cell_of_point(points, sites, pid).where("cell is not null"), "nearest")
+    shifted = near.withColumn("_ring", F.ceil(F.log2(F.greatest(F.col("dist") + 2 * buffer, F.lit(1e-6)))).cast("int"))
+    found = None
+    named = sites.select(F.col("cluster_id").alias("_cluster"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    for ring in [r[0] for r in shifted.select("_ring").distinct().orderBy("_ring").collect()]:  # one for each power of 2 of metres
+        own = shifted.where(F.col("_ring") == ring).select(F.col(pid).alias("_pid"), "x", "y", F.col("dist").alias("_far"))
+        rows = within_radius(own, named, 2.0**ring, _DIST, None, ("y", "x"), ("sy", "sx"), planar=True).where(F.col("dist_m") <= F.col("_far") + 2 * buffer).select("_pid", "x", "y", "_cluster", "sx", "sy")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return points.withColumn("cell", F.lit(None).cast(sites.schema["cluster_id"].dataType)).limit(0)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        at, x, y = list(zip(df["sx"], df["sy"], strict=True)), df["x"].iloc[0], df["y"].iloc[0]
+        hit = sorted({c for i, c in enumerate(df["_cluster"]) if reaches(x, y, at[i], at[:i] + at[i + 1 :], buffer)})
+        return pd.DataFrame({"_pid": df["_pid"].iloc[0], "cell": hit})
+
+    schema = T.StructType([T.StructField("_pid", points.schema[pid].dataType), T.StructField("cell", sites.schema["cluster_id"].dataType)])
+    cells = found.groupBy("_pid").applyInPandas(run, schema)
+    return points.join(cells, F.col(pid) == F.col("_pid")).drop("_pid")
+
+
+def wedge_triangles(traj: DataFrame, radius: float = 100.0, half_angle: float = 30.0, side: str = "start") -> DataFrame:
+    """Corners of the wedge at each point towards an end: the point and two at ``radius``.
+
+    ``is_final`` marks the point next to that end, the last one to be looked at from there.
+    """
     w = W.partitionBy("traj_id").orderBy("pos")
-    d = direction_deg(F.lead("x").over(w), F.lead("y").over(w), F.col("x"), F.col("y"))
+    shift, last = (F.lead, F.lag) if side == "start" else (F.lag, F.lead)
+    d = direction_deg(shift("x").over(w), shift("y").over(w), F.col("x"), F.col("y"))
     corner = lambda sign, f: f(F.radians(F.col("direction") + sign * half_angle)) * radius
-    return wedged.withColumn("direction", d).where("direction is not null").select(
+    return traj.withColumns({"direction": d, "is_final": last("pos").over(w).isNull()}).where("direction is not null").select(
         "traj_id", "pos", "x", "y", "direction", (F.col("x") + corner(-1, F.cos)).alias("x1"), (F.col("y") + corner(-1, F.sin)).alias("y1"),
-        (F.col("x") + corner(1, F.cos)).alias("x2"), (F.col("y") + corner(1, F.sin)).alias("y2"),
+        (F.col("x") + corner(1, F.cos)).alias("x2"), (F.col("y") + corner(1, F.sin)).alias("y2"), "is_final",
     )
 
 

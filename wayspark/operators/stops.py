@@ -88,8 +88,19 @@ def stops_sliding(points: DataFrame, min_duration_s: float = 300.0, max_diameter
     place is the median of the points.
     """
 
+    # A rectangle around the points is as long as any of their extents, and its sides are at
+    # most the diagonal of the box along the axes: between these bounds the hull decides.
+    def within(s) -> bool:
+        x0, x1, y0, y1 = s["box"]
+        if max(x1 - x0, y1 - y0) >= max_diameter_m:
+            return False
+        if 2**0.5 * np.hypot(x1 - x0, y1 - y0) < max_diameter_m:
+            return True
+        s["hull"], s["new"] = _hull([*s["hull"], *s["new"]]), []
+        return box_diagonal(s["hull"]) < max_diameter_m
+
     def start() -> dict:
-        return {"points": deque(), "hull": [], "stopped": False}
+        return {"points": deque(), "hull": [], "new": [], "stopped": False}
 
     def step(pid, s, point) -> list[tuple]:
         w, out = s["points"], []
@@ -99,13 +110,20 @@ def stops_sliding(points: DataFrame, min_duration_s: float = 300.0, max_diameter
             w.popleft()
             cut = True
         lat0 = w[0][1]
-        new = w if cut or len(w) <= 2 else [point]  # while nothing is cut, the hull grows by the point
-        s["hull"] = _hull([*([] if cut or len(w) <= 2 else s["hull"]), *(_planar(*p[1:], lat0) for p in new)])
-        now = len(w) > 1 and box_diagonal(s["hull"]) < max_diameter_m
+        if cut or len(w) <= 2:  # while nothing is cut, the box and the hull grow by the point
+            s["hull"], s["new"] = [], [_planar(*p[1:], lat0) for p in w]
+            x, y = zip(*s["new"], strict=True)
+            s["box"] = (min(x), max(x), min(y), max(y))
+        else:
+            x, y = _planar(*point[1:], lat0)
+            s["new"].append((x, y))
+            x0, x1, y0, y1 = s["box"]
+            s["box"] = (min(x0, x), max(x1, x), min(y0, y), max(y1, y))
+        now = len(w) > 1 and within(s)
         if s["stopped"] and not now and len(w) > 1 and (w[-2][0] - w[0][0]).total_seconds() >= min_duration_s:
             out = [_stop(pid, list(w)[:-1], w[-2][0])]
             w.clear()
-            s["hull"] = []
+            s["hull"], s["new"] = [], []
         s["stopped"] = now
         return out
 

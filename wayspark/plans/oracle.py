@@ -156,6 +156,22 @@ from k join q using (participant_id) where q.rn >= k.rn and q.rn < k.nx group by
     )
 
 
+# stay points of each participant and day by anchors; trajectories split there, their pieces cut at both ends
+STT_STAYS = (
+    "with recursive pts as (" + CTES["pts"] + "), sites as (" + CTES["sites"] + "), traj as (" + CTES["traj"] + "), nearby as (" + CTES["celled"] + f"""),
+ q as (select t.traj_id, t.ts, p.lat, p.lon, t.pos as rn from traj t join pts p using (event_id)),
+ anchors as (select traj_id, rn, lat, lon from q where rn = 1 union all
+  select traj_id, b.rn, b.lat, b.lon from (select a.traj_id, min(b.rn) as rn from anchors a join q b on b.traj_id = a.traj_id and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > 200 group by all) n join q b using (traj_id, rn)),
+ j as (select traj_id, rn, lead(rn) over (partition by traj_id order by rn) as nx from anchors),
+ stays as (select j.traj_id, a.ts as start_time, n.ts as end_time from j join q a using (traj_id, rn) join q n on n.traj_id = j.traj_id and n.rn = j.nx where {SECONDS('a.ts', 'n.ts')} > 900),
+ parts as (select c.*, t.ts, (select count(*) from stays s where s.traj_id = c.traj_id and s.end_time <= t.ts) as piece from nearby c join traj t using (event_id)
+  where not exists (select 1 from stays s where s.traj_id = c.traj_id and t.ts > s.start_time and t.ts < s.end_time)),
+ celled as (select traj_id || '/' || piece as traj_id, event_id, x, y, near_site, cell, row_number() over (partition by traj_id, piece order by pos) as pos from parts qualify count(*) over (partition by traj_id, piece) > 1),
+ eyes as (""" + CTES["eyes"] + "), wedged as (" + CTES["wedged"] + "), oked as (" + CTES["oked"] + """)
+select event_id, split_part(traj_id, '/', 1) as traj_id, split_part(traj_id, '/', 2)::BIGINT as piece, pos
+from oked join (select traj_id, min(pos) filter (sf and sk) as a, max(pos) filter (ef and ek) as b from oked group by all) using (traj_id) where a < b and pos between a and b"""
+)
+
 SQL = {
     "participants": sql("select distinct participant_id from pts"),
     "points_scan": sql("select event_id, ts, lat, lon from pts where participant_id = 1"),
@@ -244,7 +260,8 @@ SQL = {
     "direction_ok": sql("select event_id, sk as start_clear, ek as end_clear from oked"),
     "proximity_ok": sql("select event_id, sf as start_far, ef as end_far from oked"),
     "stt_truncate": sql("select event_id, traj_id, pos from oked join (select traj_id, min(pos) filter (sf and sk) as a, max(pos) filter (ef and ek) as b from oked group by all) using (traj_id) where a < b and pos between a and b"),
+    "stt_stays": STT_STAYS,
     "project_tm": sql(f"select event_id, round(east, 3) as east, round(north, 3) as north from ({TM})"),
-    "wedge_triangles": sql("select traj_id, pos, " + _r("x", "y", "direction") + ", " + ", ".join(f"round({c} + 100*{f}(radians(direction {s} 30)), 3) as {c}{k}" for k, s in ((1, "-"), (2, "+")) for c, f in (("x", "cos"), ("y", "sin"))) + " from (select *, case when atan2(y-ny, x-nx) < 0 then degrees(atan2(y-ny, x-nx)) + 360 else degrees(atan2(y-ny, x-nx)) end as direction from (select *, lead(x) over o as nx, lead(y) over o as ny from traj window o as (partition by traj_id order by pos))) where direction is not null"),
+    "wedge_triangles": sql("select traj_id, pos, " + _r("x", "y", "direction") + ", " + ", ".join(f"round({c} + 100*{f}(radians(direction {s} 30)), 3) as {c}{k}" for k, s in ((1, "-"), (2, "+")) for c, f in (("x", "cos"), ("y", "sin"))) + ", is_final from (select *, case when atan2(y-ny, x-nx) < 0 then degrees(atan2(y-ny, x-nx)) + 360 else degrees(atan2(y-ny, x-nx)) end as direction from (select *, lead(x) over o as nx, lead(y) over o as ny, lag(pos) over o is null as is_final from traj window o as (partition by traj_id order by pos))) where direction is not null"),
     "bbox_overlap": sql("select traj_id from traj group by all having min(x) <= 262000 and max(x) >= 257000 and min(y) <= 6250000 and max(y) >= 6246000"),
 }

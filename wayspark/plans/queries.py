@@ -508,12 +508,15 @@ def region_filter(s, d):
     return fixtures.trajectories(s, d).where(privacy.in_ring(F.col("x"), F.col("y"), ring)).select("event_id")
 
 
-@query
-def pcells(s, d):
+def _endpoints(s, d):
     ends = privacy.endpoints(fixtures.trajectories(s, d))
     both = ends.select("traj_id", F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")) for n in ("first", "last")))).alias("e")).select("traj_id", "e.*")
-    found = privacy.cell_of_point(both.withColumn("loc", F.concat_ws("/", "traj_id", "side")), fixtures.sites(s, d), "loc")
-    return found.select("traj_id", "side", "cell")
+    return both.withColumn("loc", F.concat_ws("/", "traj_id", "side"))
+
+
+@query
+def pcells(s, d):
+    return privacy.cell_of_point(_endpoints(s, d), fixtures.sites(s, d), "loc").select("traj_id", "side", "cell")
 
 
 @query
@@ -548,6 +551,24 @@ def stt_truncate(s, d):
     return privacy.truncate(_celled(s, d), fixtures.sites(s, d)).select("event_id", "traj_id", "pos")
 
 
+def _daily_stays(s, d):
+    """Stay points of every trajectory (a participant's day)."""
+    day = F.col("participant_id") * 1000 + F.dayofyear("ts")
+    found = stops.stops_anchor(pts(s, d).withColumn("participant_id", day), 15 * 60.0, 200.0)
+    traj = F.concat_ws("-", F.floor(F.col("participant_id") / 1000).cast("string"), F.date_format("start_time", "yyyyMMdd"))
+    return found.select(traj.alias("traj_id"), F.col("start_time").alias("start_ts"), F.col("end_time").alias("end_ts"))
+
+
+@query
+def stt_stays(s, d):
+    return privacy.truncate_at_stays(_celled(s, d), _daily_stays(s, d), fixtures.sites(s, d)).select("event_id", "traj_id", "piece", "pos")
+
+
+@query
+def pcells_buffer(s, d):
+    return privacy.cells_within(_endpoints(s, d), fixtures.sites(s, d), "loc", 300.0).select("traj_id", "side", "cell")
+
+
 @query
 def project_tm(s, d):
     east, north = transverse_mercator(F.col("lat"), F.col("lon"), TM_LON0)

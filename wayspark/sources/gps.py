@@ -85,28 +85,77 @@ def line_wkt(traj: DataFrame) -> DataFrame:
     return rows.select("traj_id", F.concat(F.lit("LINESTRING ("), F.array_join(points, ", "), F.lit(")")).alias("wkt"))
 
 
-def html_reports(tables: dict[str, DataFrame], max_rows: int = 500) -> DataFrame:
-    """participant_id and an HTML page with a table for each entry, built by Spark.
+def write_edges(edges: DataFrame, sites: DataFrame, path: str) -> float:
+    """Edges (source, target, length) as LINESTRINGs in CSV; their total length is returned."""
+    end = lambda c: sites.select(F.col("site_id").alias(c), F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias(f"_{c}"))
+    rows = edges.join(end("source"), "source").join(end("target"), "target")
+    rows.select("source", "target", "length", F.concat(F.lit("LINESTRING ("), F.concat_ws(", ", "_source", "_target"), F.lit(")")).alias("wkt")).write.option("header", True).csv(path)
+    return edges.agg(F.sum("length")).first()[0] or 0.0
 
-    A table shows its first ``max_rows`` rows in the order of its columns.
+
+def write_hulls(hulls: DataFrame, path: str) -> float:
+    """Hulls (cluster_id, pos, x, y, perimeter) as POLYGONs in CSV; their mean perimeter is returned.
+
+    A hull of one or two corners becomes a POINT or a LINESTRING.
+    """
+    rows = hulls.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("_p"), F.first("perimeter").alias("perimeter"))
+    xy = F.transform("_p", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+    n = F.size("_p")
+    wkt = F.when(n == 1, F.concat(F.lit("POINT ("), xy[0], F.lit(")"))).when(n == 2, F.concat(F.lit("LINESTRING ("), F.array_join(xy, ", "), F.lit(")")))
+    wkt = wkt.otherwise(F.concat(F.lit("POLYGON (("), F.array_join(F.concat(xy, F.slice(xy, 1, 1)), ", "), F.lit("))")))
+    rows.select("cluster_id", "perimeter", wkt.alias("wkt")).write.option("header", True).csv(path)
+    return rows.agg(F.avg("perimeter")).first()[0] or 0.0
+
+
+def read_wkt(spark: SparkSession, path: str | dict[int, str], id_column: str = "myid") -> DataFrame:
+    """k, myid, part, pos, x, y: one row for each place of the geometries (column ``wkt``) in CSV files.
+
+    ``path`` is a folder, or a folder for each k (the size of clusters that the geometries
+    are for), read together with k as a column (else null). Points, multipoints, lines and
+    polygons, single or multiple, are read; ``part`` counts the rings or lines, ``pos`` their
+    places, both from 0. A missing id is 0. Rows without a geometry go.
+    """
+    out = None
+    for k, where in (path if isinstance(path, dict) else {None: path}).items():
+        rows = spark.read.option("header", True).option("escape", '"').csv(where)
+        key = F.coalesce(F.trim(F.col(f"`{id_column}`")), F.lit("0")) if id_column in rows.columns else F.lit("0")
+        one = rows.select(F.lit(k).cast("int").alias("k"), key.alias("myid"), F.upper("wkt").alias("_w"))
+        out = one if out is None else out.unionByName(one)
+    number = r"[-+]?[0-9.]+(?:E[-+]?[0-9]+)?"
+    rings = F.regexp_extract_all("_w", F.lit(r"([-+0-9.E][-+0-9.E, ]*)"), F.lit(1))
+    # the places of a multipoint may be in brackets of their own
+    whole = F.when(F.col("_w").rlike(r"^\s*MULTIPOINT"), F.array(F.array_join(rings, ","))).otherwise(rings)
+    parts = out.withColumn("_r", F.filter(whole, lambda r: r.rlike(number + " +" + number))).select("k", "myid", F.posexplode("_r").alias("part", "_r"))
+    places = parts.select("k", "myid", "part", F.posexplode(F.split(F.trim("_r"), r"\s*,\s*")).alias("pos", "_p"))
+    xy = F.split(F.trim("_p"), r"\s+")
+    return places.select("k", "myid", "part", "pos", xy[0].try_cast("double").alias("x"), F.try_element_at(xy, F.lit(2)).try_cast("double").alias("y")).where("x is not null and y is not null")
+
+
+def html_reports(tables: dict[str, DataFrame]) -> DataFrame:
+    """participant_id, n and line: an HTML page for each participant with a whole table for each entry.
+
+    A line is a row of a table, in the order of its columns, so no table is put together in
+    memory; ``n`` orders the lines of a page.
     """
-    parts = []
-    for n, (title, df) in enumerate(tables.items()):
+    who = None
+    for df in tables.values():
+        own = df.select("participant_id")
+        who = own if who is None else who.unionByName(own)
+    who = who.distinct()
+    line = lambda k, text: who.select("participant_id", F.array(F.lit(k)).alias("n"), F.lit(text).alias("line"))
+    out = line(-1, "<!DOCTYPE html><html><body>").unionByName(line(3 * len(tables), "</body></html>"))
+    for k, (title, df) in enumerate(tables.items()):
         columns = [c for c in df.columns if c != "participant_id"]
         esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
         row = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in columns), F.lit("</tr>"))
         order = W.partitionBy("participant_id").orderBy(*columns)
-        top = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_rows).select("participant_id", "_n", row.alias("_row"))
-        body = top.groupBy("participant_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_row"))), lambda r: r["_row"]), "").alias("_rows"))
+        rows = df.select("participant_id", F.array(F.lit(3 * k + 1), F.row_number().over(order)).alias("n"), row.alias("line"))
         head = f"<h2>{html.escape(title)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in columns) + "</tr>"
-        parts.append(body.select("participant_id", F.lit(n).alias("_k"), F.concat(F.lit(head), F.col("_rows"), F.lit("</table>")).alias("_part")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    pages = whole.groupBy("participant_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_part"))), lambda r: r["_part"]), "").alias("_body"))
-    return pages.select("participant_id", F.concat(F.lit("<!DOCTYPE html><html><body>"), F.col("_body"), F.lit("</body></html>")).alias("html"))
+        out = out.unionByName(line(3 * k, head)).unionByName(rows).unionByName(line(3 * k + 2, "</table>"))
+    return out
 
 
 def write_html(tables: dict[str, DataFrame], path: str) -> None:
-    """One page of text for each participant under ``path``."""
-    html_reports(tables).write.partitionBy("participant_id").option("lineSep", "\n").text(path)
+    """One page of text for each participant, in a folder of its own under ``path``."""
+    pages = html_reports(tables).repartition("participant_id").sortWithinPartitions("participant_id", "n")
+    pages.select("participant_id", "line").write.partitionBy("participant_id").option("lineSep", "\n").text(path)
