@@ -78,11 +78,11 @@ def with_distance(moves: DataFrame) -> DataFrame:
     return moves.withColumn("dist_m", geodesic_m(*map(F.col, ("lat_origin", "lon_origin", "lat_dest", "lon_dest"))))
 
 
-def _first_radius(stops: DataFrame, max_dist_m: float, k: int) -> float:
+def _first_radius(sites: DataFrame, max_dist_m: float, k: int) -> float:
     """``max_dist_m`` over a power of STEP, so that the fullest cell has some ``k`` stops in reach."""
     grid = Grid(max_dist_m)
-    i, j = grid.of(F.col("lat"), F.col("lon"))
-    most = stops.groupBy("participant_id", i.alias("i"), j.alias("j")).count().agg(F.max("count")).first()[0] or 0
+    i, j = grid.of(F.col("lat_s"), F.col("lon_s"))
+    most = sites.groupBy("participant_id", i.alias("i"), j.alias("j")).count().agg(F.max("count")).first()[0] or 0
     radius = max_dist_m
     while most > 16 * k:
         radius, most = radius / STEP, most / STEP**2
@@ -98,7 +98,7 @@ def nearest_places(ends: DataFrame, stops: DataFrame, max_dist_m: float = 200.0,
     """
     key = ["participant_id", "move_id", "side"]
     sites = durable(stops.select("participant_id", "stop_seq", "place_type", F.col("lat").alias("lat_s"), F.col("lon").alias("lon_s")), "sites")
-    radius, todo, done = _first_radius(stops, max_dist_m, k), durable(ends.select(*key, "lat", "lon"), "ends"), None
+    radius, todo, done = _first_radius(sites, max_dist_m, k), durable(ends.select(*key, "lat", "lon"), "ends"), None
     order = W.partitionBy(*key).orderBy("dist_m", "stop_seq")
     while True:
         last = radius >= max_dist_m

@@ -76,16 +76,18 @@ def greedy_clusters(sites: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame]
         best = durable(way(1, 2).unionByName(way(2, 1)).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "best")
         if best.isEmpty():
             break
-        roots = components(best.select(F.col("c").alias("u"), F.col("to").alias("v")))
-        # each tree of shortest edges ends at one cluster of k sites, or at an edge that is the shortest of both ends
-        big = best.where(F.col("to_n") >= k).join(roots, F.col("to") == F.col("node")).groupBy("root").agg(F.min("to").alias("new"))
-        whole = best.join(roots, F.col("c") == F.col("node")).join(big, "root").select(F.col("c").alias("old"), "new", "source", "target", "length")
         other = best.select(F.col("c").alias("to"), "source", "target", F.col("n").alias("other_n"))
         sides = out.select("source", "target", "c1", "c2")
         mutual = best.join(other, ["to", "source", "target"]).join(sides, ["source", "target"])
         into_first = F.col("n") >= F.col("other_n")
         pairs = mutual.where("c = c1").select(F.when(into_first, F.col("c2")).otherwise(F.col("c1")).alias("old"), F.when(into_first, F.col("c1")).otherwise(F.col("c2")).alias("new"), "source", "target", "length")
-        due = durable(whole.unionByName(pairs), "due")
+        direct = best.where(F.col("to_n") >= k).select(F.col("c").alias("old"), F.col("to").alias("new"), "source", "target", "length")
+        due = durable(direct.unionByName(pairs), "due")
+        if 4 * due.count() < best.count():  # long rows of small clusters: follow them to their ends
+            roots = components(best.select(F.col("c").alias("u"), F.col("to").alias("v")))
+            big = best.where(F.col("to_n") >= k).join(roots, F.col("to") == F.col("node")).groupBy("root").agg(F.min("to").alias("new"))
+            whole = best.join(roots, F.col("c") == F.col("node")).join(big, "root").select(F.col("c").alias("old"), "new", "source", "target", "length")
+            due = durable(whole.unionByName(pairs), "due")
         own = durable(own.join(due.select("old", "new"), F.col("cluster_id") == F.col("old"), "left").select("site_id", F.coalesce("new", "cluster_id").alias("cluster_id")), "clusters")
         took = due.select("source", "target", "length")
         used = took if used is None else used.unionByName(took)
