@@ -72,6 +72,12 @@ def test_window_counts_hours_of_the_first_date(spark, at, start, end, night):
     assert df.select(places.covers_window(places.HOME_HOURS)).first()[0] is night
 
 
+@pytest.mark.parametrize("start, end, night", [("23:10", "3 5:00", True), ("9:00", "19:59", False), ("9:00", "3 0:30", True), ("8:01", "3 8:00", True)])
+def test_window_over_midnight(spark, at, start, end, night):
+    df = spark.createDataFrame([(1, 1, at(start), at(end), 1.0, 48.0, 2.0)], STOPS)
+    assert df.select(places.covers_window(places.HOME_HOURS, cross_midnight=True)).first()[0] is night
+
+
 def test_work_overrides_home_nearby(spark):
     rows = [stop(1, 0, "20:00", "23:00"), stop(2, 50, "9:00", "12:00"), stop(3, 5000, "13:00", "13:30")]
     got = {r.stop_seq: r.place_type for r in places.classify_home_work(spark.createDataFrame(rows, STOPS)).collect()}

@@ -18,10 +18,15 @@ def window_hours(h0: int, h1: int) -> list[int]:
     return list(range(h0, h1)) if h0 < h1 else [*range(h0, 24), *range(h1)]
 
 
-def covers_window(hours: tuple[int, int]) -> Column:
-    """Whether the stop covers one of the window's hours on the date of its start."""
+def covers_window(hours: tuple[int, int], cross_midnight: bool = False) -> Column:
+    """Whether the stop covers one of the window's hours on the date of its start.
+
+    With ``cross_midnight`` the hours of the next date count too, so that a stop from 23:10 to
+    5:00 covers hours of the night.
+    """
     day = F.date_trunc("day", F.col("start_time")).cast("timestamp_ntz")
-    return F.exists(F.array(*map(F.lit, window_hours(*hours))), lambda h: (day + F.make_dt_interval(F.lit(0), h)).between(F.col("start_time"), F.col("end_time")))
+    at = window_hours(*hours)
+    return F.exists(F.array(*map(F.lit, at + [24 + h for h in at] if cross_midnight else at)), lambda h: (day + F.make_dt_interval(F.lit(0), h)).between(F.col("start_time"), F.col("end_time")))
 
 
 def top_zone(stops: DataFrame, hours: tuple[int, int], digits: int = 3) -> DataFrame:
@@ -60,7 +65,7 @@ def other_place_distances(stops: DataFrame, suspect_m: float = 150.0) -> DataFra
     to = lambda c: geodesic_m(F.col("lat"), F.col("lon"), F.col(f"{c}.lat"), F.col(f"{c}.lon"))
     out = stops.where(F.col("place_type") == OTHER).join(both, "participant_id").withColumn("dist_home_m", to("home")).withColumn("dist_work_m", to("work"))
     close = (F.col("dist_home_m") < suspect_m) | (F.col("dist_work_m") < suspect_m)
-    return out.select("participant_id", "stop_seq", "lat", "lon", "dist_home_m", "dist_work_m", F.when(close, "Oui").otherwise("Non").alias("suspect"))
+    return out.select("participant_id", "stop_seq", "lat", "lon", "dist_home_m", "dist_work_m", F.when(close, "Oui").otherwise("Non").alias("suspect")).orderBy("participant_id", "dist_home_m", "stop_seq")
 
 
 def confidence(visits: DataFrame) -> DataFrame:
@@ -85,7 +90,8 @@ def stop_activity(stops: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def activity_minutes(matched: DataFrame) -> DataFrame:
-    return matched.groupBy("participant_id", "matched_activity").agg((F.sum("duration_s") / 60).alias("total_min"))
+    """Minutes by participant and activity, the longest first."""
+    return matched.groupBy("participant_id", "matched_activity").agg((F.sum("duration_s") / 60).alias("total_min")).orderBy("participant_id", F.desc("total_min"), "matched_activity")
 
 
 def nearest_place(stops: DataFrame, classified: DataFrame, max_units: float = 150.0) -> DataFrame:
