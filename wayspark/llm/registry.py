@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "mixing", "multiset_hash", "importance", "line_dedup", "byte_bpe", "language_id", "quality_rules", "simhash", "url_filter", "hard_negatives", "conversation_repair")
+MODULES = ("warc", "mixing", "multiset_hash", "importance", "line_dedup", "byte_bpe", "language_id", "quality_rules", "simhash", "url_filter", "html_extraction", "hard_negatives", "conversation_repair")
 
 
 def _modules():
