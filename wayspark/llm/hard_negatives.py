@@ -68,13 +68,12 @@ class Tree:
 
     @staticmethod
     def build(rows: np.ndarray, ids: np.ndarray, uids: np.ndarray, labels: np.ndarray) -> Tree:
-        """Split at the median of the widest of two directions between far points, down to LEAF rows."""
+        """Split at the median along the line through two far points, down to LEAF rows or equal ones."""
         order = np.arange(len(rows))
         nodes: list[list] = []
 
         def grow(lo: int, hi: int) -> int:
             own = rows[order[lo:hi]]
-            # the smallest box's middle is finite even where a mean of large numbers is not
             centre = own.mean(axis=0)
             far = np.sqrt(((own - centre) ** 2).sum(axis=1))
             radius = float(far.max())

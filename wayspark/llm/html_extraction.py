@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,6 +114,7 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, str]]:
     out: list[tuple[str, Element, int, str]] = []
     root = Element("html", None)
     stack, block = [root], None
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal block
@@ -138,14 +139,15 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, str]]:
             block.linked += len(text)
 
     def pop_to(k: int) -> None:
-        for e in stack[k:]:
-            if e.apart:
-                flush()
-                break
+        if any(e.apart for e in stack[k:]):
+            flush()
+        opened.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
     def close(tags: tuple[str, ...], until) -> None:
         """End the open elements of ``tags`` above the nearest of ``until``."""
+        if not any(opened[t] for t in tags):
+            return
         lowest = None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
@@ -157,18 +159,23 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, str]]:
 
     at = 0
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        start = page.find("<", at)
+        m = _TOKEN.match(page, start) if start >= 0 else None
         if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
+            tag_to_the_end = start >= 0 and page[start + 1 : start + 2].isascii() and page[start + 1 : start + 2].isalpha()
+            stop = start if tag_to_the_end else start + 1 if start >= 0 else len(page)
+            if stop > at:
+                add(page[at:stop])
+            at = len(page) if tag_to_the_end else stop
+            continue
+        if start > at:
+            add(page[at:start])
         at = m.end()
         if m.group(2) is None:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     pop_to(k)
                     break
@@ -200,6 +207,7 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, str]]:
             flush()
         if not m.group(3).endswith("/") or tag not in ("svg", "path"):
             stack.append(element)
+            opened[tag] += 1
     flush()
     return out
 
