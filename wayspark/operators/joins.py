@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayspark.functions.durable import durable
 from wayspark.functions.geo import Grid, around, cell
+from wayspark.operators import quadtree
 
 #: Width of the time buckets.
 BUCKET_S = 6 * 3600
@@ -63,36 +63,14 @@ def within_radius(left: DataFrame, right: DataFrame, metres: float, distance: Ca
     return pairs.withColumn("dist_m", distance(*map(F.col, (*at, *to)))).where(F.col("dist_m") <= metres)
 
 
-def spacing(sites: DataFrame, at: tuple[str, str]) -> float:
-    """About how far apart the sites (planar) are: the side of a square for each."""
-    y, x = map(F.col, at)
-    box = sites.agg(F.max(x) - F.min(x), F.max(y) - F.min(y), F.count("*")).first()
-    wide, high, n = (box[0] or 0.0), (box[1] or 0.0), max(box[2], 1)
-    return max((wide * high / n) ** 0.5, max(wide, high) / n, 1e-9)
-
-
-def nearest(points: DataFrame, sites: DataFrame, at: tuple[str, str], to: tuple[str, str], pid: str, pick: list[str], distance: Callable[..., Column], first: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, at: tuple[str, str], to: tuple[str, str], pid: str, pick: list[str], distance: Callable[..., Column]) -> DataFrame:
     """Each point (unique ``pid``) with the columns ``pick`` of its nearest site, and ``dist``.
 
-    Planar. Ties go to the smallest ``pick``. A round looks within a radius, at first about
-    two sites' distance; points without a site that near try twice the radius in the next,
-    until all have one. Rounds write only pid, place and what was found. Points with a null
-    coordinate, and all if there are no sites, get nulls.
+    Planar. Ties go to the smallest ``pick``. Points go down a quadtree of the sites. Those
+    with a null coordinate, and all if there are no sites, get nulls.
     """
-    kinds = {c: sites.schema[c].dataType for c in pick}
-    sites = sites.where(F.col(to[0]).isNotNull() & F.col(to[1]).isNotNull()).select(*dict.fromkeys([*pick, *to]))
-    todo = points.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).select(*dict.fromkeys([pid, *at]))
-    found = None
-    if not sites.isEmpty():
-        radius = first or 2 * spacing(sites, to)
-        while True:
-            near = within_radius(todo, sites, radius, distance, None, at, to, planar=True)
-            best = durable(near.groupBy(pid).agg(F.min(F.struct("dist_m", *pick)).alias("best")), "nearest")
-            found = best if found is None else found.unionByName(best)
-            todo = durable(todo.join(best.select(pid), pid, "left_anti"), "todo")
-            if todo.isEmpty():
-                break
-            radius *= 2
-    if found is None:
-        return points.select("*", *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()), F.lit(None).cast("double").alias("dist"))
-    return points.join(found, pid, "left").select(*points.columns, *(F.col(f"best.{c}").alias(c) for c in pick), F.col("best.dist_m").alias("dist"))
+    tree = quadtree.build(sites, to[1], to[0], pick)
+    if tree is None:
+        return points.select("*", *(F.lit(None).cast(sites.schema[c].dataType).alias(c) for c in pick), F.lit(None).cast("double").alias("dist"))
+    found = quadtree.knn(points, tree, [pid], at, to, pick, distance).drop("rank").withColumnRenamed("dist_m", "dist")
+    return points.join(found, pid, "left").select(*points.columns, *pick, "dist")

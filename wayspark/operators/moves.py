@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wayspark.functions.durable import durable
-from wayspark.functions.geo import Grid, geodesic_m
+from wayspark.functions.geo import geodesic_m
+from wayspark.operators import quadtree
 from wayspark.operators.cluster import by_start
-from wayspark.operators.joins import inside, interval_pairs, within_radius
+from wayspark.operators.joins import inside, interval_pairs
 from wayspark.operators.points import by_time, micros
 
 ARROW = " → "
-#: Radii of the search for places grow by this.
-STEP = 8
 
 
 def seconds(start: Column, end: Column) -> Column:
@@ -78,38 +77,18 @@ def with_distance(moves: DataFrame) -> DataFrame:
     return moves.withColumn("dist_m", geodesic_m(*map(F.col, ("lat_origin", "lon_origin", "lat_dest", "lon_dest"))))
 
 
-def _first_radius(sites: DataFrame, max_dist_m: float, k: int) -> float:
-    """``max_dist_m`` over a power of STEP, so that the fullest cell has some ``k`` stops in reach."""
-    grid = Grid(max_dist_m)
-    i, j = grid.of(F.col("lat_s"), F.col("lon_s"))
-    most = sites.groupBy("participant_id", i.alias("i"), j.alias("j")).count().agg(F.max("count")).first()[0] or 0
-    radius = max_dist_m
-    while most > 16 * k:
-        radius, most = radius / STEP, most / STEP**2
-    return radius
-
-
 def nearest_places(ends: DataFrame, stops: DataFrame, max_dist_m: float = 200.0, k: int = 1) -> DataFrame:
     """The ``k`` nearest stops within the radius of each move end (move_id, side, lat, lon), with rank.
 
-    Ties go to the smaller stop_seq. A round looks within a radius, and ends with fewer than
-    ``k`` stops that near try STEP times the radius in the next, so that an end at a place of
-    many visits isn't joined with them all.
+    Ties go to the smaller stop_seq. The ends go down a quadtree of their participant's
+    stops, so that an end at a place of many visits isn't joined with them all.
     """
     key = ["participant_id", "move_id", "side"]
-    sites = durable(stops.select("participant_id", "stop_seq", "place_type", F.col("lat").alias("lat_s"), F.col("lon").alias("lon_s")), "sites")
-    radius, todo, done = _first_radius(sites, max_dist_m, k), durable(ends.select(*key, "lat", "lon"), "ends"), None
-    order = W.partitionBy(*key).orderBy("dist_m", "stop_seq")
-    while True:
-        last = radius >= max_dist_m
-        near = within_radius(todo, sites, min(radius, max_dist_m), geodesic_m, "participant_id", ("lat", "lon"), ("lat_s", "lon_s"))
-        near = durable(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "near")
-        full = near.where(F.col("rank") == k).select(*key)
-        found = near if last else near.join(full, key, "left_semi")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        todo, radius = durable(todo.join(full, key, "left_anti"), "ends"), radius * STEP
+    sites = stops.select("participant_id", "stop_seq", "place_type", F.col("lat").alias("lat_s"), F.col("lon").alias("lon_s"))
+    tree = quadtree.build(sites, "lon_s", "lat_s", ["stop_seq", "place_type"], ["participant_id"], sphere=True)
+    if tree is None:
+        return ends.select(*key).withColumns({c: F.lit(None).cast(t) for c, t in (("stop_seq", "long"), ("place_type", "string"), ("dist_m", "double"), ("rank", "int"))}).limit(0)
+    return quadtree.knn(ends, tree, key, ("lat", "lon"), ("lat_s", "lon_s"), ["stop_seq", "place_type"], geodesic_m, k, max_dist_m, sphere=True)
 
 
 def ends_of(numbered: DataFrame) -> DataFrame:
@@ -125,7 +104,7 @@ def numbered(moves: DataFrame) -> DataFrame:
 
 def tag_moves(moves: DataFrame, stops: DataFrame, max_dist_m: float = 200.0) -> DataFrame:
     """Adds origin_type, destination_type (``unknown`` without a stop near) and transition."""
-    own = numbered(moves) if "move_id" not in moves.columns else moves
+    own = durable(numbered(moves) if "move_id" not in moves.columns else moves, "moves")
     near = nearest_places(ends_of(own), stops, max_dist_m).groupBy("participant_id", "move_id").agg(
         *(F.max(F.when(F.col("side") == s, F.col("place_type"))).alias(f"{s}_type") for s in ("origin", "destination"))
     )

@@ -6,6 +6,8 @@ is the set of places nearest to the sites of one cluster, so it is never drawn a
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from pyspark.sql import types as T
 from wayspark.functions.durable import durable
 from wayspark.functions.geo import direction_deg, planar_m
 from wayspark.operators.components import components
-from wayspark.operators.joins import nearest, spacing, within_radius
+from wayspark.operators import quadtree
+from wayspark.operators.joins import nearest, within_radius
 from wayspark.operators.stops import _hull
 
 _DIST = lambda y1, x1, y2, x2: planar_m(x1, y1, x2, y2)
@@ -31,26 +34,16 @@ def neighbour_edges(sites: DataFrame, k: int) -> DataFrame:
     """source < target and length: every site's ``k`` nearest sites, each edge once.
 
     A cluster of fewer than k sites has its shortest way out among them, so greedy
-    clustering needs no other edges. The radius doubles until each has as many as there are.
+    clustering needs no other edges. The sites go down their own quadtree.
     """
-    n = sites.count()
-    if n < 2:
-        return sites.select(F.col("site_id").alias("source"), F.col("site_id").alias("target"), F.lit(0.0).alias("length")).limit(0)
-    want = min(k, n - 1)
-    radius = spacing(sites, ("y", "x")) * max(k, 1) ** 0.5
-    todo, out = sites, None
     to = sites.select(F.col("site_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    while True:
-        near = within_radius(todo, to, radius, _DIST, None, ("y", "x"), ("oy", "ox"), planar=True).where("site_id <> other")
-        order = W.partitionBy("site_id").orderBy("dist_m", "other")
-        near = durable(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= want).select("site_id", "other", "dist_m", "r"), "near")
-        full = near.where(F.col("r") == want).select("site_id")
-        ready = near.join(full, "site_id", "left_semi").drop("r")
-        out = ready if out is None else out.unionByName(ready)
-        todo = durable(todo.join(full, "site_id", "left_anti"), "todo")
-        if todo.isEmpty():
-            break
-        radius *= 2
+    tree = quadtree.build(to, "ox", "oy", ["other"])
+    if tree is None:
+        return sites.select(F.col("site_id").alias("source"), F.col("site_id").alias("target"), F.lit(0.0).alias("length")).limit(0)
+    # a site is one of the k + 1 nearest to itself, or has as many at its own place
+    near = quadtree.knn(sites, tree, ["site_id"], ("y", "x"), ("oy", "ox"), ["other"], _DIST, k + 1).where("site_id <> other")
+    order = W.partitionBy("site_id").orderBy("dist_m", "other")
+    out = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.select(F.least("site_id", "other").alias("source"), F.greatest("site_id", "other").alias("target"), F.col("dist_m").alias("length")).distinct()
 
 
@@ -167,48 +160,97 @@ def end_cells(celled: DataFrame) -> DataFrame:
     return ends.select("traj_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("cell")) for s in ("start", "end")))).alias("e")).select("traj_id", "e.*")
 
 
+def wedge_bounds(apex: tuple[Column, Column], direction: Column, alpha: float, box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """Whether the box (low x, high x, low y, high y) is inside the wedge for sure, and whether it is outside.
+
+    Below 180 degrees a wedge is what two half planes share, and a linear form is least and
+    greatest at corners of the box. Wider ones are left to the single sites.
+    """
+    if alpha >= 180:
+        return F.lit(False), F.lit(False)
+    t = math.tan(math.radians(alpha / 2))
+    ux, uy = F.cos(F.radians(direction)), F.sin(F.radians(direction))
+    x0, x1, y0, y1 = box[0] - apex[0], box[1] - apex[0], box[2] - apex[1], box[3] - apex[1]
+    slack = 1e-6 * (1 + F.greatest(*map(F.abs, (x0, x1, y0, y1))))
+    forms = ((-uy - t * ux, ux - t * uy), (uy - t * ux, -ux - t * uy))
+    most = [F.greatest(a * x0, a * x1) + F.greatest(b * y0, b * y1) for a, b in forms]
+    least = [F.least(a * x0, a * x1) + F.least(b * y0, b * y1) for a, b in forms]
+    return (most[0] < -slack) & (most[1] < -slack), (least[0] > slack) | (least[1] > slack)
+
+
+def sites_in_wedges(apexes: DataFrame, sites: DataFrame, key: list[str], alpha: float) -> DataFrame:
+    """key, n_in: how many sites of ``cell`` each wedge (x, y, direction) holds; none give no row.
+
+    ``apexes`` has a row for each of its cells. A wedge goes down the quadtree of the cell's
+    sites only at nodes that its sides cut; nodes inside count as a whole. So it meets about
+    the root of the sites, and a cluster of any size is never joined with all points.
+    """
+    named = sites.select(F.col("cluster_id").alias("cell"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
+    tree = quadtree.build(named, "_sx", "_sy", [], ["cell"], leaf=4)
+    if tree is None:
+        return apexes.select(*key, F.lit(0).cast("long").alias("n_in")).limit(0)
+    keep = [*key, "x", "y", "_direction"]
+
+    def decide(rows: DataFrame) -> DataFrame:
+        inside, outside = wedge_bounds((F.col("x"), F.col("y")), F.col("_direction"), alpha, tuple(F.col(f"_{n}{k}") for k in (0, 1) for n in ("lo", "hi")))
+        rows = rows.withColumns({"_inside": inside, "_outside": outside}).where("not _outside").drop("_outside")
+        return rows.withColumn("_go", ~F.col("_inside") & ~F.col("_leaf"))
+
+    left = durable(quadtree.descend(apexes.where("_direction is not null").select("cell", *keep), tree, keep, decide), "wedges")
+    whole = left.where("_inside").select(*key, F.col("_sites").alias("n"))
+    hit = in_wedge(F.col("x"), F.col("y"), F.col("_direction"), F.col("_sx"), F.col("_sy"), alpha)
+    single = quadtree.sites_of(left.where("not _inside"), tree, keep).where(hit).select(*key, F.lit(1).cast("long").alias("n"))
+    return whole.unionByName(single).groupBy(*key).agg(F.sum("n").alias("n_in"))
+
+
 def wedges(celled: DataFrame, sites: DataFrame, alpha: float = 60.0, cells: DataFrame | None = None) -> DataFrame:
-    """Points (with ``cell``) beside the wedge counts towards and from the sensitive cells of their ends.
+    """Points beside the wedge counts towards and from the sensitive cells of their ends.
 
     For the start, the direction is that from the next point to this one; for the end, from
     the point before. ``start_in`` of ``start_n`` sites of the start's cells lie in that
     wedge, likewise ``end_in`` of ``end_n``; a point without that neighbour has null counts.
-    ``start_far`` says that the point is in none of these cells. The cells are those of the
-    end points, or all in ``cells`` (traj_id, side, cell) together. Sites are counted in a
-    join and a sum, so no cluster is collected.
+    The cells are those of the end points, or all in ``cells`` (traj_id, side, cell) together.
     """
     w = W.partitionBy("traj_id").orderBy("pos")
-    rows = celled.withColumns({f"_{s}_{c}": f(c).over(w) for s, f in (("start", F.lead), ("end", F.lag)) for c in "xy"})
-    cells = (end_cells(celled) if cells is None else cells).distinct()
-    around = cells.join(sites.select(F.col("cluster_id").alias("cell"), F.col("x").alias("_sx"), F.col("y").alias("_sy")), "cell")
-    totals = around.groupBy("traj_id").agg(*(F.count_if(F.col("side") == s).cast("int").alias(f"{s}_n") for s in ("start", "end")))
-    own = rows.select("traj_id", "pos", "x", "y", *(f"_{s}_{c}" for s in ("start", "end") for c in "xy"))
+    towards = lambda f: direction_deg(f("x").over(w), f("y").over(w), F.col("x"), F.col("y"))
+    rows = durable(celled.withColumns({"_start": towards(F.lead), "_end": towards(F.lag)}), "directed")
+    cells = durable((end_cells(celled) if cells is None else cells).distinct(), "end-cells")
+    size = sites.groupBy(F.col("cluster_id").alias("cell")).agg(F.count("*").alias("_n"))
+    total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("_n"))), F.lit(0)).cast("int").alias(f"{s}_n")
+    totals = cells.join(size, "cell").groupBy("traj_id").agg(total("start"), total("end"))
+    direction = F.when(F.col("side") == "start", F.col("_start")).otherwise(F.col("_end"))
+    apexes = rows.select("traj_id", "pos", "x", "y", "_start", "_end").join(cells, "traj_id").withColumn("_direction", direction)
+    found = sites_in_wedges(apexes, sites, ["traj_id", "pos", "side"], alpha)
+    counted = found.groupBy("traj_id", "pos").agg(*(F.sum(F.when(F.col("side") == s, F.col("n_in"))).cast("int").alias(f"{s}_in") for s in ("start", "end")))
+    out = rows.join(counted, ["traj_id", "pos"], "left").join(totals, "traj_id", "left")
+    for s in ("start", "end"):
+        out = out.withColumns({f"{s}_in": F.when(F.col(f"_{s}").isNotNull(), F.coalesce(f"{s}_in", F.lit(0))), f"{s}_n": F.coalesce(f"{s}_n", F.lit(0))})
+    return out.drop("_start", "_end")
 
-    def hit(s: str) -> Column:
-        d = direction_deg(F.col(f"_{s}_x"), F.col(f"_{s}_y"), F.col("x"), F.col("y"))
-        return (F.col("side") == s) & in_wedge(F.col("x"), F.col("y"), d, F.col("_sx"), F.col("_sy"), alpha)
 
-    counts = own.join(around.drop("cell"), "traj_id").groupBy("traj_id", "pos").agg(*(F.count_if(hit(s)).cast("int").alias(f"{s}_in") for s in ("start", "end")))
-    near = celled.select("traj_id", "pos", "cell").join(cells, ["traj_id", "cell"]).groupBy("traj_id", "pos").agg(*(F.bool_or(F.col("side") == s).alias(f"_{s}_near") for s in ("start", "end")))
-    out = rows.join(counts, ["traj_id", "pos"], "left").join(near, ["traj_id", "pos"], "left").join(totals, "traj_id", "left")
-    for s in ("start", "end"):
-        out = out.withColumns({f"{s}_in": F.when(F.col(f"_{s}_x").isNotNull(), F.coalesce(f"{s}_in", F.lit(0))), f"{s}_n": F.coalesce(f"{s}_n", F.lit(0)), f"{s}_far": ~F.coalesce(f"_{s}_near", F.lit(False))})
-    return out.drop(*(f"_{s}_{c}" for s in ("start", "end") for c in ("x", "y", "near")))
+def directions(wedged: DataFrame) -> DataFrame:
+    """Adds the direction condition (all or none of the sites) for either end."""
+    clear = lambda s: F.coalesce((F.col(f"{s}_in") == 0) | (F.col(f"{s}_in") == F.col(f"{s}_n")), F.lit(False))
+    return wedged.withColumns({f"{s}_clear": clear(s) for s in ("start", "end")})
+
+
+def proximity(celled: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Adds the proximity condition for either end: the point is in none of that end's cells."""
+    cells = (end_cells(celled) if cells is None else cells).distinct()
+    near = cells.groupBy("traj_id", "cell").agg(*(F.bool_or(F.col("side") == s).alias(f"_{s}") for s in ("start", "end")))
+    out = celled.join(near, ["traj_id", "cell"], "left")
+    return out.select(*celled.columns, *((~F.coalesce(f"_{s}", F.lit(False))).alias(f"{s}_far") for s in ("start", "end")))
 
 
-def conditions(wedged: DataFrame) -> DataFrame:
-    """Adds the direction condition (all or none of the sites) for either end, and whether the point may be the cut."""
-    out = wedged
-    for name in ("start", "end"):
-        n = F.col(f"{name}_in")
-        out = out.withColumn(f"{name}_clear", F.coalesce((n == 0) | (n == F.col(f"{name}_n")), F.lit(False)))
-        out = out.withColumn(f"{name}_ok", F.col(f"{name}_far") & F.col(f"{name}_clear"))
-    return out
+def conditions(celled: DataFrame, sites: DataFrame, alpha: float = 60.0, cells: DataFrame | None = None) -> DataFrame:
+    """Points with both conditions, and whether each may be the cut at either end."""
+    out = directions(wedges(proximity(celled, cells), sites, alpha, cells))
+    return out.withColumns({f"{s}_ok": F.col(f"{s}_far") & F.col(f"{s}_clear") for s in ("start", "end")})
 
 
 def truncate(celled: DataFrame, sites: DataFrame, alpha: float = 60.0, cells: DataFrame | None = None) -> DataFrame:
     """Trajectories from their first to their last admissible point; those without both go."""
-    rows = conditions(wedges(celled, sites, alpha, cells))
+    rows = conditions(celled, sites, alpha, cells)
     cut = rows.groupBy("traj_id").agg(F.min(F.when(F.col("start_ok"), F.col("pos"))).alias("first_keep"), F.max(F.when(F.col("end_ok"), F.col("pos"))).alias("last_keep")).where("first_keep < last_keep")
     return celled.join(cut, "traj_id").where("pos between first_keep and last_keep").drop("first_keep", "last_keep")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from wayspark.plans.queries import BOX, RING, STAY_S, TM_LON0
+from wayspark.plans.queries import BOX, RING, STAY, TM_LON0
 
 A, F_ = "6378137.0::DOUBLE", "(1/298.257223563::DOUBLE)"
 
@@ -28,12 +28,14 @@ SECONDS = lambda a, b: f"((epoch_us({b})-epoch_us({a}))/1e6)"
 W = "(partition by participant_id order by ts, event_id)"
 WS = "(partition by participant_id order by start_time, stop_seq)"
 
+PARTICIPANT = "((user_id // 20) * 4 + case when user_id % 20 < 12 then 0 else 1 + user_id % 3 end)"
+
 CTES = {
-    "pts": """select event_id, participant_id, ts, place,
-  (488000000 + 500000*participant_id + [0,300000,110000,170000,230000][place+1] + ((event_id*7919)%1000-500)*4)::DOUBLE/1e7 as lat,
-  (23000000 + 500000*participant_id + [0,400000,130000,210000,290000][place+1] + ((event_id*104729)%1000-500)*4)::DOUBLE/1e7 as lon
-  from (select event_id, user_id % 4 as participant_id, ts, case when hour(ts) >= 20 or hour(ts) < 8 then 0 when isodow(ts) <= 5 and hour(ts) between 9 and 17 then 1 else 2 + event_id % 3 end as place from events)""",
-    "acts": "select user_id % 4 as participant_id, ts, event_type as activity from events where event_id % 10 = 0",
+    "pts": f"""select event_id, participant_id, ts, place,
+  (488000000 + 500000*(participant_id % 4) + [0,300000,110000,170000,230000][place+1] + ((event_id*7919)%1000-500)*4)::DOUBLE/1e7 as lat,
+  (23000000 + 500000*(participant_id % 4) + [0,400000,130000,210000,290000][place+1] + ((event_id*104729)%1000-500)*4)::DOUBLE/1e7 as lon
+  from (select event_id, {PARTICIPANT} as participant_id, ts, case when hour(ts) >= 20 or hour(ts) < 8 then 0 when isodow(ts) <= 5 and hour(ts) between 9 and 17 then 1 else 2 + event_id % 3 end as place from events)""",
+    "acts": f"select {PARTICIPANT} as participant_id, ts, event_type as activity from events where event_id % 10 = 0",
     "steps": f"""select *, dist_m / nullif(time_diff_s, 0) * 3.6 as speed_kmh from {lambert(f"(select *, {SECONDS(f'lag(ts) over {W}', 'ts')} as time_diff_s, lag(lat) over {W} as zlat, lag(lon) over {W} as zlon from pts)", 'zlat', 'zlon', 'lat', 'lon', 'dist_m')}""",
     "ready": f"select *, avg(speed_kmh) over (partition by participant_id order by ts, event_id rows between 2 preceding and 2 following) as speed_kmh_smooth from steps where speed_kmh is null or speed_kmh <= 150",
     "doubled": "select event_id, participant_id, ts, case when event_id % 11 <> 0 then lat end as lat, lon from pts union all select event_id + 1000000000, participant_id, ts, case when event_id % 11 <> 0 then lat end as lat, lon from pts where event_id % 7 = 0",
@@ -41,7 +43,6 @@ CTES = {
     "stops": f"""select participant_id, stop_seq, min(place) as place, min(ts) as start_time, max(ts) as end_time, avg(lat) as lat, avg(lon) as lon, (max(epoch_us(ts))-min(epoch_us(ts)))/1e6 as duration_s
   from (select *, (sum(c) over {W})::BIGINT as stop_seq from (select *, case when place = lag(place) over {W} then 0 else 1 end as c from pts)) group by all""",
     "typed": "select *, case place when 0 then 'Home' when 1 then 'Work' else 'autre' end as place_type from stops",
-    "longs": f"select * from typed where duration_s >= {STAY_S}",
     "merged": "select participant_id, place, place_type, sum(duration_s) as duration_s, list(start_time order by start_time) as s, count(*) as visits from typed group by all",
     "close_pairs": f"select a.participant_id, a.stop_seq as a, b.stop_seq as b from stops a join stops b using (participant_id) where {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 150",
     "reach": "select participant_id, a, b from close_pairs union select r.participant_id, r.a, c.b from reach r join close_pairs c on r.participant_id = c.participant_id and r.b = c.a",
@@ -95,7 +96,19 @@ CTES = {
 }
 CTES["wedged"] = re.sub(r"\{dir\}\(([^,]+), ([^)]+)\)", r"(case when atan2(\2, \1) < 0 then degrees(atan2(\2, \1)) + 360 else degrees(atan2(\2, \1)) end)", CTES["wedged"])
 
-LONG, SHORT = ("longs", "(select * from longs where place_type = 'autre')")
+
+def _stays(p: str, key: str, source: str) -> dict[str, str]:
+    """Stays by anchors, of each ``key``: a hop leads to the next point outside the radius."""
+    return {
+        f"{p}nums": f"select {key}, ts, lat, lon, row_number() over (partition by {key} order by ts, event_id) as rn from {source}",
+        f"{p}hops": f"""select {key}, rn, lat, lon from {p}nums where rn = 1 union all
+  select {key}, b.rn, b.lat, b.lon from (select a.{key}, min(b.rn) as rn from {p}hops a join {p}nums b on b.{key} = a.{key} and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > {STAY[1]} group by all) n join {p}nums b using ({key}, rn)""",
+        f"{p}stays": f"""select {key}, row_number() over (partition by {key} order by start_time) as stop_seq, start_time, end_time
+  from (select {key}, ts as start_time, lead(ts) over (partition by {key} order by rn) as end_time from {p}hops join {p}nums using ({key}, rn)) where {SECONDS('start_time', 'end_time')} > {STAY[0]}""",
+    }
+
+
+CTES |= _stays("p", "participant_id", "pts") | _stays("t", "traj_id", "(select * from traj join (select event_id, lat, lon from pts) using (event_id))")
 
 
 def sql(body: str, stops: str = "stops", gap: float = 600, far: float = 200) -> str:
@@ -161,9 +174,9 @@ STT_STAYS = (
     "with recursive pts as (" + CTES["pts"] + "), sites as (" + CTES["sites"] + "), traj as (" + CTES["traj"] + "), nearby as (" + CTES["celled"] + f"""),
  q as (select t.traj_id, t.ts, p.lat, p.lon, t.pos as rn from traj t join pts p using (event_id)),
  anchors as (select traj_id, rn, lat, lon from q where rn = 1 union all
-  select traj_id, b.rn, b.lat, b.lon from (select a.traj_id, min(b.rn) as rn from anchors a join q b on b.traj_id = a.traj_id and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > 200 group by all) n join q b using (traj_id, rn)),
+  select traj_id, b.rn, b.lat, b.lon from (select a.traj_id, min(b.rn) as rn from anchors a join q b on b.traj_id = a.traj_id and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > {STAY[1]} group by all) n join q b using (traj_id, rn)),
  j as (select traj_id, rn, lead(rn) over (partition by traj_id order by rn) as nx from anchors),
- stays as (select j.traj_id, a.ts as start_time, n.ts as end_time from j join q a using (traj_id, rn) join q n on n.traj_id = j.traj_id and n.rn = j.nx where {SECONDS('a.ts', 'n.ts')} > 900),
+ stays as (select j.traj_id, a.ts as start_time, n.ts as end_time from j join q a using (traj_id, rn) join q n on n.traj_id = j.traj_id and n.rn = j.nx where {SECONDS('a.ts', 'n.ts')} > {STAY[0]}),
  parts as (select c.*, t.ts, (select count(*) from stays s where s.traj_id = c.traj_id and s.end_time <= t.ts) as piece from nearby c join traj t using (event_id)
   where not exists (select 1 from stays s where s.traj_id = c.traj_id and t.ts > s.start_time and t.ts < s.end_time)),
  celled as (select traj_id || '/' || piece as traj_id, event_id, x, y, near_site, cell, row_number() over (partition by traj_id, piece order by pos) as pos from parts qualify count(*) over (partition by traj_id, piece) > 1),
@@ -195,15 +208,15 @@ SQL = {
     "dbscan_stops": sql("select participant_id, stop_seq, cluster from labels"),
     "dbscan_general": sql("select participant_id, stop_seq, coalesce(o.cluster, (select min(l.cluster) from tpairs p join clabels l on l.participant_id = p.participant_id and l.core = p.b where p.participant_id = t.participant_id and p.a = t.stop_seq), -1) as cluster from stops t left join (select participant_id, core as stop_seq, cluster from clabels) o using (participant_id, stop_seq)"),
     "cluster_agg": sql("select participant_id, cluster, min(start_time) as start_time, max(end_time) as end_time, round(sum(duration_s), 3) as duration_s, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, count(*) as group_size from stops join labels using (participant_id, stop_seq) group by all"),
-    "points_in_clusters": sql("select event_id from pts p where exists (select 1 from longs s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
+    "points_in_clusters": sql("select event_id from pts p where exists (select 1 from pstays s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
     "group_stops": sql(f"select {GROUPED} from grouped", gap=7200, far=12000),
     "merge_close_stops": sql("select participant_id, root, case when bool_or(place_type = 'Home') then 'Home' when bool_or(place_type = 'Work') then 'Work' else 'autre' end as place_type, min(start_time) as start_time, max(end_time) as end_time, round(sum(duration_s), 3) as duration_s, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, count(*) as group_size from typed join hroots using (participant_id, stop_seq) group by participant_id, root"),
     "merge_close_visits": sql("select participant_id, root, stop_seq, start_time, end_time from typed join hroots using (participant_id, stop_seq)"),
     "home_work_centroids": sql("select row_number() over (partition by participant_id order by place_type, lat, lon) as myid, * from (select distinct participant_id, place_type, round_even(lat, 5) as lat, round_even(lon, 5) as lon from typed where place_type <> 'autre')"),
     "moves_between_stops": sql(f"select {MOVE} from moves_mid"),
-    "moves_tail": sql(f"select {MOVE} from moves_end", stops=SHORT),
-    "split_stop_points": sql("select event_id from pts p where exists (select 1 from longs s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
-    "split_move_points": sql("select event_id from pts p where not exists (select 1 from longs s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
+    "moves_tail": sql(f"select {MOVE} from moves_end", stops="pstays"),
+    "split_stop_points": sql("select event_id from pts p where exists (select 1 from pstays s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
+    "split_move_points": sql("select event_id from pts p where not exists (select 1 from pstays s where s.participant_id = p.participant_id and p.ts between s.start_time and s.end_time)"),
     "move_sessions": sql(f"select event_id, (sum(n) over {W})::BIGINT as move_id from (select *, case when {SECONDS(f'lag(ts) over {W}', 'ts')} > 900 then 1 else 0 end as n from pts)"),
     "moves_summary": sql("select " + f"participant_id, move_id, {_r('duration_s', 'lat_origin', 'lon_origin', 'lat_dest', 'lon_dest', 'dist_m')}, start_time, end_time from " + lambert(
         f"(select participant_id, move_id::BIGINT as move_id, min(ts) as start_time, max(ts) as end_time, (max(epoch_us(ts))-min(epoch_us(ts)))/1e6 as duration_s, arg_min(lat, (ts, event_id)) as lat_origin, arg_min(lon, (ts, event_id)) as lon_origin, arg_max(lat, (ts, event_id)) as lat_dest, arg_max(lon, (ts, event_id)) as lon_dest from (select *, sum(n) over {W} as move_id from (select *, case when {SECONDS(f'lag(ts) over {W}', 'ts')} > 1800 then 1 else 0 end as n from pts)) group by all having count(*) >= 2 and duration_s >= 60)",
@@ -254,8 +267,8 @@ SQL = {
     "sensitive_endpoints": sql("select traj_id, " + ", ".join(f"{f}(pos, pos) as {n}_pos, {f}(ts, pos) as {n}_ts, round({f}(x, pos), 3) as {n}_x, round({f}(y, pos), 3) as {n}_y" for n, f in (("first", "arg_min"), ("last", "arg_max"))) + " from traj group by all"),
     "region_filter": sql(f"select event_id from traj where ({CROSSINGS}) % 2 = 1"),
     "pcells": sql("select traj_id, 'first' as side, arg_min(cell, pos)::BIGINT as cell from celled group by all union all select traj_id, 'last', arg_max(cell, pos)::BIGINT from celled group by all"),
-    "stt_split": sql(f"""select event_id, traj_id, piece::BIGINT as piece from (select *, count(*) over (partition by traj_id, piece) as n from (select t.event_id, t.traj_id,
- (select count(*) from stays s where s.traj_id = t.traj_id and s.end_time <= t.ts) as piece from traj t where not exists (select 1 from stays s where s.traj_id = t.traj_id and t.ts > s.start_time and t.ts < s.end_time))) where n > 1""").replace("\nselect event_id, traj_id, piece", f",\nstays as (select participant_id || '-' || strftime(start_time, '%Y%m%d') as traj_id, start_time, end_time from ({{S}}) where duration_s >= {STAY_S} and start_time::DATE = end_time::DATE)\nselect event_id, traj_id, piece", 1).replace("{S}", CTES["stops"]),
+    "stt_split": sql("""select event_id, traj_id, piece::BIGINT as piece from (select *, count(*) over (partition by traj_id, piece) as n from (select t.event_id, t.traj_id,
+ (select count(*) from tstays s where s.traj_id = t.traj_id and s.end_time <= t.ts) as piece from traj t where not exists (select 1 from tstays s where s.traj_id = t.traj_id and t.ts > s.start_time and t.ts < s.end_time))) where n > 1"""),
     "wedge_counts": sql("select event_id, start_in::INTEGER as start_in, end_in::INTEGER as end_in from wedged"),
     "direction_ok": sql("select event_id, sk as start_clear, ek as end_clear from oked"),
     "proximity_ok": sql("select event_id, sf as start_far, ef as end_far from oked"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wayspark.functions.durable import durable, new_path
 from wayspark.functions.geo import transverse_mercator
@@ -18,7 +19,8 @@ QUERIES: dict[str, Query] = {}
 BOX = {"lat": (48.80, 48.86), "lon": (2.30, 2.40)}
 RING = ((256_500.0, 6_246_000.0), (272_000.0, 6_247_500.0), (277_000.0, 6_262_000.0), (262_000.0, 6_274_000.0))
 TM_LON0 = 2.0
-STAY_S = 3600
+#: Least seconds and radius of the stays that split points and trajectories.
+STAY = (15 * 60.0, 400.0)
 
 
 def query(f: Query) -> Query:
@@ -187,13 +189,15 @@ def cluster_agg(s, d):
     return rounded(cluster.cluster_stops(cluster.dbscan(fixtures.stops(s, d))))
 
 
-def _long_stops(s, d):
-    return typed(s, d).where(F.col("duration_s") >= STAY_S)
+def _stays(s, d):
+    """All stays that the anchor detector finds, numbered by participant and time."""
+    order = W.partitionBy("participant_id").orderBy("start_time")
+    return stops.stops_anchor(pts(s, d), *STAY).withColumn("stop_seq", F.row_number().over(order).cast("long"))
 
 
 @query
 def points_in_clusters(s, d):
-    return cluster.points_in_stops(pts(s, d), _long_stops(s, d)).select("event_id")
+    return cluster.points_in_stops(pts(s, d), _stays(s, d)).select("event_id")
 
 
 @query
@@ -223,17 +227,17 @@ def moves_between_stops(s, d):
 
 @query
 def moves_tail(s, d):
-    return rounded(moves.moves_tail(pts(s, d), _long_stops(s, d).where(F.col("place_type") == places.OTHER)))
+    return rounded(moves.moves_tail(pts(s, d), _stays(s, d)))
 
 
 @query
 def split_stop_points(s, d):
-    return moves.split_points(pts(s, d), _long_stops(s, d), moving=False).select("event_id")
+    return moves.split_points(pts(s, d), _stays(s, d), moving=False).select("event_id")
 
 
 @query
 def split_move_points(s, d):
-    return moves.split_points(pts(s, d), _long_stops(s, d), moving=True).select("event_id")
+    return moves.split_points(pts(s, d), _stays(s, d), moving=True).select("event_id")
 
 
 @query
@@ -521,14 +525,11 @@ def pcells(s, d):
 
 @query
 def stt_split(s, d):
-    stays = fixtures.stops(s, d).where((F.col("duration_s") >= STAY_S) & (F.to_date("start_time") == F.to_date("end_time")))
-    traj = F.concat_ws("-", F.col("participant_id").cast("string"), F.date_format("start_time", "yyyyMMdd"))
-    spans = stays.select(traj.alias("traj_id"), F.col("start_time").alias("start_ts"), F.col("end_time").alias("end_ts"))
-    return privacy.split_at_stays(fixtures.trajectories(s, d), spans).select("event_id", "traj_id", "piece")
+    return privacy.split_at_stays(fixtures.trajectories(s, d), _daily_stays(s, d)).select("event_id", "traj_id", "piece")
 
 
 def _wedged(s, d):
-    return privacy.conditions(privacy.wedges(_celled(s, d), fixtures.sites(s, d)))
+    return privacy.wedges(_celled(s, d), fixtures.sites(s, d))
 
 
 @query
@@ -538,12 +539,12 @@ def wedge_counts(s, d):
 
 @query
 def direction_ok(s, d):
-    return _wedged(s, d).select("event_id", "start_clear", "end_clear")
+    return privacy.directions(_wedged(s, d)).select("event_id", "start_clear", "end_clear")
 
 
 @query
 def proximity_ok(s, d):
-    return _wedged(s, d).select("event_id", "start_far", "end_far")
+    return privacy.proximity(_celled(s, d)).select("event_id", "start_far", "end_far")
 
 
 @query
@@ -554,7 +555,7 @@ def stt_truncate(s, d):
 def _daily_stays(s, d):
     """Stay points of every trajectory (a participant's day)."""
     day = F.col("participant_id") * 1000 + F.dayofyear("ts")
-    found = stops.stops_anchor(pts(s, d).withColumn("participant_id", day), 15 * 60.0, 200.0)
+    found = stops.stops_anchor(pts(s, d).withColumn("participant_id", day), *STAY)
     traj = F.concat_ws("-", F.floor(F.col("participant_id") / 1000).cast("string"), F.date_format("start_time", "yyyyMMdd"))
     return found.select(traj.alias("traj_id"), F.col("start_time").alias("start_ts"), F.col("end_time").alias("end_ts"))
 

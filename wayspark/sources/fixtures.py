@@ -6,7 +6,7 @@ the same doubles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -17,15 +17,20 @@ PLACE_LAT = (0, 300_000, 110_000, 170_000, 230_000)
 PLACE_LON = (0, 400_000, 130_000, 210_000, 290_000)
 
 
+def participant(user: Column) -> Column:
+    """Four participants for every 20 users, one of 12 of them and three of two or three."""
+    return F.floor(user / 20) * 4 + F.when(user % 20 < 12, 0).otherwise(1 + user % 3)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, participant_id, ts, place, lat, lon: 4 participants between 5 places."""
+    """event_id, participant_id, ts, place, lat, lon: participants between 5 places, in one of 4 towns each."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
     h, d = F.hour("ts"), F.weekday("ts") + 1
     place = F.when((h >= 20) | (h < 8), 0).when((d <= 5) & (h >= 9) & (h <= 17), 1).otherwise(2 + F.col("event_id") % 3).cast("int")
     at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("place") + 1)
     jitter = lambda k: ((F.col("event_id") * k) % 1000 - 500) * 4
-    pid = F.col("participant_id")
-    return e.withColumn("participant_id", F.col("user_id") % 4).withColumn("place", place).select(
+    pid = F.col("participant_id") % 4
+    return e.withColumn("participant_id", participant(F.col("user_id"))).withColumn("place", place).select(
         "event_id", "participant_id", "ts", "place",
         ((488_000_000 + 500_000 * pid + at(PLACE_LAT) + jitter(7919)).cast("double") / 1e7).alias("lat"),
         ((23_000_000 + 500_000 * pid + at(PLACE_LON) + jitter(104_729)).cast("double") / 1e7).alias("lon"),
@@ -35,7 +40,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """participant_id, ts, activity: every tenth event."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 = 0")
-    return e.select((F.col("user_id") % 4).alias("participant_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("activity"))
+    return e.select(participant(F.col("user_id")).alias("participant_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("activity"))
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
