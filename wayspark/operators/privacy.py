@@ -160,21 +160,19 @@ def end_cells(celled: DataFrame) -> DataFrame:
     return ends.select("traj_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("cell")) for s in ("start", "end")))).alias("e")).select("traj_id", "e.*")
 
 
-def wedge_bounds(apex: tuple[Column, Column], direction: Column, alpha: float, box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
-    """Whether the box (low x, high x, low y, high y) is inside the wedge for sure, and whether it is outside.
+def wedge_sides(direction: Column, alpha: float) -> dict[str, Column]:
+    """The half planes ax + by <= 0, as seen from the apex, that a wedge below 180 degrees is shared by."""
+    t, ux, uy = math.tan(math.radians(alpha / 2)), F.cos(F.radians(direction)), F.sin(F.radians(direction))
+    return {"_a0": -uy - t * ux, "_b0": ux - t * uy, "_a1": uy - t * ux, "_b1": -ux - t * uy}
 
-    Below 180 degrees a wedge is what two half planes share, and a linear form is least and
-    greatest at corners of the box. Wider ones are left to the single sites.
-    """
-    if alpha >= 180:
-        return F.lit(False), F.lit(False)
-    t = math.tan(math.radians(alpha / 2))
-    ux, uy = F.cos(F.radians(direction)), F.sin(F.radians(direction))
-    x0, x1, y0, y1 = box[0] - apex[0], box[1] - apex[0], box[2] - apex[1], box[3] - apex[1]
+
+def box_in_wedge() -> tuple[Column, Column]:
+    """Whether a node's box is inside the wedge for sure, and whether it is outside: a linear form is least and greatest at corners."""
+    x0, x1, y0, y1 = (F.col(f"_{n}{k}") - F.col(c) for k, c in ((0, "x"), (1, "y")) for n in ("lo", "hi"))
     slack = 1e-6 * (1 + F.greatest(*map(F.abs, (x0, x1, y0, y1))))
-    forms = ((-uy - t * ux, ux - t * uy), (uy - t * ux, -ux - t * uy))
-    most = [F.greatest(a * x0, a * x1) + F.greatest(b * y0, b * y1) for a, b in forms]
-    least = [F.least(a * x0, a * x1) + F.least(b * y0, b * y1) for a, b in forms]
+    sides = [(F.col(f"_a{k}"), F.col(f"_b{k}")) for k in (0, 1)]
+    most = [F.greatest(a * x0, a * x1) + F.greatest(b * y0, b * y1) for a, b in sides]
+    least = [F.least(a * x0, a * x1) + F.least(b * y0, b * y1) for a, b in sides]
     return (most[0] < -slack) & (most[1] < -slack), (least[0] > slack) | (least[1] > slack)
 
 
@@ -189,14 +187,16 @@ def sites_in_wedges(apexes: DataFrame, sites: DataFrame, key: list[str], alpha:
     tree = quadtree.build(named, "_sx", "_sy", [], ["cell"], leaf=4)
     if tree is None:
         return apexes.select(*key, F.lit(0).cast("long").alias("n_in")).limit(0)
-    keep = [*key, "x", "y", "_direction"]
+    narrow = alpha < 180  # wider wedges are left to the single sites
+    forms = wedge_sides(F.col("_direction"), alpha) if narrow else {}
+    keep = [*key, "x", "y", "_direction", *forms]
 
     def decide(rows: DataFrame) -> DataFrame:
-        inside, outside = wedge_bounds((F.col("x"), F.col("y")), F.col("_direction"), alpha, tuple(F.col(f"_{n}{k}") for k in (0, 1) for n in ("lo", "hi")))
+        inside, outside = box_in_wedge() if narrow else (F.lit(False), F.lit(False))
         rows = rows.withColumns({"_inside": inside, "_outside": outside}).where("not _outside").drop("_outside")
         return rows.withColumn("_go", ~F.col("_inside") & ~F.col("_leaf"))
 
-    left = durable(quadtree.descend(apexes.where("_direction is not null").select("cell", *keep), tree, keep, decide), "wedges")
+    left = durable(quadtree.descend(apexes.where("_direction is not null").select("*", *(c.alias(n) for n, c in forms.items())).select("cell", *keep), tree, key, keep, decide), "wedges")
     whole = left.where("_inside").select(*key, F.col("_sites").alias("n"))
     hit = in_wedge(F.col("x"), F.col("y"), F.col("_direction"), F.col("_sx"), F.col("_sy"), alpha)
     single = quadtree.sites_of(left.where("not _inside"), tree, keep).where(hit).select(*key, F.lit(1).cast("long").alias("n"))

@@ -72,15 +72,15 @@ def build(sites: DataFrame, x: str, y: str, pick: list[str], by: list[str] | Non
     places = durable(own.withColumn("_key", key), "places")
     todo = places.groupBy(*by, x, y).agg(F.first("_key").alias("_key"), F.count("*").alias("_n"))
     coords = axes_of(F.col(x), F.col(y), sphere)
-    todo = durable(todo.select(*by, "_key", "_n", *(c.alias(f"_p{k}") for k, c in enumerate(coords))), "distinct")
+    todo = todo.select(*by, "_key", "_n", *(c.alias(f"_p{k}") for k, c in enumerate(coords)))
     cell = lambda k: F.struct(F.lit(k).alias("_level"), F.shiftright("_key", 2 * (BITS - k)).alias("_cell"))
-    nodes, level, passes = None, 0, []
+    nodes, level, depth, done = None, 0, 0, [places]
     while True:
         levels = range(level, min(level + PASS * STEP, BITS) + 1, STEP)
         at = todo.select("*", F.explode(F.array(*map(cell, levels))).alias("_c"))
         bounds = [f(f"_p{k}").alias(f"_{n}{k}") for k in range(len(coords)) for n, f in (("lo", F.min), ("hi", F.max))]
         found = durable(at.groupBy(*by, "_c._level", "_c._cell").agg(F.count("*").alias("_places"), F.sum("_n").alias("_sites"), *bounds), "counts")
-        passes.append(found)
+        done.append(found)
         # a cell is there if its parent is parted; counts only fall, so that holds for all above it
         parted = found.where(F.col("_places") > leaf)
         up = parted.select(*by, (F.col("_level") + STEP).alias("_level"), F.col("_cell").alias("_up"))
@@ -88,32 +88,35 @@ def build(sites: DataFrame, x: str, y: str, pick: list[str], by: list[str] | Non
         if level == 0:
             real = found.where("_level = 0").unionByName(real)
         nodes = real if nodes is None else nodes.unionByName(real)
-        last = levels[-1]
-        large = parted.where(F.col("_level") == last).select(*by, "_cell")
-        if last >= BITS or large.isEmpty():
+        last, deepest = levels[-1], parted.agg(F.max("_level")).first()[0]
+        depth = depth if deepest is None else min(deepest + STEP, BITS)
+        if last >= BITS or deepest != last:
             break
-        deep = durable(todo.withColumn("_cell", F.shiftright("_key", 2 * (BITS - last))).join(large, [*by, "_cell"], "left_semi").drop("_cell"), "dense")
-        release(todo)
-        todo, level = deep, last
-    nodes = durable(nodes.withColumn("_leaf", (F.col("_places") <= leaf) | (F.col("_level") >= BITS)), "cells")
-    leaves = nodes.where("_leaf")
+        large = parted.where(F.col("_level") == last).select(*by, "_cell")
+        todo = durable(todo.withColumn("_cell", F.shiftright("_key", 2 * (BITS - last))).join(large, [*by, "_cell"], "left_semi").drop("_cell"), "dense")
+        done.append(todo)
+        level = last
+    nodes = nodes.withColumn("_leaf", (F.col("_places") <= leaf) | (F.col("_level") >= BITS))
     as_child = nodes.withColumns({"_up_level": F.col("_level") - STEP, "_up_cell": F.shiftright("_cell", 2 * STEP), "_go": F.lit(True)})
     as_self = nodes.withColumns({"_up_level": F.col("_level"), "_up_cell": F.col("_cell"), "_go": F.lit(False)})
-    depth = nodes.agg(F.max("_level")).first()[0]
-    mine = places.select("*", F.explode(F.array(*(cell(k) for k in range(0, depth + 1, STEP)))).alias("_c"))
-    placed = mine.select(*own.columns, "_c.*").join(leaves.select(*by, "_level", "_cell"), [*by, "_level", "_cell"], "left_semi")
-    out = Tree(durable(as_child.unionByName(as_self), "nodes"), durable(placed, "placed"), by, len(coords), depth)
-    for table in (places, todo, nodes, *passes):
+    nodes = durable(as_child.unionByName(as_self), "nodes")
+    leaves = nodes.where("_leaf and not _go").select(*by, "_level", "_cell")
+    mine = places.select("*", F.explode(F.array(*map(cell, range(0, depth + 1, STEP)))).alias("_c"))
+    placed = mine.select(*own.columns, "_c.*").join(leaves, [*by, "_level", "_cell"], "left_semi")
+    out = Tree(nodes, durable(placed, "placed"), by, len(coords), depth)
+    for table in done:
         release(table)
     return out
 
 
-def descend(queries: DataFrame, tree: Tree, keep: list[str], decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The nodes left to each query once all have been decided, from the root down.
+def descend(queries: DataFrame, tree: Tree, pid: list[str], keep: list[str], decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The nodes left to each query (``pid``) once all have been decided, from the root down.
 
     ``decide`` drops rows of queries and nodes, or sets ``_go``: whether the node's children
-    are to be looked at. A node without that stays as it is.
+    are to be looked at. A node without that stays as it is. The queries are dealt out by a
+    fixed number: they are few bytes but much work, so their size must not set it.
     """
+    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pid)
     own = [*tree.by, *keep]
     root = tree.nodes.where("_level = 0 and not _go").drop("_up_level", "_up_cell", "_go")
     frontier = decide(queries.join(root, tree.by) if tree.by else queries.withColumn("_level", F.lit(0)).join(root, "_level"))
@@ -137,6 +140,21 @@ def box_distance(axes: int, farthest: bool) -> Column:
     return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
 
 
+def sure_distance(axes: int) -> Column:
+    """A distance within which the box holds a place for sure: each of its sides touches one."""
+    near, far = [], []
+    for k in range(axes):
+        q, lo, hi = (F.col(f"{n}{k}") for n in ("_q", "_lo", "_hi"))
+        a, b = F.abs(q - lo), F.abs(q - hi)
+        near.append(F.least(a, b))
+        far.append(F.greatest(a, b))
+    sums = []
+    for k in range(axes):
+        parts = [near[i] if i == k else far[i] for i in range(axes)]
+        sums.append(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    return F.sqrt(F.least(*sums))
+
+
 def metres(chord: Column, farthest: bool) -> Column:
     """Bounds on geodesic metres by the chord of a unit sphere."""
     arc = 2 * EARTH_RADIUS_M * F.asin(F.least(chord / 2, F.lit(1.0)))
@@ -154,10 +172,11 @@ def candidates(points: DataFrame, tree: Tree, pid: list[str], at: tuple[str, str
     start = points.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).select(*dict.fromkeys([*pid, *at]), *(c.alias(f"_q{n}") for n, c in enumerate(q)))
     own = [*(c for c in pid if c not in tree.by), *at, *(f"_q{n}" for n in range(tree.axes))]
     per = W.partitionBy(*pid)
-    bound = lambda f: metres(box_distance(tree.axes, f), f) if sphere else box_distance(tree.axes, f)
+    far = sure_distance(tree.axes) if k == 1 else box_distance(tree.axes, True)
+    bound = lambda d, f: metres(d, f) if sphere else d
 
     def pruned(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns({"_near": bound(False), "_far": slack(bound(True))})
+        rows = rows.withColumns({"_near": bound(box_distance(tree.axes, False), False), "_far": slack(bound(far, True))})
         if most is not None:
             rows = rows.where(F.col("_near") <= slack(F.lit(float(most))))
         if k == 1:
@@ -168,7 +187,7 @@ def candidates(points: DataFrame, tree: Tree, pid: list[str], at: tuple[str, str
         left = rows.withColumn("_sure", sure).where(F.col("_near") <= F.col("_sure"))
         return left.withColumn("_go", ~F.col("_leaf")).drop("_near", "_far", "_sum", "_sure")
 
-    return sites_of(descend(start.repartition(*pid), tree, own, pruned), tree, own)
+    return sites_of(descend(start, tree, pid, own, pruned), tree, own)
 
 
 def knn(points: DataFrame, tree: Tree, pid: list[str], at: tuple[str, str], to: tuple[str, str], pick: list[str], distance: Callable[..., Column], k: int = 1, most: float | None = None, sphere: bool = False) -> DataFrame:
