@@ -7,15 +7,15 @@ participant, ordered by ts and event_id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
 from wayspark.functions.geo import EARTH_RADIUS_M, geodesic_m
+from wayspark.operators.chain import CHUNK, follow
+
 
 def by_time() -> WindowSpec:
     return W.partitionBy("participant_id").orderBy("ts", "event_id")
@@ -103,26 +103,11 @@ def in_order(points: DataFrame, columns: list[str]) -> DataFrame:
     return points.select(*columns).repartition("participant_id").sortWithinPartitions("participant_id", "ts", "event_id")
 
 
-def drop_fast_since_kept(points: DataFrame, max_speed_kmh: float = 150.0) -> DataFrame:
+def drop_fast_since_kept(points: DataFrame, max_speed_kmh: float = 150.0, chunk: int = CHUNK) -> DataFrame:
     """Drops points faster than the bound since the last point *kept*.
 
-    Each decision depends on the one before, so a participant is read as a stream; the
-    state is one point.
+    The points kept are the references of a chain (see chain), so a long track is cut into chunks.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for df in frames:
-            keep = []
-            for pid, ts, lat, lon in zip(df["participant_id"], df["ts"], df["lat"], df["lon"], strict=True):
-                ok = True
-                if last is not None and last[0] == pid:
-                    d, s = haversine(last[2], last[3], lat, lon), (ts - last[1]).total_seconds()
-                    ok = d <= max_speed_kmh / 3.6 * s
-                keep.append(ok)
-                if ok:
-                    last = (pid, ts, lat, lon)
-            yield df[keep]
-
-    rows = in_order(points, ["participant_id", "event_id", "ts", "lat", "lon"])
-    return rows.mapInPandas(run, rows.schema)
+    speed = max_speed_kmh / 3.6
+    kept = follow(points, lambda ref, ts, lat, lon: haversine(*ref[2:], lat, lon) <= speed * (ts - ref[1]).total_seconds(), chunk=chunk)
+    return kept.where("is_ref").select("participant_id", "event_id", "ts", "lat", "lon")

@@ -1,5 +1,7 @@
-"""Stop detection. Each decision depends on the ones before, so a task reads the points of a
-participant as a stream; it holds the points of one stay, never a whole trajectory."""
+"""Stop detection, where each decision depends on the ones before.
+
+The anchor detector follows a chain over chunks of a track. The sliding one reads the points
+of a participant as a stream; it holds the points of one stay, never a whole trajectory."""
 
 from __future__ import annotations
 
@@ -10,8 +12,11 @@ from statistics import median
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from wayspark.operators.points import haversine, in_order
+from wayspark.functions.durable import durable
+from wayspark.operators.chain import CHUNK, follow
+from wayspark.operators.points import haversine, in_order, micros
 
 STOPS = "participant_id long, start_time timestamp_ntz, end_time timestamp_ntz, duration_s double, lat double, lon double"
 _COLUMNS = ["participant_id", "event_id", "ts", "lat", "lon"]
@@ -134,20 +139,25 @@ def stops_sliding(points: DataFrame, min_duration_s: float = 300.0, max_diameter
     return _streamed(points, start, step, finish)
 
 
-def stops_anchor(points: DataFrame, min_time_s: float = 300.0, radius_m: float = 100.0) -> DataFrame:
+def stops_anchor(points: DataFrame, min_time_s: float = 300.0, radius_m: float = 100.0, chunk: int = CHUNK) -> DataFrame:
     """Stays within ``radius_m`` of their first point for more than ``min_time_s``.
 
     A stay ends when a point leaves the radius, which is its end time and the next anchor;
     the place is the median of the points before. A stay still open at the end isn't given.
+    Anchors are the references of a chain (see chain), so a long track is cut into chunks.
     """
 
-    def step(pid, s, point) -> list[tuple]:
-        out = []
-        if s and haversine(*s[0][1:], *point[1:]) > radius_m:
-            if (point[0] - s[0][0]).total_seconds() > min_time_s:
-                out = [_stop(pid, s, point[0])]
-            s.clear()
-        s.append(point)
-        return out
-
-    return _streamed(points, list, step, lambda pid, s: [])
+    def reached(ref, box) -> bool:
+        """Whether a box lies within the radius: its farthest place is no farther than the sides from the anchor together."""
+        lat0, lat1, lon0, lon1 = box
+        north = max(abs(lat0 - ref[2]), abs(lat1 - ref[2]))
+        east = max(abs(lon0 - ref[3]), abs(lon1 - ref[3]))
+        return (north + east) * _DEGREE_M * 1.001 <= radius_m
+
+    own = durable(follow(points, lambda ref, ts, lat, lon: haversine(*ref[2:], lat, lon) > radius_m, reached, chunk), "anchors")
+    stayed = own.select("participant_id", F.col("ref_at").alias("anchor"), "lat", "lon", "ts", F.lit(None).cast("timestamp_ntz").alias("left"))
+    nothing = F.lit(None).cast("double")
+    left = own.where("is_ref and before_at is not null").select("participant_id", F.col("before_at").alias("anchor"), nothing.alias("lat"), nothing.alias("lon"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("ts").alias("left"))
+    stays = stayed.unionByName(left).groupBy("participant_id", "anchor").agg(F.min("ts").alias("start_time"), F.max("left").alias("end_time"), F.median("lat").alias("lat"), F.median("lon").alias("lon"))
+    long = stays.withColumn("duration_s", (micros(F.col("end_time")) - micros(F.col("start_time"))) / 1_000_000)
+    return long.where(F.col("duration_s") > min_time_s).select("participant_id", "start_time", "end_time", "duration_s", "lat", "lon")

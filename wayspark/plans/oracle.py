@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from wayspark.plans.queries import BOX, RING, STAY, TM_LON0
+from wayspark.plans.queries import BOX, DAILY_STAY, RING, STAY, TM_LON0
 
 A, F_ = "6378137.0::DOUBLE", "(1/298.257223563::DOUBLE)"
 
@@ -97,18 +97,18 @@ CTES = {
 CTES["wedged"] = re.sub(r"\{dir\}\(([^,]+), ([^)]+)\)", r"(case when atan2(\2, \1) < 0 then degrees(atan2(\2, \1)) + 360 else degrees(atan2(\2, \1)) end)", CTES["wedged"])
 
 
-def _stays(p: str, key: str, source: str) -> dict[str, str]:
+def _stays(p: str, key: str, source: str, stay: tuple[float, float]) -> dict[str, str]:
     """Stays by anchors, of each ``key``: a hop leads to the next point outside the radius."""
     return {
         f"{p}nums": f"select {key}, ts, lat, lon, row_number() over (partition by {key} order by ts, event_id) as rn from {source}",
         f"{p}hops": f"""select {key}, rn, lat, lon from {p}nums where rn = 1 union all
-  select {key}, b.rn, b.lat, b.lon from (select a.{key}, min(b.rn) as rn from {p}hops a join {p}nums b on b.{key} = a.{key} and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > {STAY[1]} group by all) n join {p}nums b using ({key}, rn)""",
+  select {key}, b.rn, b.lat, b.lon from (select a.{key}, min(b.rn) as rn from {p}hops a join {p}nums b on b.{key} = a.{key} and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > {stay[1]} group by all) n join {p}nums b using ({key}, rn)""",
         f"{p}stays": f"""select {key}, row_number() over (partition by {key} order by start_time) as stop_seq, start_time, end_time
-  from (select {key}, ts as start_time, lead(ts) over (partition by {key} order by rn) as end_time from {p}hops join {p}nums using ({key}, rn)) where {SECONDS('start_time', 'end_time')} > {STAY[0]}""",
+  from (select {key}, ts as start_time, lead(ts) over (partition by {key} order by rn) as end_time from {p}hops join {p}nums using ({key}, rn)) where {SECONDS('start_time', 'end_time')} > {stay[0]}""",
     }
 
 
-CTES |= _stays("p", "participant_id", "pts") | _stays("t", "traj_id", "(select * from traj join (select event_id, lat, lon from pts) using (event_id))")
+CTES |= _stays("p", "participant_id", "pts", STAY) | _stays("t", "traj_id", "(select * from traj join (select event_id, lat, lon from pts) using (event_id))", DAILY_STAY)
 
 
 def sql(body: str, stops: str = "stops", gap: float = 600, far: float = 200) -> str:
@@ -174,9 +174,9 @@ STT_STAYS = (
     "with recursive pts as (" + CTES["pts"] + "), sites as (" + CTES["sites"] + "), traj as (" + CTES["traj"] + "), nearby as (" + CTES["celled"] + f"""),
  q as (select t.traj_id, t.ts, p.lat, p.lon, t.pos as rn from traj t join pts p using (event_id)),
  anchors as (select traj_id, rn, lat, lon from q where rn = 1 union all
-  select traj_id, b.rn, b.lat, b.lon from (select a.traj_id, min(b.rn) as rn from anchors a join q b on b.traj_id = a.traj_id and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > {STAY[1]} group by all) n join q b using (traj_id, rn)),
+  select traj_id, b.rn, b.lat, b.lon from (select a.traj_id, min(b.rn) as rn from anchors a join q b on b.traj_id = a.traj_id and b.rn > a.rn and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} > {DAILY_STAY[1]} group by all) n join q b using (traj_id, rn)),
  j as (select traj_id, rn, lead(rn) over (partition by traj_id order by rn) as nx from anchors),
- stays as (select j.traj_id, a.ts as start_time, n.ts as end_time from j join q a using (traj_id, rn) join q n on n.traj_id = j.traj_id and n.rn = j.nx where {SECONDS('a.ts', 'n.ts')} > {STAY[0]}),
+ stays as (select j.traj_id, a.ts as start_time, n.ts as end_time from j join q a using (traj_id, rn) join q n on n.traj_id = j.traj_id and n.rn = j.nx where {SECONDS('a.ts', 'n.ts')} > {DAILY_STAY[0]}),
  parts as (select c.*, t.ts, (select count(*) from stays s where s.traj_id = c.traj_id and s.end_time <= t.ts) as piece from nearby c join traj t using (event_id)
   where not exists (select 1 from stays s where s.traj_id = c.traj_id and t.ts > s.start_time and t.ts < s.end_time)),
  celled as (select traj_id || '/' || piece as traj_id, event_id, x, y, near_site, cell, row_number() over (partition by traj_id, piece order by pos) as pos from parts qualify count(*) over (partition by traj_id, piece) > 1),

@@ -21,6 +21,7 @@ RING = ((256_500.0, 6_246_000.0), (272_000.0, 6_247_500.0), (277_000.0, 6_262_00
 TM_LON0 = 2.0
 #: Least seconds and radius of the stays that split points and trajectories.
 STAY = (15 * 60.0, 400.0)
+DAILY_STAY = (2 * 3600.0, 400.0)
 
 
 def query(f: Query) -> Query:
@@ -555,7 +556,7 @@ def stt_truncate(s, d):
 def _daily_stays(s, d):
     """Stay points of every trajectory (a participant's day)."""
     day = F.col("participant_id") * 1000 + F.dayofyear("ts")
-    found = stops.stops_anchor(pts(s, d).withColumn("participant_id", day), *STAY)
+    found = stops.stops_anchor(pts(s, d).withColumn("participant_id", day), *DAILY_STAY)
     traj = F.concat_ws("-", F.floor(F.col("participant_id") / 1000).cast("string"), F.date_format("start_time", "yyyyMMdd"))
     return found.select(traj.alias("traj_id"), F.col("start_time").alias("start_ts"), F.col("end_time").alias("end_ts"))
 
