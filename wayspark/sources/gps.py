@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from wayspark.operators.points import in_box
 
@@ -19,9 +20,43 @@ def jdbc_options(env: dict[str, str] | None = None) -> dict[str, str]:
     return {"url": url, "user": e.get("PG_USER", ""), "password": e.get("PG_PASSWORD", "")}
 
 
-def points_from_jdbc(spark: SparkSession, table: str = "gps_all_participants", env: dict[str, str] | None = None) -> DataFrame:
-    """Points of a database table; filters on participant_id are pushed down."""
-    return spark.read.format("jdbc").options(**jdbc_options(env), dbtable=table).load()
+def jdbc_ranges(spark: SparkSession, options: dict[str, str], table: str, column: str, parts: int, quote: str = '"') -> list[str]:
+    """Conditions on a numeric or time ``column`` that part a database table into ``parts`` of about equal rows, and one for its nulls.
+
+    The bounds are quantiles, so a hot stretch of values doesn't become one task. They come
+    from the column alone, read in stretches of equal width between its least and largest value.
+    """
+    name = f"{quote}{column}{quote}"
+    read = lambda **more: spark.read.format("jdbc").options(**options, **more)
+    lowest = read(query=f"select min({name}) as lo, max({name}) as hi from {table}").load()
+    lo, hi = lowest.first()
+    if lo is None:
+        return []
+    one = f"(select {name} from {table}) t"
+    values = read(dbtable=one, partitionColumn=column, lowerBound=str(lo), upperBound=str(hi), numPartitions=str(parts)).load() if lo != hi and parts > 1 else read(dbtable=one).load()
+    kind = values.schema[column].dataType
+    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    at = F.unix_micros(F.col(f"`{column}`").cast("timestamp")) if timed else F.col(f"`{column}`")
+    cuts = values.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    cuts = sorted(set(cuts or []))
+    if timed:
+        texts = spark.createDataFrame([(int(c),) for c in cuts], "c long").select(F.timestamp_micros("c").cast("string")).collect() if cuts else []
+        cuts = [f"timestamp('{r[0] if '.' in r[0] else r[0] + '.0'}')" for r in texts]
+    bounds = [None, *cuts, None]
+    between = [" and ".join([*([f"{name} >= {a}"] if a is not None else []), *([f"{name} < {b}"] if b is not None else [])]) or f"{name} is not null" for a, b in zip(bounds, bounds[1:])]
+    return [*between, f"{name} is null"]
+
+
+def points_from_jdbc(spark: SparkSession, table: str = "gps_all_participants", env: dict[str, str] | None = None, column: str = "participant_id", parts: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """Points of a database table, one task for each of ``parts`` ranges of ``column`` (see jdbc_ranges).
+
+    Filters and columns are pushed down to the database. By default there are as many parts as
+    the session has shuffle partitions; ``options`` stand for those of the environment.
+    """
+    given = jdbc_options(env) if options is None else options
+    ranges = jdbc_ranges(spark, given, table, column, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    properties = {k: v for k, v in given.items() if k != "url"}
+    return spark.read.jdbc(given["url"], table, predicates=ranges or ["1 = 1"], properties=properties)
 
 
 def participants(points: DataFrame) -> DataFrame:
