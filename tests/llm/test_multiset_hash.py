@@ -71,6 +71,15 @@ def test_a_hot_id_is_parted(make_docs, monkeypatch):
     assert len({of[r.fingerprint] for r in rows}) == 200
 
 
+def test_equal_rows_are_parted(make_docs, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 5)
+    docs = make_docs([(None, "the same text") for _ in range(200)] + [(k, f"t {k}") for k in range(20)])
+    blocks = M.in_blocks(docs).where("extra = 0").groupBy("block").count().collect()
+    assert len(blocks) > 20 and max(r["count"] for r in blocks) < 40
+    rows = M.with_edits(docs).collect()
+    assert len(rows) == 220 and sum(r.doc_id is None and r.near_next == 1 for r in rows) == 199
+
+
 def test_cuts_part_hot_keys_in_order():
     import numpy as np
 

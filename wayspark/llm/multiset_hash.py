@@ -12,7 +12,7 @@ over all ids, each block also gets the first row of the block that follows it, a
 read their blocks in order. An id with more rows than a block is parted by hashes of texts.
 
 Edge cases: a null text counts as empty, an empty text is one empty paragraph. Rows with
-equal doc_ids follow each other by text (by its hash first, if they fill blocks); a null
+equal doc_ids follow each other by text (by a hash of it and the row number, if they fill blocks); a null
 doc_id comes last. A single row is its own
 next one. Fingerprints without any pair are like each other only if they are equal. Other
 columns are ignored; an empty table gives an empty result.
@@ -147,7 +147,8 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     blocks = min(MAX_BLOCKS, max(1, n // BLOCK_ROWS))
     cuts = Cuts(rows.agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)] or [0.5], max(10_000, 10 * blocks))).first()[0] or [0])
     hot = F.col("key").isin(*map(int, cuts.hot)) if len(cuts.hot) else F.lit(False)
-    rows = rows.withColumn("h", F.when(hot, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    # the row's number parts rows that are equal in all
+    rows = rows.withColumn("h", F.when(hot, F.xxhash64("text", F.monotonically_increasing_id())).otherwise(F.lit(0).cast("long")))
 
     @F.pandas_udf("int")
     def block_of(key: pd.Series, h: pd.Series) -> pd.Series:
