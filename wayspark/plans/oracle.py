@@ -265,6 +265,9 @@ SQL = {
     "neighbour_edges": sql("select distinct least(a, b) as source, greatest(a, b) as target, round(d, 3) as length from (select *, row_number() over (partition by a order by d, b) as r from (select p.site_id as a, q.site_id as b, sqrt((p.x-q.x)**2+(p.y-q.y)**2) as d from sites p, sites q where p.site_id <> q.site_id)) where r <= 4"),
     "cell_of_point": sql("select event_id, near_site, cell::BIGINT as cell, round(dist, 3) as dist from celled"),
     "sensitive_endpoints": sql("select traj_id, " + ", ".join(f"{f}(pos, pos) as {n}_pos, {f}(ts, pos) as {n}_ts, round({f}(x, pos), 3) as {n}_x, round({f}(y, pos), 3) as {n}_y" for n, f in (("first", "arg_min"), ("last", "arg_max"))) + " from traj group by all"),
+    "regions_of_points": sql("select event_id, site_id as region_id from traj t, (select site_id, x as cx, y as cy, (300 + (site_id*37)%2900)::DOUBLE as w, (200 + (site_id*53)%1700)::DOUBLE as h from sites) r where ("
+        + " + ".join(f"(case when ({ay} > t.y) <> ({by} > t.y) and t.x < {ax} + ({bx}-{ax})*(t.y-{ay})/({by}-{ay}) then 1 else 0 end)" for (ax, ay), (bx, by) in (
+            (("(cx-w)", "cy"), ("cx", "(cy+h)")), (("cx", "(cy+h)"), ("(cx+w)", "cy")), (("(cx+w)", "cy"), ("cx", "(cy+h/4)")), (("cx", "(cy+h/4)"), ("(cx-w)", "cy")))) + ") % 2 = 1"),
     "region_filter": sql(f"select event_id from traj where ({CROSSINGS}) % 2 = 1"),
     "pcells": sql("select traj_id, 'first' as side, arg_min(cell, pos)::BIGINT as cell from celled group by all union all select traj_id, 'last', arg_max(cell, pos)::BIGINT from celled group by all"),
     "stt_split": sql("""select event_id, traj_id, piece::BIGINT as piece from (select *, count(*) over (partition by traj_id, piece) as n from (select t.event_id, t.traj_id,

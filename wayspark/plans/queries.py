@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from wayspark.functions.durable import durable, new_path
 from wayspark.functions.geo import transverse_mercator
-from wayspark.operators import cluster, moves, places, points, privacy, report, stops
+from wayspark.operators import cluster, moves, places, points, privacy, regions, report, stops
 from wayspark.sources import fixtures, gps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,6 +513,11 @@ def region_filter(s, d):
     return fixtures.trajectories(s, d).where(privacy.in_ring(F.col("x"), F.col("y"), ring)).select("event_id")
 
 
+@query
+def regions_of_points(s, d):
+    return regions.in_regions(fixtures.trajectories(s, d), fixtures.regions(s, d), "event_id")
+
+
 def _endpoints(s, d):
     ends = privacy.endpoints(fixtures.trajectories(s, d))
     both = ends.select("traj_id", F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")) for n in ("first", "last")))).alias("e")).select("traj_id", "e.*")

@@ -61,6 +61,15 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region_id and ring: a chevron over each site, of sizes from some hundred metres to some kilometres."""
+    k = F.col("site_id")
+    sized = sites(spark, sf_dir).withColumns({"w": (300 + (k * 37) % 2900).cast("double"), "h": (200 + (k * 53) % 1700).cast("double")})
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w, h = map(F.col, "xywh")
+    return sized.select(k.alias("region_id"), F.array(at(x - w, y), at(x, y + h), at(x + w, y), at(x, y + h / 4)).alias("ring"))
+
+
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """traj_id (participant and day), pos, ts, event_id, x, y."""
     p = points(spark, sf_dir)
