@@ -300,7 +300,7 @@ def test_wedges_over_several_cells_and_pieces(spark):
     traj = spark.createDataFrame(rows, "traj_id string, pos long, ts timestamp_ntz, event_id long, x double, y double")
     celled = privacy.cell_of_point(traj, sites, "event_id")
     two = spark.createDataFrame([("a", "start", 1), ("a", "start", 2), ("a", "end", 3)], "traj_id string, side string, cell long")
-    got = {r.pos: r for r in privacy.wedges(celled, sites, 60.0, two).collect()}
+    got = {r.pos: r for r in privacy.conditions(celled, sites, 60.0, two).collect()}
     assert all(r.start_n == 2 and r.end_n == 1 for r in got.values()) and got[10].start_in is None and got[1].end_in is None
     assert [got[p].start_in for p in (1, 5, 9)] == [1, 2, 2] and [got[p].start_far for p in (1, 9)] == [False, True]
     stays = spark.createDataFrame([("a", t + timedelta(minutes=5), t + timedelta(minutes=6))], "traj_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
