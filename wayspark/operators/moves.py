@@ -12,6 +12,7 @@ from wayspark.operators import quadtree
 from wayspark.operators.cluster import by_start
 from wayspark.operators.joins import inside, interval_pairs
 from wayspark.operators.points import by_time, micros
+from wayspark.operators.spans import SPAN_S, in_spans, running_sum
 
 ARROW = " → "
 
@@ -68,6 +69,13 @@ def move_sessions(points: DataFrame, min_gap_s: float = 900.0) -> DataFrame:
     return points.withColumn("_new", F.when(gap > min_gap_s, 1).otherwise(0)).withColumn("move_id", F.sum("_new").over(by_time())).drop("_new")
 
 
+def move_sessions_in_spans(points: DataFrame, min_gap_s: float = 900.0, span_s: int = SPAN_S) -> DataFrame:
+    """Like :func:`move_sessions`, for tracks too long for one task each (see spans)."""
+    gap = lambda w: seconds(F.lag("ts").over(w), F.col("ts"))
+    flagged = in_spans(points, lambda rows, w: rows.withColumn("_new", F.when(gap(w) > min_gap_s, 1).otherwise(0)), before=1, seconds=span_s)
+    return running_sum(flagged, "_new", "move_id", seconds=span_s).drop("_new")
+
+
 def moves_summary(points: DataFrame, min_duration_s: float = 60.0, min_gap_s: float = 1800.0) -> DataFrame:
     """One row for each session of at least two points and the duration, with its distance."""
     return with_distance(_ends(["participant_id", "move_id"], move_sessions(points, min_gap_s)).where(F.col("duration_s") >= min_duration_s))

@@ -15,6 +15,7 @@ from pyspark.sql import WindowSpec
 
 from wayspark.functions.geo import EARTH_RADIUS_M, geodesic_m
 from wayspark.operators.chain import CHUNK, follow
+from wayspark.operators.spans import SPAN_S, in_spans, with_span, within
 
 
 def by_time() -> WindowSpec:
@@ -30,12 +31,12 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def with_steps(points: DataFrame) -> DataFrame:
+def with_steps(points: DataFrame, window: WindowSpec | None = None) -> DataFrame:
     """Adds time_diff_s, dist_m and speed_kmh since the row before; null on the first row.
 
     A step without duration has no speed.
     """
-    before = {c: F.lag(c).over(by_time()) for c in ("ts", "lat", "lon")}
+    before = {c: F.lag(c).over(window or by_time()) for c in ("ts", "lat", "lon")}
     return (
         points.withColumn("time_diff_s", (micros(F.col("ts")) - micros(before["ts"])) / 1_000_000)
         .withColumn("dist_m", geodesic_m(before["lat"], before["lon"], F.col("lat"), F.col("lon")))
@@ -48,9 +49,9 @@ def drop_fast(steps: DataFrame, max_speed_kmh: float = 150.0) -> DataFrame:
     return steps.where(F.col("speed_kmh").isNull() | (F.col("speed_kmh") <= max_speed_kmh))
 
 
-def with_smooth_speed(steps: DataFrame, window: int = 5) -> DataFrame:
+def with_smooth_speed(steps: DataFrame, window: int = 5, track: WindowSpec | None = None) -> DataFrame:
     """Mean speed of a window centred on the row; an even window reaches further back."""
-    return steps.withColumn("speed_kmh_smooth", F.avg("speed_kmh").over(by_time().rowsBetween(-(window // 2), (window - 1) // 2)))
+    return steps.withColumn("speed_kmh_smooth", F.avg("speed_kmh").over((track or by_time()).rowsBetween(-(window // 2), (window - 1) // 2)))
 
 
 def prepared(points: DataFrame, max_speed_kmh: float = 150.0) -> DataFrame:
@@ -58,6 +59,17 @@ def prepared(points: DataFrame, max_speed_kmh: float = 150.0) -> DataFrame:
     return with_smooth_speed(drop_fast(with_steps(points), max_speed_kmh))
 
 
+def steps_in_spans(points: DataFrame, seconds: int = SPAN_S) -> DataFrame:
+    """Like :func:`with_steps`, for tracks too long for one task each (see spans)."""
+    return in_spans(points, with_steps, before=1, seconds=seconds)
+
+
+def prepared_in_spans(points: DataFrame, max_speed_kmh: float = 150.0, window: int = 5, seconds: int = SPAN_S) -> DataFrame:
+    """Like :func:`prepared`, for tracks too long for one task each."""
+    kept = drop_fast(within(with_span(points, "ts", seconds), with_steps, before=1), max_speed_kmh)
+    return within(kept, lambda rows, track: with_smooth_speed(rows, window, track), window // 2, (window - 1) // 2).drop("_span")
+
+
 def with_calendar(points: DataFrame) -> DataFrame:
     """Adds hour, weekday, weekday_num (Monday 0), date and is_weekend."""
     day = F.weekday("ts")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wayspark.operators.joins import interval_pairs
 from wayspark.operators.moves import seconds
+from wayspark.operators.spans import SPAN_S, in_spans
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 ONE = "participant_id"
@@ -103,30 +103,32 @@ def histogram(steps: DataFrame, value: Column, bins: int, low: float | None = No
     return rows.groupBy(ONE, number.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def speed_per_minute(steps: DataFrame) -> DataFrame:
+def speed_per_minute(steps: DataFrame, span_s: int = SPAN_S) -> DataFrame:
     """Mean speed of every minute from first to last; gaps are filled in between linearly.
 
-    Minutes before the first value stay null, those after the last repeat it.
+    Minutes before the first value stay null, those after the last repeat it. Only minutes
+    with a value are put in order, by spans of the track; each brings forth those up to the next.
     """
     minute = F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz")
     means = steps.groupBy(ONE, minute.alias("minute")).agg(F.avg("speed_kmh").alias("mean"))
-    span = means.groupBy(ONE).agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
-    grid = span.select(ONE, F.explode(F.sequence("a", "b", F.expr("interval 1 minute"))).alias("minute"))
-    w = W.partitionBy(ONE).orderBy("minute")
-    before = w.rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(ONE).orderBy(F.desc("minute")).rowsBetween(W.unboundedPreceding, 0)  # a frame that ends at the last row would be read anew for each row
-    known = F.when(F.col("mean").isNotNull(), F.struct("i", "mean"))
-    rows = grid.join(means, [ONE, "minute"], "left").withColumn("i", F.row_number().over(w))
-    rows = rows.withColumn("p", F.last(known, True).over(before)).withColumn("n", F.last(known, True).over(after))
-    mix = F.col("p.mean") + (F.col("n.mean") - F.col("p.mean")) * F.try_divide(F.col("i") - F.col("p.i"), F.col("n.i") - F.col("p.i"))
-    speed = F.coalesce("mean", mix, F.when(F.col("n").isNull(), F.col("p.mean")))
-    return rows.select(ONE, "minute", speed.alias("speed_kmh"))
-
-
-def rolling_speed(per_minute: DataFrame, minutes: int = 10) -> DataFrame:
+    known = means.where("mean is not null")
+    following = lambda rows, w: rows.withColumn("next", F.lead(F.struct("minute", "mean")).over(w))
+    pairs = in_spans(known, following, after=1, order=("minute",), seconds=span_s).where("next is not null")
+    step, to = F.expr("interval 1 minute"), F.col("next.minute")
+    part = F.try_divide(seconds(F.col("minute"), F.col("at")), seconds(F.col("minute"), to))
+    between = pairs.select("*", F.explode(F.sequence(F.col("minute"), to - step, step)).alias("at")).select(ONE, F.col("at").alias("minute"), (F.col("mean") + (F.col("next.mean") - F.col("mean")) * part).alias("speed_kmh"))
+    has = F.when(F.col("mean").isNotNull(), F.col("minute"))
+    track = means.groupBy(ONE).agg(F.min("minute").alias("a"), F.max("minute").alias("b"), F.min(has).alias("first"), F.max(has).alias("last"), F.max_by("mean", has).alias("mean"))
+    head = track.where("first is null or a < first").select(ONE, F.explode(F.sequence(F.col("a"), F.coalesce(F.col("first") - step, F.col("b")), step)).alias("minute"), F.lit(None).cast("double").alias("speed_kmh"))
+    tail = track.where("last is not null").select(ONE, F.explode(F.sequence(F.col("last"), F.col("b"), step)).alias("minute"), F.col("mean").alias("speed_kmh"))
+    return between.unionByName(head).unionByName(tail)
+
+
+def rolling_speed(per_minute: DataFrame, minutes: int = 10, span_s: int = SPAN_S) -> DataFrame:
     """Centred mean; an even window reaches one row further back than ahead."""
-    w = W.partitionBy(ONE).orderBy("minute").rowsBetween(-(minutes // 2), (minutes - 1) // 2)
-    return per_minute.withColumn("rolling_kmh", F.avg("speed_kmh").over(w))
+    back, ahead = minutes // 2, (minutes - 1) // 2
+    mean = lambda rows, w: rows.withColumn("rolling_kmh", F.avg("speed_kmh").over(w.rowsBetween(-back, ahead)))
+    return in_spans(per_minute, mean, back, ahead, ("minute",), span_s)
 
 
 def with_place_type(per_minute: DataFrame, stops: DataFrame, moving: str = "Move") -> DataFrame:

@@ -281,3 +281,4 @@ SQL = {
     "wedge_triangles": sql("select traj_id, pos, " + _r("x", "y", "direction") + ", " + ", ".join(f"round({c} + 100*{f}(radians(direction {s} 30)), 3) as {c}{k}" for k, s in ((1, "-"), (2, "+")) for c, f in (("x", "cos"), ("y", "sin"))) + ", is_final from (select *, case when atan2(y-ny, x-nx) < 0 then degrees(atan2(y-ny, x-nx)) + 360 else degrees(atan2(y-ny, x-nx)) end as direction from (select *, lead(x) over o as nx, lead(y) over o as ny, lag(pos) over o is null as is_final from traj window o as (partition by traj_id order by pos))) where direction is not null"),
     "bbox_overlap": sql("select traj_id from traj group by all having min(x) <= 262000 and max(x) >= 257000 and min(y) <= 6250000 and max(y) >= 6246000"),
 }
+SQL |= {f"{name}_in_spans": SQL[name] for name in ("step_distance", "speed_smooth", "move_sessions")}

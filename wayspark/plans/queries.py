@@ -93,6 +93,21 @@ def cluster_nodes(s, d):
     return privacy.cluster_nodes(rows)
 
 
+@query
+def step_distance_in_spans(s, d):
+    return rounded(points.steps_in_spans(pts(s, d)).select("event_id", "dist_m"))
+
+
+@query
+def speed_smooth_in_spans(s, d):
+    return rounded(points.prepared_in_spans(pts(s, d)).select("event_id", "speed_kmh_smooth"))
+
+
+@query
+def move_sessions_in_spans(s, d):
+    return moves.move_sessions_in_spans(pts(s, d)).select("event_id", "move_id")
+
+
 @query
 def points_localtime(s, d):
     return pts(s, d).select("event_id", points.to_local(F.col("ts")).alias("local_ts"))
