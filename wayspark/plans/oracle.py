@@ -170,6 +170,19 @@ from k join q using (participant_id) where q.rn >= k.rn and q.rn < k.nx group by
 
 
 # stay points of each participant and day by anchors; trajectories split there, their pieces cut at both ends
+# Sides of every site's cell: the line half way to another site, or along the envelope, as far as no other site is nearer.
+CTES["envelope"] = "select x0 - m as x0, y0 - m as y0, x1 + m as x1, y1 + m as y1 from (select min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, greatest(max(x) - min(x), max(y) - min(y)) as m from sites)"
+CTES["cell_lines"] = """select a.site_id as a, b.site_id as b, a.x as ax, a.y as ay, (a.x+b.x)/2 as mx, (a.y+b.y)/2 as my, (a.y-b.y)/d as ux, (b.x-a.x)/d as uy, d/2 as h
+ from sites a join sites b on a.site_id <> b.site_id, lateral (select sqrt((a.x-b.x)**2+(a.y-b.y)**2) as d)
+ union all select site_id, null, x, y, k.mx, k.my, k.ux, 1 - k.ux, k.h from sites, envelope, lateral (select unnest([
+  {'mx': x0, 'my': y, 'ux': 0.0::double, 'h': x-x0}, {'mx': x1, 'my': y, 'ux': 0.0::double, 'h': x1-x}, {'mx': x, 'my': y0, 'ux': 1.0::double, 'h': y-y0}, {'mx': x, 'my': y1, 'ux': 1.0::double, 'h': y1-y}]) as k)"""
+CTES["cell_sides"] = """select a, b, h, least(min(hi), min(case when g < 0 then -q/g end)) - greatest(min(lo), max(case when g > 0 then -q/g end)) as side
+ from (select l.*, c.site_id as c, (mx-c.x)**2+(my-c.y)**2-(mx-ax)**2-(my-ay)**2 as q, 2*(ux*(ax-c.x)+uy*(ay-c.y)) as g,
+   greatest(least((x0-mx)/nullif(ux, 0), (x1-mx)/nullif(ux, 0)), least((y0-my)/nullif(uy, 0), (y1-my)/nullif(uy, 0))) as lo,
+   least(greatest((x0-mx)/nullif(ux, 0), (x1-mx)/nullif(ux, 0)), greatest((y0-my)/nullif(uy, 0), (y1-my)/nullif(uy, 0))) as hi
+  from cell_lines l, envelope, sites c where c.site_id <> l.a and c.site_id is distinct from l.b)
+ group by a, b, h, mx, my having side > 1e-6 and not bool_or(g = 0 and q < 0)"""
+
 STT_STAYS = (
     "with recursive pts as (" + CTES["pts"] + "), sites as (" + CTES["sites"] + "), traj as (" + CTES["traj"] + "), nearby as (" + CTES["celled"] + f"""),
  q as (select t.traj_id, t.ts, p.lat, p.lon, t.pos as rn from traj t join pts p using (event_id)),
@@ -263,6 +276,9 @@ SQL = {
     "stop_marker_style": sql("select participant_id, stop_seq, round(least(10.0, greatest(3.0, duration_s/120)), 3) as radius, case when duration_s/60 < 5 then 'green' when duration_s/60 < 15 then 'orange' else 'red' end as color from stops"),
     "stops_per_day": sql("select participant_id, start_time::DATE as date, count(*) as n_stops from stops group by all"),
     "neighbour_edges": sql("select distinct least(a, b) as source, greatest(a, b) as target, round(d, 3) as length from (select *, row_number() over (partition by a order by d, b) as r from (select p.site_id as a, q.site_id as b, sqrt((p.x-q.x)**2+(p.y-q.y)**2) as d from sites p, sites q where p.site_id <> q.site_id)) where r <= 4"),
+    "delaunay_edges": sql("select least(a, b) as source, greatest(a, b) as target, round(min(2*h), 3) as length from cell_sides where b is not null group by all"),
+    "voronoi_cells": sql("select a as site_id, round(sum(h*side)/2e6, 3) as area_km2 from cell_sides group by all"),
+    "merged_cells": sql("select p.cluster_id, count(distinct a) as n_cells, round(sum(h*side)/2e6, 3) as area_km2, round(sum(case when o.cluster_id is distinct from p.cluster_id then side end)/1e3, 3) as boundary_km from cell_sides join sites p on p.site_id = a left join sites o on o.site_id = b group by all"),
     "cell_of_point": sql("select event_id, near_site, cell::BIGINT as cell, round(dist, 3) as dist from celled"),
     "sensitive_endpoints": sql("select traj_id, " + ", ".join(f"{f}(pos, pos) as {n}_pos, {f}(ts, pos) as {n}_ts, round({f}(x, pos), 3) as {n}_x, round({f}(y, pos), 3) as {n}_y" for n, f in (("first", "arg_min"), ("last", "arg_max"))) + " from traj group by all"),
     "regions_of_points": sql("select event_id, site_id as region_id from traj t, (select site_id, x as cx, y as cy, (300 + (site_id*37)%2900)::DOUBLE as w, (200 + (site_id*53)%1700)::DOUBLE as h from sites) r where ("

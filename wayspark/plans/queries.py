@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from wayspark.functions.durable import durable, new_path
 from wayspark.functions.geo import transverse_mercator
-from wayspark.operators import cluster, moves, places, points, privacy, regions, report, stops
+from wayspark.operators import cluster, moves, places, points, privacy, regions, report, stops, voronoi
 from wayspark.sources import fixtures, gps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +508,27 @@ def neighbour_edges(s, d):
     return rounded(privacy.neighbour_edges(fixtures.sites(s, d), 4))
 
 
+def _cells(s, d):
+    return voronoi.cells(fixtures.sites(s, d))
+
+
+@query
+def delaunay_edges(s, d):
+    return rounded(voronoi.delaunay_edges(_cells(s, d)))
+
+
+@query
+def voronoi_cells(s, d):
+    """Areas in square kilometres."""
+    return rounded(_cells(s, d).select("site_id", (F.col("area") / 1e6).alias("area_km2")))
+
+
+@query
+def merged_cells(s, d):
+    merged = voronoi.merged_cells(_cells(s, d), fixtures.sites(s, d))
+    return rounded(merged.select("cluster_id", "n_cells", (F.col("area") / 1e6).alias("area_km2"), (F.col("boundary") / 1000).alias("boundary_km")))
+
+
 def _celled(s, d):
     return durable(privacy.cell_of_point(fixtures.trajectories(s, d), fixtures.sites(s, d), "event_id"), "celled")
 
