@@ -42,6 +42,12 @@ def test_queries_without_sql_are_known():
     assert set(QUERIES) - set(SQL) == {"skmob_speed_filter", "stops_sliding", "greedy_k_clusters", "cluster_hulls", "cluster_stats", "pcells_buffer"}
 
 
+def test_points_scan_has_every_event_and_participant(spark, sf):
+    got = QUERIES["points_scan"](spark, sf)
+    assert sorted(r[0] for r in got.select("event_id").collect()) == sorted(r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect())
+    assert {r[0] for r in got.select("participant_id").distinct().collect()} == {r[0] for r in QUERIES["participants"](spark, sf).collect()}
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -200,7 +200,7 @@ from oked join (select traj_id, min(pos) filter (sf and sk) as a, max(pos) filte
 
 SQL = {
     "participants": sql("select distinct participant_id from pts"),
-    "points_scan": sql("select event_id, ts, lat, lon from pts where participant_id = 1"),
+    "points_scan": sql("select event_id, participant_id, ts, lat, lon from pts"),
     "activity_scan": sql('select ts as "timestamp", activity from acts where participant_id = 1'),
     "plt_reader": sql(f"select lat, lon, date_trunc('second', ts) as ts from pts where participant_id = 0 and {BOX_SQL}"),
     "cluster_nodes": "select min(s_suppkey) - 1 as site_id, (s_suppkey*7919)%107 as x, (s_suppkey*104729)%109 as y from supplier group by x, y",
