@@ -292,6 +292,19 @@ def test_cells_within_a_buffer(spark):
     assert one.count() == 1
 
 
+def test_centroids_round_ties_by_the_product(spark):
+    """Doubles at a tie of five decimals, and their neighbours, fall as pandas and DuckDB round them."""
+    ties = [48.979975, 48.979974999999996, 48.849985, 48.849985000000004, 2.490165, 2.449915, -2.490165, 0.000005, -0.000005, 0.0]
+    ties += [(10 * k + 5) / 1e6 for k in range(240_000, 240_200)]
+    rows = [(1, "Home", x, -x) for x in ties] + [(1, "autre", 1.0, 1.0), (2, "Work", 2.490165, None), (2, "Work", 2.490169, None)]
+    stops = spark.createDataFrame(rows, "participant_id long, place_type string, lat double, lon double")
+    got = cluster.home_work_centroids(stops).collect()
+    want = sorted({(round(x * 1e5) / 1e5, round(-x * 1e5) / 1e5) for x in ties})
+    assert sorted((r.lat, r.lon) for r in got if r.participant_id == 1) == want
+    assert [r.myid for r in sorted(got, key=lambda r: r.lat) if r.participant_id == 1] == list(range(1, len(want) + 1))
+    assert [(r.myid, r.place_type, r.lat, r.lon) for r in got if r.participant_id == 2] == [(1, "Work", 2.49017, None)]
+
+
 def test_wedges_over_several_cells_and_pieces(spark):
     """All sites of the end's cells count together, and pieces are cut at both ends."""
     t = datetime(2024, 1, 2)

@@ -208,7 +208,12 @@ def merge_close_stops(stops: DataFrame, max_distance_m: float = 150.0) -> DataFr
 
 
 def home_work_centroids(stops: DataFrame) -> DataFrame:
-    """myid (from 1), participant_id, place_type, lat and lon to five decimals of Home and Work."""
-    rounded = stops.where(F.col("place_type").isin("Home", "Work")).select("participant_id", "place_type", F.bround("lat", 5).alias("lat"), F.bround("lon", 5).alias("lon")).distinct()
+    """myid (from 1), participant_id, place_type, lat and lon to five decimals of Home and Work.
+
+    They are rounded as pandas and DuckDB do, by the product with 1e5. bround takes the digits
+    that a double prints as, so it finds a tie in 2.490165, whose product is above a half.
+    """
+    to_five = lambda c: (F.rint(F.col(c) * 1e5) / 1e5).alias(c)
+    rounded = stops.where(F.col("place_type").isin("Home", "Work")).select("participant_id", "place_type", to_five("lat"), to_five("lon")).distinct()
     order = W.partitionBy("participant_id").orderBy("place_type", "lat", "lon")
     return rounded.select(F.row_number().over(order).cast("long").alias("myid"), "participant_id", "place_type", "lat", "lon")
