@@ -1,6 +1,7 @@
 """Anchors and kept points over chunks of a track, against one pass over it."""
 
 import random
+import time
 from datetime import datetime, timedelta
 from statistics import median
 
@@ -65,6 +66,22 @@ def test_kept_points(spark):
         assert sorted(r.event_id for r in got if r.participant_id == pid) == plain_kept([r for r in rows if r[0] == pid], 20.0)
 
 
+def test_many_short_tracks_cost_their_points(spark):
+    rows = [r for pid in range(3000) for r in track(5, pid, pid, 0.5)]
+    began = time.monotonic()
+    got = stops.stops_anchor(spark.createDataFrame(rows, SCHEMA), 20.0, 20.0).collect()
+    took = time.monotonic() - began  # with a group of pandas for each track, minutes
+    want = [(pid, *stay) for pid in range(3000) for stay in plain_stays(rows[5 * pid:5 * pid + 5], 20.0, 20.0)]
+    assert sorted((r.participant_id, r.start_time, r.end_time, r.lat, r.lon) for r in got) == want and len(want) > 1000
+    assert took < 30
+
+
+def test_points_of_no_participant(spark):
+    rows = [(pid, k, datetime(2024, 1, 1, 0, k), 48.8 + k // 4, 2.3) for pid in (None, 1) for k in range(6)]
+    got = chain.follow(spark.createDataFrame(rows, SCHEMA), lambda ref, ts, lat, lon: haversine(*ref[2:], lat, lon) > 100.0, chunk=3).collect()
+    assert sorted((r.participant_id is None, r.event_id) for r in got if r.is_ref) == [(False, 0), (False, 4), (True, 0), (True, 4)] and len(got) == 12
+
+
 def test_no_points(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert stops.stops_anchor(none).count() == 0 and points.drop_fast_since_kept(none).count() == 0

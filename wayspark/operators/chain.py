@@ -7,19 +7,22 @@ Chains that meet stay together, so nearly all guesses end as the truth would; on
 entered otherwise than supposed run again, in rounds, until none is left. The result is that
 of one pass over the whole track. A round's small table of chunks, a row for each, is all
 that is kept by participant; a chunk whose box lies wholly within reach of a reference is
-passed without being read.
+passed without being read. Tracks within one chunk have no part in the rounds, and the last
+pass reads the tracks of a task as a stream, so any number of short ones costs their points.
 
 At worst (chains that never meet) a round settles one more chunk of each participant.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wayspark.functions.durable import durable, release
 
@@ -38,7 +41,7 @@ Passes = Callable[[Ref, tuple[float, float, float, float]], bool]
 
 def _ref_of(row, names=_REF) -> Ref | None:
     at = row[names[0]]
-    return None if pd.isna(at) else (int(at), *(row[n] for n in names[1:]))
+    return None if pd.isna(at) else (int(at), *(none if row[n] is None else row[n] for n, none in zip(names[1:], (pd.NaT, float("nan"), float("nan")), strict=True)))
 
 
 def _walk(df: pd.DataFrame, ref: Ref | None, replaces: Replaces):
@@ -63,6 +66,7 @@ def follow(points: DataFrame, replaces: Replaces, passes: Passes | None = None,
     box = [f(c).alias(n) for n, (c, f) in zip(_BOX, (("lat", F.min), ("lat", F.max), ("lon", F.min), ("lon", F.max)), strict=True)]
     key = ["participant_id", "chunk"]
     table = own.groupBy(*key).agg(*box).withColumn("due", F.lit(True))
+    table = table.withColumn("_chunks", F.count("*").over(W.partitionBy("participant_id"))).where("_chunks > 1").drop("_chunks")
     table = durable(table.select("*", *(F.lit(None).cast(t.split()[1]).alias(f"{p}_{t.split()[0]}") for p in ("in", "out") for t in _REF_SCHEMA.split(", "))), "chunks")
     ins, outs = [f"in_{n}" for n in _REF], [f"out_{n}" for n in _REF]
 
@@ -91,7 +95,7 @@ def follow(points: DataFrame, replaces: Replaces, passes: Passes | None = None,
             rows.append(row)
         return pd.DataFrame(rows, columns=df.columns)
 
-    while True:
+    while not table.where("due").isEmpty():
         due = table.where("due").select(*key, *ins)
         rows = own.join(due, [own["participant_id"].eqNullSafe(due["participant_id"]), own["chunk"] == due["chunk"]]).select(own["participant_id"], own["chunk"], "at", "ts", "lat", "lon", *ins)
         ends = durable(rows.groupBy(*key).applyInPandas(end_of, f"participant_id {pid}, chunk long, {_REF_SCHEMA}"), "ends")
@@ -101,19 +105,29 @@ def follow(points: DataFrame, replaces: Replaces, passes: Passes | None = None,
         release(table)
         release(ends)
         table = after
-        if table.where("due").isEmpty():
-            break
-
-    def marked(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("at")
-        walked = list(_walk(df, _ref_of(df.iloc[0], ins), replaces))
-        out = df[["participant_id", "event_id", "ts", "lat", "lon", "at"]].copy()
-        out["is_ref"] = [new for _, new, _ in walked]
-        out["ref_at"] = [ref[0] for ref, _, _ in walked]
-        out["before_at"] = pd.array([None if b is None else b[0] for _, _, b in walked], dtype="Int64")
-        return out
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ref = None, None
+        for batch in batches:
+            got = [batch.column(c).to_pylist() for c in (*key, "at")]
+            got += [[none if v is None else v for v in batch.column(c).to_pylist()] for c, none in (("ts", pd.NaT), ("lat", float("nan")), ("lon", float("nan")))]
+            new, refs, before = [], [], []
+            for k, (pid, part, *point) in enumerate(zip(*got, strict=True)):
+                if (pid, part) != now:
+                    now = (pid, part)
+                    ref = _ref_of({n: batch.column(n)[k].as_py() for n in ins}, ins)
+                before.append(None if ref is None else ref[0])
+                is_new = ref is None or replaces(ref, *point[1:])
+                ref = tuple(point) if is_new else ref
+                new.append(is_new)
+                refs.append(ref[0])
+            more = (pa.array(new, pa.bool_()), pa.array(refs, pa.int64()), pa.array(before, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [*kept, "is_ref", "ref_at", "before_at"])
+
+    kept = ["participant_id", "event_id", "ts", "lat", "lon", "at"]
     entered = table.select(*key, *ins)
-    rows = own.join(entered, [own["participant_id"].eqNullSafe(entered["participant_id"]), own["chunk"] == entered["chunk"]]).select(*(own[c] for c in own.columns), *ins)
+    rows = own.join(entered, [own["participant_id"].eqNullSafe(entered["participant_id"]), own["chunk"] == entered["chunk"]], "left").select(*(own[c] for c in own.columns), *ins)
     event = points.schema["event_id"].dataType.simpleString()
-    return rows.groupBy(*key).applyInPandas(marked, f"participant_id {pid}, event_id {event}, ts timestamp_ntz, lat double, lon double, at long, is_ref boolean, ref_at long, before_at long")
+    out = f"participant_id {pid}, event_id {event}, ts timestamp_ntz, lat double, lon double, at long, is_ref boolean, ref_at long, before_at long"
+    # few bytes but much work, so their size must not set the number of tasks
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions("at").mapInArrow(marked, out)
