@@ -42,6 +42,25 @@ def test_most_cells_need_no_ring(spark):
     assert cells.where("whole").count() > 0.6 * cells.count() and cells.count() < 40**2
 
 
+def test_places_are_looked_up_once_and_only_their_cells_tested(spark, monkeypatch):
+    """Many points of few places: regions meet places, not points, and cells without a place are not covered."""
+    made = {}
+
+    def durable(df, name, real=regions.durable):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(regions, "durable", durable)
+    rng = random.Random(4)
+    rings = [[(x, y), (x + 40.0, y + 90.0), (x + 90.0, y)] for x, y in ((rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(40))]
+    spots = [(rng.uniform(50, 350), rng.uniform(50, 350)) for _ in range(7)]
+    points = [(k, *spots[k % 7]) for k in range(700)]
+    got = [tuple(r) for r in regions.in_regions(*frames(spark, points, rings), "id").collect()]
+    want = {(i, k) for i, x, y in points for k, r in enumerate(rings) if inside(x, y, r)}
+    assert set(got) == want and len(got) == len(want) > 700
+    assert made["coverings"].count() <= 40 * 7
+
+
 def test_nothing(spark):
     points, none = frames(spark, [(1, 0.0, 0.0)], [None])
     assert regions.in_regions(points, none, "id").count() == 0

@@ -4,7 +4,8 @@ A region (region_id, ring: array of structs x, y, not closed) is covered by cell
 that fits it, a power of two, some PIECES across. A cell that no edge of the ring touches is
 inside or outside as a whole; only points in the others are tested against the ring. So the
 join is an equi-join on cells, whatever the number and the sizes of regions, and few points
-meet a ring. Works in the plane.
+meet a ring. Only cells with a point are tested for edges, and a place is looked up once,
+however many points it has. Works in the plane.
 
 A null or empty ring, or one with a null coordinate, holds nothing; neither is a point with a
 null coordinate in any region. Points on an edge are those that ray casting counts.
@@ -36,16 +37,24 @@ def _touches(edge: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Co
     return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
 
-def coverings(regions: DataFrame, pieces: int = PIECES) -> DataFrame:
-    """region_id, level, i, j and ``whole`` (inside as a whole) of the cells that each region meets."""
+def _sound(regions: DataFrame, pieces: int) -> DataFrame:
+    """Regions that can hold a point, with their box, ``level`` and the width of their cells."""
     places = F.col("ring")
     sound = regions.where(places.isNotNull() & (F.size(places) > 0) & F.forall(places, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
     of = lambda f, c: f(F.transform(places, lambda p: p[c]))
     boxed = sound.select("region_id", "ring", *(of(f, c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))))
     longest = F.greatest(F.col("_hix") - F.col("_lox"), F.col("_hiy") - F.col("_loy"), F.lit(1e-9))
-    boxed = boxed.withColumn("level", F.floor(F.log2(longest / pieces)).cast("int")).withColumn("_w", F.pow(F.lit(2.0), F.col("level")))
+    return boxed.withColumn("level", F.floor(F.log2(longest / pieces)).cast("int")).withColumn("_w", F.pow(F.lit(2.0), F.col("level")))
+
+
+def coverings(regions: DataFrame, pieces: int = PIECES, held: DataFrame | None = None) -> DataFrame:
+    """region_id, level, i, j and ``whole`` (inside as a whole) of the cells that each region meets; only those in ``held`` (level, i, j), if given."""
+    boxed, places = _sound(regions, pieces), F.col("ring")
     number = lambda c: F.floor(F.col(c) / F.col("_w")).cast("long")
     cells = boxed.withColumn("i", F.explode(F.sequence(number("_lox"), number("_hix")))).withColumn("j", F.explode(F.sequence(number("_loy"), number("_hiy"))))
+    if held is not None:
+        mine = cells.select("region_id", "level", "i", "j").join(held, ["level", "i", "j"], "left_semi")
+        cells = mine.join(boxed.drop("level"), "region_id")
     slack = F.col("_w") * 1e-6
     x0, y0 = F.col("i") * F.col("_w"), F.col("j") * F.col("_w")
     border = F.exists(_edges(places), lambda e: _touches(e, x0 - slack, y0 - slack, x0 + F.col("_w") + slack, y0 + F.col("_w") + slack))
@@ -55,14 +64,17 @@ def coverings(regions: DataFrame, pieces: int = PIECES) -> DataFrame:
 
 def in_regions(points: DataFrame, regions: DataFrame, pid: str, pieces: int = PIECES) -> DataFrame:
     """pid and region_id for every point (unique ``pid``, x, y) and region that holds it."""
-    cells = durable(coverings(regions, pieces), "coverings")
-    levels = [r[0] for r in cells.select("level").distinct().collect()]  # one for each power of two of the sizes
-    kind = points.schema[pid].dataType
+    levels = [r[0] for r in _sound(regions, pieces).select("level").distinct().collect()]  # one for each power of two of the sizes
     if not levels:
         return points.select(pid, F.lit(None).cast(regions.schema["region_id"].dataType).alias("region_id")).limit(0)
     at = lambda k: F.struct(F.lit(k).alias("level"), F.floor(F.col("x") / 2.0**k).cast("long").alias("i"), F.floor(F.col("y") / 2.0**k).cast("long").alias("j"))
-    placed = points.where("x is not null and y is not null").select(F.col(pid).cast(kind).alias(pid), "x", "y", F.explode(F.array(*map(at, levels))).alias("_c")).select(pid, "x", "y", "_c.*")
-    met = placed.join(cells, ["level", "i", "j"])
+    places = durable(points.where("x is not null and y is not null").select("x", "y").distinct(), "places")
+    placed = places.select("x", "y", F.explode(F.array(*map(at, levels))).alias("_c")).select("x", "y", "_c.*")
+    cells = durable(coverings(regions, pieces, placed.select("level", "i", "j").distinct()), "coverings")
+    met = durable(placed.join(cells, ["level", "i", "j"]).select("x", "y", "region_id", "whole"), "met")
     rings = regions.select("region_id", "ring")
     tested = met.where("not whole").join(rings, "region_id").where(in_ring(F.col("x"), F.col("y"), F.col("ring")))
-    return met.where("whole").select(pid, "region_id").unionByName(tested.select(pid, "region_id"))
+    found = met.where("whole").select("x", "y", "region_id").unionByName(tested.select("x", "y", "region_id"))
+    # a row of few bytes may lie in many regions, so the rows' size must not set the number of tasks
+    dealt = points.select(pid, "x", "y").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+    return dealt.join(found.groupBy("x", "y").agg(F.collect_list("region_id").alias("_in")), ["x", "y"]).select(pid, F.explode("_in").alias("region_id"))
