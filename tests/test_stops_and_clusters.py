@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from datetime import datetime, timedelta
 from statistics import median
 
@@ -292,6 +293,30 @@ def test_cells_within_a_buffer(spark):
     assert one.count() == 1
 
 
+def test_cells_within_a_buffer_of_many_sites(spark):
+    """Hundreds of sites in reach of each point, many points of one place, against the sites' cells cut by all others."""
+    rng = random.Random(7)
+    sites = [(i, rng.uniform(0, 100), rng.uniform(0, 100), i) for i in range(900)] + [(900, 50.0, 50.0, 900), (901, 50.0, 50.0, 901)]
+    spots = [(50.0, 50.0), (20.0, 70.0), (99.0, 3.0)]
+    rows = [(i, *spots[i % 3]) for i in range(60)]
+    began = time.monotonic()
+    got = {}
+    for r in privacy.cells_within(spark.createDataFrame(rows, "pid long, x double, y double"), spark.createDataFrame(sites, "site_id long, x double, y double, cluster_id long"), "pid", 15.0).collect():
+        got.setdefault(r.pid, set()).add(r.cell)
+    assert time.monotonic() - began < 60  # all corners of all pairs of lines took hours
+    for i, (x, y) in enumerate(spots):
+        want = set()
+        for k, sx, sy, _ in sites:
+            corners = [(x - 15, y - 15), (x + 15, y - 15), (x + 15, y + 15), (x - 15, y + 15)]
+            for _, ox, oy, _ in sites:
+                u, v = ox - sx, oy - sy
+                if (u or v) and corners:
+                    corners = privacy._cut(corners, u, v, (ox * ox + oy * oy - sx * sx - sy * sy) / 2)
+            if corners and (math.hypot(sx - x, sy - y) == min(math.hypot(a - x, b - y) for _, a, b, _ in sites) or privacy._off([(p - x, q - y) for p, q in corners]) <= 15):
+                want.add(k)
+        assert all(got[k] == want for k in range(i, 60, 3)) and len(want) > 20
+
+
 def test_centroids_round_ties_by_the_product(spark):
     """Doubles at a tie of five decimals, and their neighbours, fall as pandas and DuckDB round them."""
     ties = [48.979975, 48.979974999999996, 48.849985, 48.849985000000004, 2.490165, 2.449915, -2.490165, 0.000005, -0.000005, 0.0]

@@ -7,7 +7,9 @@ is the set of places nearest to the sites of one cluster, so it is never drawn a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -274,53 +276,109 @@ def truncate_at_stays(celled: DataFrame, stays: DataFrame, sites: DataFrame, alp
     return truncate(pieces, sites, alpha, cells).withColumn("traj_id", F.col("_traj")).drop("_traj")
 
 
-def reaches(x: float, y: float, site: tuple[float, float], others: list[tuple[float, float]], radius: float) -> bool:
-    """Whether the places nearest to ``site`` among ``others`` meet the circle around (x, y).
-
-    The nearest of them to the centre is the centre, or its projection on the bisector of
-    site and another, or a corner of two bisectors.
+def _cut(corners: list[tuple[float, float]], u: float, v: float, w: float) -> list[tuple[float, float]]:
+    """A convex polygon's part in the half plane ux + vy <= w."""
+    out = []
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        a, b = u * ax + v * ay - w, u * bx + v * by - w
+        if a <= 0:
+            out.append((ax, ay))
+        if (a < 0 < b) or (b < 0 < a):
+            t = a / (a - b)
+            out.append((ax + t * (bx - ax), ay + t * (by - ay)))
+    return out
+
+
+def _off(corners: list[tuple[float, float]]) -> float:
+    """Distance of a convex polygon's boundary from the origin."""
+    best = math.inf
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        dx, dy = bx - ax, by - ay
+        size = dx * dx + dy * dy
+        t = min(1.0, max(0.0, -(ax * dx + ay * dy) / size)) if size else 0.0
+        best = min(best, math.hypot(ax + t * dx, ay + t * dy))
+    return best
+
+
+def reached(dx: np.ndarray, dy: np.ndarray, kind: np.ndarray, radius: float, few: int = 64) -> set:
+    """Of which ``kind`` there is a site (dx, dy from the centre) whose cell meets the circle.
+
+    A cell lies in the half planes towards its site. One of these beyond the circle rules it
+    out. The nearest place of all of them is the centre, or the foot on the nearest line if
+    that is in the cell; only cells whose nearest place is a corner are cut. What a site
+    misses of the circle is nearer to others that reach it, so those ruled out by the ``few``
+    nearest sites need not be looked at again.
     """
-    lines = []  # ux + vy <= w
-    for ox, oy in others:
-        u, v = ox - site[0], oy - site[1]
-        size = (u * u + v * v) ** 0.5
-        if size:
-            lines.append((u / size, v / size, (ox * ox + oy * oy - site[0] ** 2 - site[1] ** 2) / 2 / size))
-    tries = [(x, y)] + [(x - (u * x + v * y - w) * u, y - (u * x + v * y - w) * v) for u, v, w in lines]
-    for i, (a, b, c) in enumerate(lines):
-        for d, e, f in lines[:i]:
-            det = a * e - b * d
-            if abs(det) > 1e-12:
-                tries.append(((c * e - b * f) / det, (a * f - c * d) / det))
     slack = 1e-9 * max(radius, 1.0)
-    return any((p - x) ** 2 + (q - y) ** 2 <= (radius + slack) ** 2 and all(u * p + v * q <= w + slack for u, v, w in lines) for p, q in tries)
+
+    def planes(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v = dx[j] - dx[i, None], dy[j] - dy[i, None]
+        size, far = np.hypot(u, v), dx * dx + dy * dy
+        other = size > 0
+        size = np.where(other, size, 1.0)
+        return u / size, v / size, np.where(other, (far[j] - far[i, None]) / 2 / size, np.inf)
+
+    near = np.argsort(dx * dx + dy * dy)[:few]
+    left = np.concatenate([k[planes(k, near)[2].min(axis=1) >= -radius - slack] for k in np.array_split(np.arange(len(dx)), 1 + len(dx) // 4096)])
+    hit = set()
+    for i in np.array_split(left, 1 + len(left) ** 2 // (1 << 20)):
+        if not len(i):
+            continue
+        u, v, w = planes(i, left)
+        row, k = np.arange(len(i)), w.argmin(axis=1)
+        least = w[row, k]
+        inner = least >= -slack
+        foot = np.where(inner | np.isinf(least), 0.0, least)
+        qx, qy = foot * u[row, k], foot * v[row, k]
+        sure = inner | ((least >= -radius - slack) & (u * qx[:, None] + v * qy[:, None] <= w + slack).all(axis=1))
+        hit.update(kind[i[sure]])
+        for n in np.flatnonzero(~sure & (least >= -radius - slack)):
+            if kind[i[n]] in hit:
+                continue
+            wide = radius + slack
+            corners = [(-wide, -wide), (wide, -wide), (wide, wide), (-wide, wide)]
+            for m in np.argsort(w[n]):
+                if w[n, m] > 1.5 * wide:
+                    break
+                corners = _cut(corners, float(u[n, m]), float(v[n, m]), float(w[n, m]) + slack)
+                if not corners or _off(corners) > wide:
+                    corners = []
+                    break
+            if corners:
+                hit.add(kind[i[n]])
+    return hit
 
 
 def cells_within(points: DataFrame, sites: DataFrame, pid: str, buffer: float) -> DataFrame:
     """Each point (unique ``pid``) with every ``cell`` that has a place within ``buffer``.
 
     Only sites up to twice the buffer farther than the nearest can own such a place, and
-    only these bound each other there.
+    only these bound each other there. A place is looked up once, however many points it has.
     """
-    near = durable(cell_of_point(points, sites, pid).where("cell is not null"), "nearest")
+    places = durable(points.select("x", "y").where("x is not null and y is not null").distinct().withColumn("_pid", F.monotonically_increasing_id()), "at")
+    near = durable(cell_of_point(places, sites, "_pid").where("cell is not null"), "nearest")
     shifted = near.withColumn("_ring", F.ceil(F.log2(F.greatest(F.col("dist") + 2 * buffer, F.lit(1e-6)))).cast("int"))
     found = None
     named = sites.select(F.col("cluster_id").alias("_cluster"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     for ring in [r[0] for r in shifted.select("_ring").distinct().orderBy("_ring").collect()]:  # one for each power of 2 of metres
-        own = shifted.where(F.col("_ring") == ring).select(F.col(pid).alias("_pid"), "x", "y", F.col("dist").alias("_far"))
+        own = shifted.where(F.col("_ring") == ring).select("_pid", "x", "y", F.col("dist").alias("_far"))
         rows = within_radius(own, named, 2.0**ring, _DIST, None, ("y", "x"), ("sy", "sx"), planar=True).where(F.col("dist_m") <= F.col("_far") + 2 * buffer).select("_pid", "x", "y", "_cluster", "sx", "sy")
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return points.withColumn("cell", F.lit(None).cast(sites.schema["cluster_id"].dataType)).limit(0)
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        at, x, y = list(zip(df["sx"], df["sy"], strict=True)), df["x"].iloc[0], df["y"].iloc[0]
-        hit = sorted({c for i, c in enumerate(df["_cluster"]) if reaches(x, y, at[i], at[:i] + at[i + 1 :], buffer)})
-        return pd.DataFrame({"_pid": df["_pid"].iloc[0], "cell": hit})
-
-    schema = T.StructType([T.StructField("_pid", points.schema[pid].dataType), T.StructField("cell", sites.schema["cluster_id"].dataType)])
-    cells = found.groupBy("_pid").applyInPandas(run, schema)
-    return points.join(cells, F.col(pid) == F.col("_pid")).drop("_pid")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work, so their size must not set the number of tasks
+    at = F.collect_list(F.struct((F.col("sx") - F.col("x")).alias("dx"), (F.col("sy") - F.col("y")).alias("dy"), "_cluster"))
+    each = found.repartition(n, "_pid").groupBy("_pid", "x", "y").agg(at.alias("_at")).select("x", "y", *(F.col(f"_at.{c}").alias(c) for c in ("dx", "dy", "_cluster")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            out = []
+            for x, y, dx, dy, kind in df.itertuples(index=False):
+                out += [(x, y, c) for c in reached(np.asarray(dx), np.asarray(dy), np.asarray(kind, dtype=object), buffer)]
+            yield pd.DataFrame(out, columns=["x", "y", "cell"])
+
+    cells = each.mapInPandas(run, T.StructType([each.schema["x"], each.schema["y"], T.StructField("cell", sites.schema["cluster_id"].dataType)]))
+    return points.join(cells, ["x", "y"]).select(*points.columns, "cell")
 
 
 def wedge_triangles(traj: DataFrame, radius: float = 100.0, half_angle: float = 30.0, side: str = "start") -> DataFrame:
