@@ -90,3 +90,26 @@ def test_few_sites(spark):
     got = quadtree.knn(frame(spark, [(1, 0.0, 5.0), (2, None, 1.0)]), one, ["id"], ("y", "x"), ("sy", "sx"), ["site"], PLANAR, 2).collect()
     assert [(r.id, r.site, r.dist_m) for r in sorted(got)] == [(1, 0, 5.0), (1, 1, 5.0)]
     assert one.depth == 0
+
+
+def test_wedges_meet_few_rows_of_large_clusters(spark, monkeypatch):
+    """A row for each wedge and leaf that its sides cut, not one for each of some sites; counts as by all sites."""
+    made = {}
+
+    def durable(df, name, real=privacy.durable):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(privacy, "durable", durable)
+    rng = random.Random(11)
+    sites = [(k, 1, rng.random() * 10_000, rng.random() * 10_000) for k in range(3000)]
+    apexes = [(k, 1, rng.random() * 10_000, rng.random() * 10_000, rng.random() * 360) for k in range(200)]
+    names = "id long, cell long, x double, y double, _direction double"
+    at, of = frame(spark, apexes, names), frame(spark, sites, "site_id long, cluster_id long, x double, y double")
+    found = {r.id: r.n_in for r in privacy.sites_in_wedges(at, of, ["id"], 60.0).collect()}
+    assert made["wedges"].count() <= 200
+    assert found == {r.id: r.n_in for r in privacy.sites_in_wedges(at, of, ["id"], 60.0, leaf=256).collect()}
+    assert made["wedges"].count() <= 20 * 200
+    for i, _, x, y, d in apexes:
+        apart = [abs(math.degrees(math.atan2(sy - y, sx - x)) % 360 - d) for _, _, sx, sy in sites]
+        assert found.get(i, 0) == sum(a <= 30 or 360 - a <= 30 for a in apart)

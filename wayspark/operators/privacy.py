@@ -23,6 +23,8 @@ from wayspark.operators import quadtree
 from wayspark.operators.joins import nearest, within_radius
 from wayspark.operators.stops import _hull
 
+#: Places of a leaf, and wedges counted at a time, where sites in wedges are counted by arrays.
+WEDGE_LEAF, WEDGES = 4096, 1 << 16
 _DIST = lambda y1, x1, y2, x2: planar_m(x1, y1, x2, y2)
 
 
@@ -178,31 +180,86 @@ def box_in_wedge() -> tuple[Column, Column]:
     return (most[0] < -slack) & (most[1] < -slack), (least[0] > slack) | (least[1] > slack)
 
 
-def sites_in_wedges(apexes: DataFrame, sites: DataFrame, key: list[str], alpha: float) -> DataFrame:
+def count_in_wedges(x: np.ndarray, y: np.ndarray, direction: np.ndarray, sx: np.ndarray, sy: np.ndarray, alpha: float) -> np.ndarray:
+    """How many of the sites lie in each wedge: by half planes, and by their direction where that is within rounding."""
+
+    def exact(k: np.ndarray) -> np.ndarray:
+        seen = np.degrees(np.arctan2(sy[None, :] - y[k, None], sx[None, :] - x[k, None]))
+        apart = np.abs(np.where(seen < 0, seen + 360, seen) - direction[k, None])
+        return np.count_nonzero((apart <= alpha / 2) | (360 - apart <= alpha / 2), axis=1)
+
+    blocks = range(0, len(x), 64)  # what a block makes stays in the processor's cache
+    if alpha >= 180:
+        return np.concatenate([exact(np.arange(k, min(k + 64, len(x)))) for k in blocks])
+    t, ux, uy = math.tan(math.radians(alpha / 2)), np.cos(np.radians(direction)), np.sin(np.radians(direction))
+    cx, cy = (sx.min() + sx.max()) / 2, (sy.min() + sy.max()) / 2
+    px, py = x - cx, y - cy
+    sites = np.stack([sx - cx, sy - cy, np.ones(len(sx))]).astype("float32")
+    sides = [np.stack([a, b, -(a * px + b * py)], axis=1).astype("float32") for a, b in ((-uy - t * ux, ux - t * uy), (uy - t * ux, -ux - t * uy))]
+    # a form is the sum of three products of 24 bits; it is that much of the largest of them off at most
+    wide = max(np.abs(sites).max(), 1.0) + np.hypot(px, py)
+    slack = ((2 + 2 * t) * wide * 1e-6).astype("float32")
+    out = np.empty(len(x), "int64")
+    for k in blocks:
+        part = slice(k, k + 64)
+        form = np.maximum(sides[0][part] @ sites, sides[1][part] @ sites)
+        sure, possible = (np.count_nonzero(form <= sign * slack[part, None], axis=1) for sign in (-1, 1))
+        out[part] = sure
+        open_ = np.flatnonzero(sure != possible)
+        for i in open_:
+            at = np.flatnonzero(np.abs(form[i]) <= slack[k + i])
+            seen = np.degrees(np.arctan2(sy[at] - y[k + i], sx[at] - x[k + i]))
+            apart = np.abs(np.where(seen < 0, seen + 360, seen) - direction[k + i])
+            out[k + i] += np.count_nonzero(((apart <= alpha / 2) | (360 - apart <= alpha / 2)) & (form[i][at] > -slack[k + i]))
+    return out
+
+
+def sites_in_wedges(apexes: DataFrame, sites: DataFrame, key: list[str], alpha: float, leaf: int = WEDGE_LEAF) -> DataFrame:
     """key, n_in: how many sites of ``cell`` each wedge (x, y, direction) holds; none give no row.
 
     ``apexes`` has a row for each of its cells. A wedge goes down the quadtree of the cell's
-    sites only at nodes that its sides cut; nodes inside count as a whole. So it meets about
-    the root of the sites, and a cluster of any size is never joined with all points.
+    sites only at nodes that its sides cut; nodes inside count as a whole. The places of a
+    leaf, ``leaf`` at most, are counted by arrays, a part of the leaf's wedges at a time. So a
+    wedge meets few rows, and a cluster of any size is never joined with all points.
     """
     named = sites.select(F.col("cluster_id").alias("cell"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
-    tree = quadtree.build(named, "_sx", "_sy", [], ["cell"], leaf=4)
+    tree = quadtree.build(named, "_sx", "_sy", [], ["cell"], leaf=leaf)
     if tree is None:
         return apexes.select(*key, F.lit(0).cast("long").alias("n_in")).limit(0)
     narrow = alpha < 180  # wider wedges are left to the single sites
     forms = wedge_sides(F.col("_direction"), alpha) if narrow else {}
-    keep = [*key, "x", "y", "_direction", *forms]
+    own = [*key, "x", "y", "_direction"]
+    keep = [*own, *forms]
 
     def decide(rows: DataFrame) -> DataFrame:
         inside, outside = box_in_wedge() if narrow else (F.lit(False), F.lit(False))
         rows = rows.withColumns({"_inside": inside, "_outside": outside}).where("not _outside").drop("_outside")
         return rows.withColumn("_go", ~F.col("_inside") & ~F.col("_leaf"))
 
-    left = durable(quadtree.descend(apexes.where("_direction is not null").select("*", *(c.alias(n) for n, c in forms.items())).select("cell", *keep), tree, key, keep, decide), "wedges")
-    whole = left.where("_inside").select(*key, F.col("_sites").alias("n"))
-    hit = in_wedge(F.col("x"), F.col("y"), F.col("_direction"), F.col("_sx"), F.col("_sy"), alpha)
-    single = quadtree.sites_of(left.where("not _inside"), tree, keep).where(hit).select(*key, F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(single).groupBy(*key).agg(F.sum("n").alias("n_in"))
+    left = quadtree.descend(apexes.where("_direction is not null").select("*", *(c.alias(n) for n, c in forms.items())).select("cell", *keep), tree, key, keep, decide)
+    left = durable(left.select(*own, "cell", "_level", "_cell", "_inside", "_sites"), "wedges")
+    whole = left.where("_inside").select(*key, F.col("_sites").alias("n_in"))
+    place = ["cell", "_level", "_cell"]
+    cut = left.where("not _inside")
+    parts = cut.groupBy(*place).agg(F.ceil(F.count("*") / WEDGES).cast("int").alias("_parts"))
+    dealt = cut.join(parts, place).withColumn("_part", F.pmod(F.xxhash64(*key), F.col("_parts")).cast("int")).select(*place, "_part", *own)
+    copied = tree.places.join(parts, place).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*place, "_part", "_sx", "_sy")
+
+    def run(wedges: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        out = wedges[key].copy()
+        if len(wedges):
+            out["n_in"] = count_in_wedges(*(wedges[c].to_numpy("float64") for c in ("x", "y", "_direction")), at["_sx"].to_numpy(), at["_sy"].to_numpy(), alpha)
+            out = out[out["n_in"] > 0]
+        else:
+            out["n_in"] = pd.Series(dtype="int64")
+        return out
+
+    schema = T.StructType([*(left.schema[c] for c in key), T.StructField("n_in", T.LongType())])
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work, so their size must not set the number of tasks
+    both = [df.repartition(n, *place, "_part").groupBy(*place, "_part") for df in (dealt, copied)]
+    counted = both[0].cogroup(both[1]).applyInPandas(run, schema)
+    found = whole.unionByName(counted)
+    return found.groupBy(*key).agg(F.sum("n_in").alias("n_in")) if tree.depth else found
 
 
 def wedges(celled: DataFrame, sites: DataFrame, alpha: float = 60.0, cells: DataFrame | None = None) -> DataFrame:
@@ -215,19 +272,19 @@ def wedges(celled: DataFrame, sites: DataFrame, alpha: float = 60.0, cells: Data
     """
     w = W.partitionBy("traj_id").orderBy("pos")
     towards = lambda f: direction_deg(f("x").over(w), f("y").over(w), F.col("x"), F.col("y"))
-    rows = durable(celled.withColumns({"_start": towards(F.lead), "_end": towards(F.lag)}), "directed")
+    rows = durable(celled.withColumns({"_start": towards(F.lead), "_end": towards(F.lag)}).withColumn("_row", F.monotonically_increasing_id()), "directed")
     cells = durable((end_cells(celled) if cells is None else cells).distinct(), "end-cells")
     size = sites.groupBy(F.col("cluster_id").alias("cell")).agg(F.count("*").alias("_n"))
     total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("_n"))), F.lit(0)).cast("int").alias(f"{s}_n")
     totals = cells.join(size, "cell").groupBy("traj_id").agg(total("start"), total("end"))
     direction = F.when(F.col("side") == "start", F.col("_start")).otherwise(F.col("_end"))
-    apexes = rows.select("traj_id", "pos", "x", "y", "_start", "_end").join(cells, "traj_id").withColumn("_direction", direction)
-    found = sites_in_wedges(apexes, sites, ["traj_id", "pos", "side"], alpha)
-    counted = found.groupBy("traj_id", "pos").agg(*(F.sum(F.when(F.col("side") == s, F.col("n_in"))).cast("int").alias(f"{s}_in") for s in ("start", "end")))
-    out = rows.join(counted, ["traj_id", "pos"], "left").join(totals, "traj_id", "left")
+    apexes = rows.select("traj_id", "_row", "x", "y", "_start", "_end").join(cells, "traj_id").withColumn("_direction", direction)
+    found = sites_in_wedges(apexes, sites, ["_row", "side"], alpha)
+    counted = found.groupBy("_row").agg(*(F.sum(F.when(F.col("side") == s, F.col("n_in"))).cast("int").alias(f"{s}_in") for s in ("start", "end")))
+    out = rows.join(counted, "_row", "left").join(totals, "traj_id", "left")
     for s in ("start", "end"):
         out = out.withColumns({f"{s}_in": F.when(F.col(f"_{s}").isNotNull(), F.coalesce(f"{s}_in", F.lit(0))), f"{s}_n": F.coalesce(f"{s}_n", F.lit(0))})
-    return out.drop("_start", "_end")
+    return out.drop("_start", "_end", "_row")
 
 
 def directions(wedged: DataFrame) -> DataFrame:

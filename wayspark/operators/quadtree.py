@@ -116,7 +116,8 @@ def descend(queries: DataFrame, tree: Tree, pid: list[str], keep: list[str], dec
     are to be looked at. A node without that stays as it is. The queries are dealt out by a
     fixed number: they are few bytes but much work, so their size must not set it.
     """
-    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pid)
+    if tree.depth:
+        queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pid)
     own = [*tree.by, *keep]
     root = tree.nodes.where("_level = 0 and not _go").drop("_up_level", "_up_cell", "_go")
     frontier = decide(queries.join(root, tree.by) if tree.by else queries.withColumn("_level", F.lit(0)).join(root, "_level"))
