@@ -113,3 +113,17 @@ def test_wedges_meet_few_rows_of_large_clusters(spark, monkeypatch):
     for i, _, x, y, d in apexes:
         apart = [abs(math.degrees(math.atan2(sy - y, sx - x)) % 360 - d) for _, _, sx, sy in sites]
         assert found.get(i, 0) == sum(a <= 30 or 360 - a <= 30 for a in apart)
+
+
+def test_nearest_looks_up_a_place_once(spark, monkeypatch):
+    asked = []
+
+    def knn(points, *rest, real=quadtree.knn):
+        asked.append(points.count())
+        return real(points, *rest)
+
+    monkeypatch.setattr(quadtree, "knn", knn)
+    sites = frame(spark, [(k, k % 3, 10.0 * k, 5.0 * k) for k in range(50)], "site_id long, cluster_id long, x double, y double")
+    points = [(k, 40.0 * (k % 7) + 1, 20.0 * (k % 7)) for k in range(300)] + [(300, None, 1.0)]
+    got = {r.id: r.near_site for r in privacy.cell_of_point(frame(spark, points), sites, "id").collect()}
+    assert got == {k: None if k == 300 else 4 * (k % 7) for k in range(301)} and asked == [7]

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayspark.functions.durable import durable
 from wayspark.functions.geo import Grid, around, cell
 from wayspark.operators import quadtree
 
@@ -66,11 +67,13 @@ def within_radius(left: DataFrame, right: DataFrame, metres: float, distance: Ca
 def nearest(points: DataFrame, sites: DataFrame, at: tuple[str, str], to: tuple[str, str], pid: str, pick: list[str], distance: Callable[..., Column]) -> DataFrame:
     """Each point (unique ``pid``) with the columns ``pick`` of its nearest site, and ``dist``.
 
-    Planar. Ties go to the smallest ``pick``. Points go down a quadtree of the sites. Those
-    with a null coordinate, and all if there are no sites, get nulls.
+    Planar. Ties go to the smallest ``pick``. Places go down a quadtree of the sites, each once
+    however many points it has. Points with a null coordinate, and all if there are no sites,
+    get nulls.
     """
     tree = quadtree.build(sites, to[1], to[0], pick)
     if tree is None:
         return points.select("*", *(F.lit(None).cast(sites.schema[c].dataType).alias(c) for c in pick), F.lit(None).cast("double").alias("dist"))
-    found = quadtree.knn(points, tree, [pid], at, to, pick, distance).drop("rank").withColumnRenamed("dist_m", "dist")
-    return points.join(found, pid, "left").select(*points.columns, *pick, "dist")
+    places = durable(points.select(*at).where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).distinct(), "at")
+    found = quadtree.knn(places, tree, list(at), at, to, pick, distance).drop("rank").withColumnRenamed("dist_m", "dist")
+    return points.join(found, list(at), "left").select(*points.columns, *pick, "dist")

@@ -171,7 +171,7 @@ def candidates(points: DataFrame, tree: Tree, pid: list[str], at: tuple[str, str
     slack = lambda c: c * (1 + 1e-9) + 1e-9
     q = axes_of(F.col(at[1]), F.col(at[0]), sphere)
     start = points.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).select(*dict.fromkeys([*pid, *at]), *(c.alias(f"_q{n}") for n, c in enumerate(q)))
-    own = [*(c for c in pid if c not in tree.by), *at, *(f"_q{n}" for n in range(tree.axes))]
+    own = [*dict.fromkeys(c for c in (*pid, *at) if c not in tree.by), *(f"_q{n}" for n in range(tree.axes))]
     per = W.partitionBy(*pid)
     far = sure_distance(tree.axes) if k == 1 else box_distance(tree.axes, True)
     bound = lambda d, f: metres(d, f) if sphere else d
