@@ -345,3 +345,48 @@ def test_wedges_over_several_cells_and_pieces(spark):
     out = privacy.truncate_at_stays(celled, stays, sites).collect()
     assert {r.traj_id for r in out} <= {"a"} and all(r.event_id < 6 if r.piece == 0 else r.event_id > 5 for r in out)
     assert privacy.truncate_at_stays(celled, stays, sites, buffer=30.0).count() <= 10
+
+
+@pytest.fixture
+def met(monkeypatch):
+    """Tables that wedges make, by name."""
+    made = {}
+
+    def durable(df, name, real=privacy.durable):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(privacy, "durable", durable)
+    return made
+
+
+def walks(spark, n=40, sites=600):
+    rng = random.Random(12)
+    t = datetime(2024, 1, 2)
+    of = spark.createDataFrame([(k, rng.uniform(0, 1000), rng.uniform(0, 1000), 1 + k % 2) for k in range(sites)], "site_id long, x double, y double, cluster_id long")
+    rows = [(name, i, t + timedelta(minutes=i), 100 * j + i, rng.uniform(-3000, 4000), rng.uniform(-3000, 4000)) for j, name in enumerate("ab") for i in range(1, n + 1)]
+    traj = spark.createDataFrame(rows, "traj_id string, pos long, ts timestamp_ntz, event_id long, x double, y double")
+    return privacy.cell_of_point(traj, of, "event_id"), of
+
+
+def plain_cut(points, sites):
+    """Points between the first and the last that may be a cut, of one piece."""
+    def clear(p, q, cell):
+        if q is None:
+            return False
+        d = math.degrees(math.atan2(p.y - q.y, p.x - q.x)) % 360
+        apart = [abs(math.degrees(math.atan2(s.y - p.y, s.x - p.x)) % 360 - d) for s in sites if s.cluster_id == cell]
+        return sum(a <= 30 or 360 - a <= 30 for a in apart) in (0, len(apart))
+
+    first, last = points[0].cell, points[-1].cell
+    a = [k for k, p in enumerate(points) if p.cell != first and clear(p, points[k + 1] if k + 1 < len(points) else None, first)]
+    b = [k for k, p in enumerate(points) if p.cell != last and clear(p, points[k - 1] if k else None, last)]
+    return [p.event_id for p in points[a[0] : b[-1] + 1]] if a and b and a[0] < b[-1] else []
+
+
+def test_truncate_meets_a_row_a_wedge(spark, met):
+    celled, of = walks(spark)
+    got = sorted(r.event_id for r in privacy.truncate(celled, of).collect())
+    rows, sites = celled.orderBy("traj_id", "pos").collect(), of.collect()
+    assert got == sorted(e for name in "ab" for e in plain_cut([r for r in rows if r.traj_id == name], sites)) and got
+    assert met["wedges"].count() <= 2 * 80
