@@ -390,3 +390,14 @@ def test_truncate_meets_a_row_a_wedge(spark, met):
     rows, sites = celled.orderBy("traj_id", "pos").collect(), of.collect()
     assert got == sorted(e for name in "ab" for e in plain_cut([r for r in rows if r.traj_id == name], sites)) and got
     assert met["wedges"].count() <= 2 * 80
+
+
+def test_pieces_meet_a_row_a_wedge(spark, met):
+    celled, of = walks(spark)
+    t = datetime(2024, 1, 2)
+    stays = spark.createDataFrame([("a", t + timedelta(minutes=15), t + timedelta(minutes=20)), ("b", t + timedelta(minutes=30), t + timedelta(minutes=31))], "traj_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = sorted(r.event_id for r in privacy.truncate_at_stays(celled, stays, of).collect())
+    rows, sites = celled.orderBy("traj_id", "pos").collect(), of.collect()
+    pieces = [[r for r in rows if r.traj_id == name and low <= r.pos <= high] for name, low, high in (("a", 1, 15), ("a", 20, 40), ("b", 1, 30), ("b", 31, 40))]
+    assert got == sorted(e for p in pieces for e in plain_cut(p, sites)) and got
+    assert met["wedges"].count() <= 2 * 80
