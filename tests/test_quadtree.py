@@ -3,11 +3,13 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from wayspark.functions.geo import geodesic_m, planar_m
 from wayspark.operators import moves, privacy, quadtree
+from wayspark.plans.oracle import lambert
 
 PLANAR = lambda y1, x1, y2, x2: planar_m(x1, y1, x2, y2)
 
@@ -127,3 +129,22 @@ def test_nearest_looks_up_a_place_once(spark, monkeypatch):
     points = [(k, 40.0 * (k % 7) + 1, 20.0 * (k % 7)) for k in range(300)] + [(300, None, 1.0)]
     got = {r.id: r.near_site for r in privacy.cell_of_point(frame(spark, points), sites, "id").collect()}
     assert got == {k: None if k == 300 else 4 * (k % 7) for k in range(301)} and asked == [7]
+
+
+def test_places_as_near_as_rounding_come_in_the_order_of_sql(spark):
+    """Stops that differ in the last bit of a coordinate, ranked as DuckDB ranks their distances."""
+    rng = random.Random(13)
+    stops, ends = [(276, 32, "Home", 48.822957200000005, 2.3289852), (276, 43, "Home", 48.8229572, 2.3289852)], [(276, 6, "origin", 48.822926, 2.328866), (276, 33, "origin", 48.822954, 2.329014)]
+    for p in range(60):
+        lat, lon = round(48.8 + rng.random() / 10, 7), round(2.3 + rng.random() / 10, 7)
+        stops += [(p, k, "Home", lat + math.ulp(lat) * (k % 3 - 1), lon) for k in range(4)]
+        ends += [(p, k, "origin", round(lat + rng.uniform(-1e-4, 1e-4), 7), round(lon + rng.uniform(-1e-4, 1e-4), 7)) for k in range(5)]
+    got = moves.nearest_places(
+        frame(spark, ends, "participant_id long, move_id long, side string, lat double, lon double"),
+        frame(spark, stops, "participant_id long, stop_seq long, place_type string, lat double, lon double"), 200.0, 3,
+    ).select("participant_id", "move_id", "rank", "stop_seq").collect()
+    con = duckdb.connect()
+    con.execute("create table pairs (p bigint, m bigint, s bigint, a double, b double, c double, d double)")
+    con.executemany("insert into pairs values (?, ?, ?, ?, ?, ?, ?)", [(e[0], e[1], s[1], *e[3:], *s[3:]) for e in ends for s in stops if e[0] == s[0]])
+    want = con.execute(f"select * from (select p, m, row_number() over (partition by p, m order by dist, s) as r, s from {lambert('pairs', 'a', 'b', 'c', 'd', 'dist')} where dist <= 200) where r <= 3").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 900

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WGS84_A = 6378137.0
 WGS84_F = 1 / 298.257223563
@@ -33,6 +35,23 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return F.when(s == 0, F.lit(0.0)).otherwise(WGS84_A * (s - WGS84_F / 2 * (x + y)))
 
 
+@F.pandas_udf(T.DoubleType())
+def settled_geodesic_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    """:func:`geodesic_m` with the C library's functions, whose last bits differ from Java's: for the order of places as near as rounding."""
+
+    def one(a: float, b: float, c: float, d: float) -> float:
+        b1, b2 = (math.atan((1 - WGS84_F) * math.tan(math.radians(x))) for x in (a, c))
+        turn = math.radians(d) - math.radians(b)
+        s = 2 * math.asin(math.sqrt(min(1.0, math.sin((b2 - b1) / 2) ** 2 + math.cos(b1) * math.cos(b2) * math.sin(turn / 2) ** 2)))
+        if s == 0:
+            return 0.0
+        x = (s - math.sin(s)) * (math.sin((b1 + b2) / 2) * math.cos((b2 - b1) / 2) / math.cos(s / 2)) ** 2
+        y = (s + math.sin(s)) * (math.cos((b1 + b2) / 2) * math.sin((b2 - b1) / 2) / math.sin(s / 2)) ** 2
+        return WGS84_A * (s - WGS84_F / 2 * (x + y))
+
+    return pd.Series([one(*row) for row in zip(lat1, lon1, lat2, lon2, strict=True)], dtype="float64")
+
+
 def mercator_x(lon: Column) -> Column:
     """Easting of EPSG:3857."""
     return WGS84_A * F.radians(lon)

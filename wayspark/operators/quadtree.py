@@ -30,6 +30,8 @@ from wayspark.functions.geo import EARTH_RADIUS_M
 LEAF, STEP, BITS = 16, 2, 30
 #: Levels of nodes that are counted in one pass over the sites.
 PASS = 4
+#: Distances of two engines differ by less.
+ROUNDING_M = 1e-6
 #: An ellipsoid's distances differ from a sphere's by less than this.
 ELLIPSOID = 0.01
 
@@ -191,15 +193,25 @@ def candidates(points: DataFrame, tree: Tree, pid: list[str], at: tuple[str, str
     return sites_of(descend(start, tree, pid, own, pruned), tree, own)
 
 
-def knn(points: DataFrame, tree: Tree, pid: list[str], at: tuple[str, str], to: tuple[str, str], pick: list[str], distance: Callable[..., Column], k: int = 1, most: float | None = None, sphere: bool = False) -> DataFrame:
+def knn(points: DataFrame, tree: Tree, pid: list[str], at: tuple[str, str], to: tuple[str, str], pick: list[str], distance: Callable[..., Column], k: int = 1, most: float | None = None, sphere: bool = False, settled: Callable[..., Column] | None = None) -> DataFrame:
     """pid, pick, dist_m and rank of each point's ``k`` nearest sites, ties by ``pick``.
 
+    Where engines round ``distance`` differently, ``settled`` is the one that orders the sites:
+    it is asked only for those that may be among the k by it.
+
     ``at`` and ``to`` name y and x (latitude and longitude), all four different. ``pid`` is
     unique and holds tree.by. Only sites within ``most`` count.
     """
     found = candidates(points, tree, pid, at, k, most, sphere).withColumn("dist_m", distance(*map(F.col, (*at, *to))))
     if most is not None:
-        found = found.where(F.col("dist_m") <= most)
+        found = found.where(F.col("dist_m") <= (most if settled is None else most + ROUNDING_M))
+    if settled is not None:
+        by = W.partitionBy(*pid)
+        nth = found.withColumn("_n", F.row_number().over(by.orderBy("dist_m")))
+        near = nth.withColumn("_far", F.max(F.when(F.col("_n") <= k, F.col("dist_m"))).over(by)).where(F.col("dist_m") <= F.col("_far") + ROUNDING_M)
+        found = near.drop("_n", "_far").withColumn("dist_m", settled(*map(F.col, (*at, *to))))
+        if most is not None:
+            found = found.where(F.col("dist_m") <= most)
     if k == 1:
         best = found.groupBy(*pid).agg(F.min(F.struct("dist_m", *pick)).alias("best"))
         return best.select(*pid, *(F.col(f"best.{c}").alias(c) for c in ("dist_m", *pick)), F.lit(1).alias("rank"))
