@@ -116,3 +116,19 @@ def test_nothing(spark):
     none = spark.createDataFrame([], POINTS)
     assert points.prepared_in_spans(none).count() == moves.move_sessions_in_spans(none).count() == 0
     assert report.rolling_speed(report.speed_per_minute(points.prepared_in_spans(none))).count() == 0
+
+
+def test_types_of_minutes_by_runs(spark):
+    """As the join of all minutes with the stops, for stops that overlap, touch and reach beyond the track."""
+    rng = random.Random(5)
+    t = datetime(2024, 1, 2)
+    steps = [(p, t + timedelta(seconds=rng.randrange(90_000)), 1.0 * k) for p in range(3) for k in range(30)]
+    stops = [(p, k, rng.choice(["Home", "Work", "autre", None]), a := t + timedelta(seconds=rng.randrange(-5000, 95_000)), a + timedelta(seconds=rng.choice([0, 20, 60, 600, 9000]))) for p in range(2) for k in range(40)]
+    at = spark.createDataFrame(steps, "participant_id long, ts timestamp_ntz, speed_kmh double")
+    of = spark.createDataFrame(stops, "participant_id long, stop_seq long, place_type string, start_time timestamp_ntz, end_time timestamp_ntz")
+    want = sorted(map(tuple, report.with_place_type(report.speed_per_minute(at), of).select("participant_id", "minute", "place_type").collect()))
+    for bucket in (360, 7):
+        found = report.minute_place_types(at, of, bucket=bucket)
+        assert sorted(map(tuple, found.collect())) == want and len({w[2] for w in want}) == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.index("explode(sequence(f")  # no exchange above the minutes

@@ -138,6 +138,35 @@ def with_place_type(per_minute: DataFrame, stops: DataFrame, moving: str = "Move
     return per_minute.join(found, [ONE, "minute"], "left").fillna(moving, ["place_type"])
 
 
+def minute_place_types(steps: DataFrame, stops: DataFrame, moving: str = "Move", bucket: int = 360) -> DataFrame:
+    """participant_id, minute and place_type: :func:`with_place_type` of all minutes from a track's first to its last.
+
+    Stops and tracks are cut into buckets of minutes, a bucket into runs of one type, and only
+    then into minutes, so these are never exchanged.
+    """
+    number = lambda ts, f=F.floor: f(F.unix_micros(ts.cast("timestamp")) / 60_000_000).cast("long")
+    buckets = lambda a, b: F.sequence(F.floor(a / bucket), F.floor(b / bucket))
+    low, high = F.col("_b") * bucket, (F.col("_b") + 1) * bucket - 1
+    minute = F.date_trunc("minute", F.col("ts"))
+    track = steps.groupBy(ONE).agg(number(F.min(minute)).alias("a"), number(F.max(minute)).alias("b")).where("a is not null")
+    track = track.withColumn("_b", F.explode(buckets(F.col("a"), F.col("b"))))
+    held = stops.select(ONE, "stop_seq", "place_type", number(F.col("start_time"), F.ceil).alias("f"), number(F.col("end_time")).alias("t")).where("f <= t")
+    held = held.withColumn("_b", F.explode(buckets(F.col("f"), F.col("t"))))
+    stop = F.struct("stop_seq", "place_type", F.greatest("f", low).alias("f"), F.least("t", high).alias("t"))
+    rows = track.select(ONE, "_b", F.greatest("a", low).alias("_lo"), F.least("b", high).alias("_hi")).unionByName(held.select(ONE, "_b", stop.alias("_s")), allowMissingColumns=True)
+    cut = rows.groupBy(ONE, "_b").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.collect_list("_s").alias("_in")).where("_lo is not null")
+    begins = F.concat(F.array("_lo"), F.transform("_in", lambda s: s["f"]), F.transform("_in", lambda s: s["t"] + 1))
+    cut = cut.withColumn("_at", F.array_sort(F.array_distinct(F.filter(begins, lambda c: (c >= F.col("_lo")) & (c <= F.col("_hi"))))))
+
+    def run(c: Column, i: Column) -> Column:
+        first = F.array_min(F.transform(F.filter("_in", lambda s: (s["f"] <= c) & (c <= s["t"])), lambda s: F.struct(s["stop_seq"], s["place_type"].alias("place_type"))))
+        return F.struct(c.alias("f"), F.coalesce(F.try_element_at("_at", i + 2) - 1, F.col("_hi")).alias("t"), F.coalesce(first["place_type"], F.lit(moving)).alias("place_type"))
+
+    runs = cut.select(ONE, F.explode(F.transform("_at", run)).alias("_r")).select(ONE, "_r.*")
+    each = runs.select(ONE, "place_type", F.explode(F.sequence("f", "t")).alias("_m"))
+    return each.select(ONE, F.timestamp_micros(F.col("_m") * 60_000_000).cast("timestamp_ntz").alias("minute"), "place_type")
+
+
 def move_totals(moves: DataFrame) -> DataFrame:
     return moves.groupBy(ONE).agg(F.sum("dist_m").alias("total_m"), F.count("*").alias("n_moves"), (F.sum("duration_s") / 60).alias("total_min"))
 
