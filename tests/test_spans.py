@@ -132,3 +132,24 @@ def test_types_of_minutes_by_runs(spark):
         assert sorted(map(tuple, found.collect())) == want and len({w[2] for w in want}) == 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("Exchange") > plan.index("explode(sequence(f")  # no exchange above the minutes
+
+
+def test_rolling_means_without_an_exchange_of_minutes(spark):
+    """As windows over all minutes, for tracks with gaps of all lengths, without values at either end or anywhere."""
+    rng = random.Random(6)
+    rows = [(4, START, None), (4, START + timedelta(minutes=3), None), (5, START, 7.0)]
+    for p in range(4):
+        at = START
+        for k in range(60):
+            at += timedelta(minutes=rng.choice([1, 1, 1, 2, 4, 9, 10, 11, 30]))
+            empty = (p == 1 and k < 3) or (p == 2 and k > 55) or (p == 3 and (k < 20 or k > 40))
+            rows.append((p, at, None if empty else rng.uniform(0, 50)))
+    steps = spark.createDataFrame(rows, "participant_id long, ts timestamp_ntz, speed_kmh double")
+    for minutes in (10, 5):
+        want = {(r.participant_id, r.minute): r.rolling_kmh for r in report.rolling_speed(report.speed_per_minute(steps), minutes).collect()}
+        found = report.rolling_speed_of(steps, minutes, 3600)
+        got = {(r.participant_id, r.minute): r.rolling_kmh for r in found.collect()}
+        assert got.keys() == want.keys() and found.count() == len(got)
+        assert all((got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, rel=1e-12)) for k, v in want.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Repartition" not in line and "Window" not in line for line in plan.splitlines()[: next(i for i, line in enumerate(plan.splitlines()) if "Generate" in line)])
